@@ -16,9 +16,11 @@ few documents in which it left a component empty, hence no bias.
 Search. Equal texts (same word sequence) collapse first. Signatures are cut in bands; texts
 that share a band are candidates. Verification is the exact multiset overlap, in three rounds
 that never list the pairs of a group: (1) each text against the leader it shares most bands
-with, (2) texts of still mixed buckets against both ends of the bucket, (3) what remains
-between different components of mixed buckets, in full. A bucket whose members are all in
-one component needs no further pair, so no link between different classes is lost.
+with, (2) in buckets that still mix components, each text that can reach the threshold there
+against the text with the smallest share of shingles of its own, (3) what remains between
+different components of mixed buckets, in full. A text can reach the threshold only if enough
+of its shingles occur in other texts of mixed buckets at all. A bucket whose members are all
+in one component needs no further pair, so no link between different classes is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORDS, WordIds, components, cut, mix, shingles, slices
@@ -157,6 +159,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        at, keys, times = [], [], []
+        for i, x in enumerate(part.column("bag").to_pylist()):
+            k, n = np.unique(np.frombuffer(x, np.uint64), return_counts=True)
+            at.append(np.full(len(k), i)), keys.append(k.view(np.int64)), times.append(n)
+        if at:
+            yield pa.RecordBatch.from_arrays([part.column("digest").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(times).astype(np.int64))], ["digest", "shingle", "times"])
+
+
+def _within(shared: Column, n: Column, m: Column) -> Column:
+    """Whether texts of n and m shingles can reach the threshold if they share `shared` at most."""
+    return shared >= F.lit(THRESHOLD) * (n + m - shared)
+
+
 def _checked(pairs: DataFrame, bags: DataFrame, name: str) -> DataFrame:
     """`pairs` (a, b) with whether they reach the threshold."""
     full = pairs.join(bags.select(F.col("digest").alias("a"), F.col("bag").alias("bag_a")), "a").join(
@@ -206,24 +223,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         some = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
         return at.join(some, "key")
 
+    # Only texts of mixed buckets matter from here on, and of these only such as can have a
+    # partner there: shingles that no other of them has can't be shared with any partner.
     open_ = cut(mixed(label), "mixed1")
-    lead = label.select(F.col("node").alias("t"), F.col("label").alias("t_label"))
-    pairs = []
-    for end in ("lo", "hi"):
-        p = open_.where((F.col("digest") != F.col(f"{end}.digest")) & close(F.col("n"), F.col(f"{end}.n"))).select("digest", "label", F.col(f"{end}.digest").alias("lead"))
-        p = p.join(lead, F.col("lead") == F.col("t"), "left").where(F.coalesce("t_label", "lead") != F.col("label"))
-        pairs.append(p.select(*_ordered(F.col("digest"), F.col("lead"))))
-    two = _checked(pairs[0].union(pairs[1]).distinct().join(one.select("a", "b"), ["a", "b"], "left_anti"), bags, "round2")
+    some = open_.select("digest").distinct().join(bags, "digest")
+    counts = some.mapInArrow(_counts, "digest binary, shingle long, times long").groupBy("shingle").agg(F.count("*").alias("texts"), F.min("digest").alias("digest"), F.min("times").alias("times"))
+    own = cut(counts.where("texts = 1").groupBy("digest").agg(F.sum("times").alias("own")), "own")
+    open_ = cut(open_.join(own, "digest", "left").select("key", "digest", "n", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), "open")
+
+    def able(o: DataFrame) -> DataFrame:
+        """Rows that can reach the threshold with the shortest text of their bucket."""
+        least = o.groupBy("key").agg(F.min("n").alias("n_min"))
+        return o.join(least, "key").where(_within(F.col("shared"), F.col("n"), F.greatest("n_min", "shared"))).drop("n_min")
+
+    fit = able(open_)
+    leads = fit.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("n"), "digest", "n", "shared", "label")).alias("l"))
+    star2 = fit.join(leads, "key").where((F.col("label") != F.col("l.label")) & _within(F.least("shared", "l.shared"), F.col("n"), F.col("l.n")))
+    star2 = star2.select(*_ordered(F.col("digest"), F.col("l.digest"))).distinct()
+    two = _checked(star2.join(one.select("a", "b"), ["a", "b"], "left_anti"), bags, "round2")
     if not two.where("ok").isEmpty():
         links = links.union(two.where("ok").select("a", "b"))
         label = components(links, "cc2")
-        open_ = cut(mixed(label), "mixed2")
+        open_ = open_.drop("label").join(label, open_.digest == label.node, "left").select("key", "digest", "n", "shared", F.coalesce("label", "digest").alias("label"))
+        fit = able(open_)
+    fit = cut(fit, "fit")
     # Between components only: first the pairs of components in a bucket, then their members.
-    part = open_.select("key", "label").distinct()
+    part = fit.select("key", "label").distinct()
     across = part.select("key", F.col("label").alias("x")).join(part.select("key", F.col("label").alias("y")), "key").where("x < y")
-    left = open_.select("key", F.col("label").alias("x"), F.col("digest").alias("p"), F.col("n").alias("n_p"))
-    right = open_.select("key", F.col("label").alias("y"), F.col("digest").alias("q"), F.col("n").alias("n_q"))
-    rest = across.join(left, ["key", "x"]).join(right, ["key", "y"]).where(close(F.col("n_p"), F.col("n_q")))
+    left = fit.select("key", F.col("label").alias("x"), F.col("digest").alias("p"), F.col("n").alias("n_p"), F.col("shared").alias("s_p"))
+    right = fit.select("key", F.col("label").alias("y"), F.col("digest").alias("q"), F.col("n").alias("n_q"), F.col("shared").alias("s_q"))
+    rest = across.join(left, ["key", "x"]).join(right, ["key", "y"]).where(_within(F.least("s_p", "s_q"), F.col("n_p"), F.col("n_q")))
     rest = rest.select(*_ordered(F.col("p"), F.col("q"))).distinct()
     three = _checked(rest.join(one.union(two).select("a", "b"), ["a", "b"], "left_anti"), bags, "round3")
     if not three.where("ok").isEmpty():
