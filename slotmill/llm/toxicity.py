@@ -7,8 +7,10 @@ of positives as positive, P- and U- the losses of positives and unlabelled as ne
 prior is the share of toxic rows among the learnable labels.
 
 Features of a document are its distinct lower-cased words and the leading letters of them,
-hashed; each counts how many distinct words carry it, damped by the number of words. As the
-model is linear in words, a worker scores a word once and remembers the sum.
+hashed; each counts how many distinct words carry it, damped by the number of words. Only
+features whose document frequency differs clearly between positives and unlabelled text take
+part, the clearer the more freely. As the model is linear in words, a worker scores a word
+once and remembers the sum.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD_CACHE, crc_fold, slices
 
-#: Bounds of the training sample: documents expected, features at most.
-POSITIVES, UNLABELLED, FEATURES = 2_000, 5_000, 40_000
+#: Bounds of the training sample: documents expected.
+POSITIVES, UNLABELLED = 2_000, 5_000
+#: Standard errors of a frequency difference for a feature to take part, and to do so freely.
+LEAST_Z, FULL_Z = 4.0, 6.0
 #: Leading letters that make features, hash space, rounds and step of the fit, weight decay.
-PREFIXES, SPACE, EPOCHS, STEP, DECAY = (4, 5, 6, 7), 2**22, 120, 0.05, 1e-4
+PREFIXES, SPACE, EPOCHS, STEP, DECAY = (4, 5, 6, 7), 2**22, 300, 0.05, 1e-5
 FOLDS = 5
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -61,7 +65,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def damping(n_words) -> np.ndarray:
-    return 1 / np.log2(2 + np.asarray(n_words, float))
+    return 2 / np.sqrt(1 + np.asarray(n_words, float))
 
 
 class Model:
@@ -76,21 +80,24 @@ class Model:
 
 def fit_nnpu(rows: list[tuple[bool, np.ndarray, np.ndarray, int]], prior: float) -> Model:
     """Fit to rows (positive, feature ids, counts, words); positives and unlabelled."""
-    seen = np.concatenate([r[1] for r in rows]) if rows else np.empty(0, np.int32)
-    known, df = np.unique(seen, return_counts=True)
-    keep = df >= max(3, len(rows) // 2000)
-    known, df = known[keep], df[keep]
-    known = np.sort(known[np.argsort(-df, kind="stable")[:FEATURES]])
-    if not len(known) or not any(r[0] for r in rows) or not 0 < prior < 1:
+    positive = np.array([r[0] for r in rows], bool)
+    n_p, n_u = int(positive.sum()), int((~positive).sum())
+    if not n_p or not n_u or not 0 < prior < 1:
         return Model(np.empty(0, np.int32), np.empty(0), -4.0)
+    known = np.unique(np.concatenate([r[1] for r in rows]))
+    in_p, in_u = (np.bincount(np.searchsorted(known, np.concatenate([r[1] for r in rows if r[0] == p])), minlength=len(known)) for p in (True, False))
+    pool = (in_p + in_u + 1) / (n_p + n_u + 2)
+    z = np.abs(in_p / n_p - in_u / n_u) / np.sqrt(pool * (1 - pool) * (1 / n_p + 1 / n_u))
+    keep = (z >= LEAST_Z) & (in_p + in_u >= 3)
+    if not keep.any():
+        return Model(np.empty(0, np.int32), np.empty(0), float(np.log(prior / (1 - prior))))
+    known, free = known[keep], np.minimum(z[keep] / FULL_Z, 1)
     doc, col, val = [], [], []
     for i, (_, ids, counts, size) in enumerate(rows):
         at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
         ok = known[at] == ids
-        col.append(at[ok]), val.append(counts[ok] * damping(size)), doc.append(np.full(int(ok.sum()), i))
+        col.append(at[ok]), val.append(counts[ok] * damping(size) * free[at[ok]]), doc.append(np.full(int(ok.sum()), i))
     doc, col, val = np.concatenate(doc), np.concatenate(col), np.concatenate(val)
-    positive = np.array([r[0] for r in rows])
-    n_p, n_u = positive.sum(), max(1, (~positive).sum())
     w, b = np.zeros(len(known)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
     for t in range(1, EPOCHS + 1):
@@ -106,7 +113,7 @@ def fit_nnpu(rows: list[tuple[bool, np.ndarray, np.ndarray, int]], prior: float)
         mb, vb = 0.9 * mb + 0.1 * d.sum(), 0.99 * vb + 0.01 * d.sum() ** 2
         w -= STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= STEP * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    return Model(known, w, b)
+    return Model(known, w * free, b)
 
 
 class WordScores(dict):
