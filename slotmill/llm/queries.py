@@ -13,6 +13,7 @@ from .near_dedup import near_duplicates
 from .packing import pack, tokenizer_path
 from .quality import quality
 from .toxicity import toxicity
+from .url_filter import GLOBS, judge_urls, regex_of
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,11 +52,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_language_id,
         op4_packing,
         op6_quality,
+        op7_url_filter,
         op10_decontamination,
     )
 }
 
+_GLOB_ROWS = ", ".join(f"({i}, '{g}', '{regex_of(g)}')" for i, g in enumerate(GLOBS))
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_url_filter": rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id, url,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
+         translate(coalesce(regexp_extract(url, '(?s)^[^#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS canon
+  FROM pages),
+r(verdict, h, q) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+f AS (SELECT rid, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS v
+      FROM p JOIN r ON ends_with('.' || host, '.' || h) AND starts_with(path, q) GROUP BY rid),
+g(k, pattern, regex) AS (VALUES {_GLOB_ROWS}),
+m AS (SELECT rid, arg_min(pattern, k) AS pattern FROM p JOIN g ON regexp_full_match(canon, regex) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict, pattern AS glob
+FROM p LEFT JOIN f USING (rid) LEFT JOIN m USING (rid)
+""",
     "op10_decontamination": r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,

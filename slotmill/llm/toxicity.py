@@ -30,7 +30,7 @@ from .common import WORD_CACHE, crc_fold, slices
 #: Bounds of the training sample: documents expected.
 POSITIVES, UNLABELLED = 2_000, 5_000
 #: Standard errors of a frequency difference for a feature to take part, and to do so freely.
-LEAST_Z, FULL_Z = 4.0, 6.0
+LEAST_Z, FULL_Z = 3.0, 6.0
 #: Leading letters that make features, hash space, rounds and step of the fit, weight decay.
 PREFIXES, SPACE, EPOCHS, STEP, DECAY = (4, 5, 6, 7), 2**22, 300, 0.05, 1e-5
 FOLDS = 5
