@@ -12,6 +12,7 @@ from .language_id import identify
 from .near_dedup import near_duplicates
 from .packing import pack, tokenizer_path
 from .quality import quality
+from .secrets import BASE, RULES, digest, find_secrets
 from .toxicity import toxicity
 from .url_filter import GLOBS, judge_urls, regex_of
 
@@ -40,6 +41,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,12 +58,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_packing,
         op6_quality,
         op7_url_filter,
+        op8_secrets,
         op10_decontamination,
     )
 }
 
 _GLOB_ROWS = ", ".join(f"({i}, '{g}', '{regex_of(g)}')" for i, g in enumerate(GLOBS))
 
+
+
+def _spans_sql(k: int, kind: str, regex: str, group: int, least: int) -> str:
+    regex = regex.replace("'", "''")
+    return f"""
+SELECT rid, {k} AS k, '{kind}' AS kind, CAST(s AS BIGINT) AS s, CAST(s + length(m[i]) AS BIGINT) AS e FROM (
+  SELECT rid, i, m, v, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS s FROM (
+    SELECT rid, g, m, v, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT rid, string_split_regex(t, '{regex}') AS g, regexp_extract_all(t, '{regex}', 0) AS m, regexp_extract_all(t, '{regex}', {group}) AS v
+      FROM d WHERE regexp_matches(t, '{regex}'))))
+WHERE length(v[i]) >= {least}"""
+
+
+_SPANS = " UNION ALL ".join(_spans_sql(k, r.kind, r.regex, r.group, r.least) for k, r in enumerate(RULES))
+
 ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": rf"""
 WITH p AS (
@@ -74,6 +95,18 @@ g(k, pattern, regex) AS (VALUES {_GLOB_ROWS}),
 m AS (SELECT rid, arg_min(pattern, k) AS pattern FROM p JOIN g ON regexp_full_match(canon, regex) GROUP BY rid)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict, pattern AS glob
 FROM p LEFT JOIN f USING (rid) LEFT JOIN m USING (rid)
+""",
+    "op8_secrets": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_SPANS}),
+a AS (
+  SELECT rid, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE k < {len(BASE)}) AS base
+  FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)
 """,
     "op10_decontamination": r"""
 WITH d AS (
