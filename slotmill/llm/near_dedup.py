@@ -18,7 +18,7 @@ that share a band are candidates. Verification is the exact multiset overlap, in
 that never list the pairs of a group: (1) each text against the leader it shares most bands
 with, (2) in buckets that still mix components, each text that can reach the threshold there
 against the text with the smallest share of shingles of its own, (3) what remains between
-different components of mixed buckets, in full. A text can reach the threshold only if enough
+different components of mixed buckets, in full, chunk against chunk. A text can reach the threshold only if enough
 of its shingles occur in other texts of mixed buckets at all. A bucket whose members are all
 in one component needs no further pair, so no link between different classes is lost.
 """
@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import WORDS, WordIds, components, cut, mix, shingles, slices
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
+#: Texts and shingles that a chunk of a mixed bucket has on average.
+CHUNK_ROWS, CHUNK_MASS = 256, 100_000
 
 _LEVEL = np.uint64(0xA24BAED4963EE407)
 _POINT = np.uint64(0x9FB21C651E98DF25)
@@ -174,6 +176,62 @@ def _within(shared: Column, n: Column, m: Column) -> Column:
     return shared >= F.lit(THRESHOLD) * (n + m - shared)
 
 
+def _flat(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles with repetitions told apart, ascending, their owners, and the sizes of the members."""
+    bags = [np.frombuffer(x["bag"], np.uint64) for x in members]
+    size = np.array([len(x) for x in bags])
+    value, owner = np.concatenate(bags), np.repeat(np.arange(len(bags)), size)
+    first = np.r_[True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]
+    at = np.arange(len(value))
+    value = mix(value + (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64) * _POINT)
+    order = np.argsort(value, kind="stable")
+    return value[order], owner[order], size
+
+
+def links_between(left: list[dict], right: list[dict]) -> list[tuple[bytes, bytes]]:
+    """One link for each two components with members (digest, label, bag) that reach the threshold."""
+    value, owner, size = _flat(right)
+    label = np.array([x["label"] for x in right], object)
+    found: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
+    for x in left:
+        mine, _, (n,) = _flat([x])
+        lo, hi = np.searchsorted(value, mine, "left"), np.searchsorted(value, mine, "right")
+        reach = hi - lo
+        at = np.repeat(lo - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
+        both = np.bincount(owner[at], minlength=len(right))
+        for j in np.nonzero((both >= THRESHOLD * (n + size - both)) & (label != x["label"]))[0]:
+            pair = tuple(sorted((x["digest"], right[j]["digest"])))
+            found.setdefault(tuple(sorted((x["label"], right[j]["label"]))), pair)
+    return list(found.values())
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, 1):
+        links = links_between(part.column("p").to_pylist()[0], part.column("q").to_pylist()[0])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def _across(fit: DataFrame, bags: DataFrame) -> DataFrame:
+    """Links (a, b) between components of the same bucket of `fit` (key, digest, n, label).
+
+    Each bucket's largest component is its major side. Both sides are dealt into chunks of
+    bounded size; minor chunks meet major chunks and each other, and only links leave a meeting.
+    """
+    sizes = fit.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("mass"))
+    major = sizes.groupBy("key").agg(F.max(F.struct("rows", "label", "mass")).alias("m"), F.sum("rows").alias("rows"), F.sum("mass").alias("mass"))
+    major = major.where("m.rows < rows")
+    rows = fit.join(major, "key").withColumn("major", F.col("label") == F.col("m.label"))
+    count = F.when(F.col("major"), F.col("m.rows")).otherwise(F.col("rows") - F.col("m.rows"))
+    mass = F.when(F.col("major"), F.col("m.mass")).otherwise(F.col("mass") - F.col("m.mass"))
+    parts = F.greatest(F.ceil(count / CHUNK_ROWS), F.ceil(mass / CHUNK_MASS))
+    dealt = rows.select("key", "digest", "label", "major", F.pmod(F.xxhash64("digest"), parts).alias("chunk")).join(bags, "digest")
+    chunks = cut(dealt.groupBy("key", "major", "chunk").agg(F.collect_list(F.struct("digest", "label", "bag")).alias("members")), "chunks")
+    minor = chunks.where(~F.col("major")).select("key", F.col("chunk").alias("c"), F.col("members").alias("p"))
+    other = chunks.select("key", "major", "chunk", F.col("members").alias("q"))
+    met = minor.join(other, "key").where(F.col("major") | (F.col("chunk") >= F.col("c")))
+    return met.select("p", "q").mapInArrow(_cross, "a binary, b binary").distinct()
+
+
 def _checked(pairs: DataFrame, bags: DataFrame, name: str) -> DataFrame:
     """`pairs` (a, b) with whether they reach the threshold."""
     full = pairs.join(bags.select(F.col("digest").alias("a"), F.col("bag").alias("bag_a")), "a").join(
@@ -246,17 +304,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         label = components(links, "cc2")
         open_ = open_.drop("label").join(label, open_.digest == label.node, "left").select("key", "digest", "n", "shared", F.coalesce("label", "digest").alias("label"))
         fit = able(open_)
-    fit = cut(fit, "fit")
-    # Between components only: first the pairs of components in a bucket, then their members.
-    part = fit.select("key", "label").distinct()
-    across = part.select("key", F.col("label").alias("x")).join(part.select("key", F.col("label").alias("y")), "key").where("x < y")
-    left = fit.select("key", F.col("label").alias("x"), F.col("digest").alias("p"), F.col("n").alias("n_p"), F.col("shared").alias("s_p"))
-    right = fit.select("key", F.col("label").alias("y"), F.col("digest").alias("q"), F.col("n").alias("n_q"), F.col("shared").alias("s_q"))
-    rest = across.join(left, ["key", "x"]).join(right, ["key", "y"]).where(_within(F.least("s_p", "s_q"), F.col("n_p"), F.col("n_q")))
-    rest = rest.select(*_ordered(F.col("p"), F.col("q"))).distinct()
-    three = _checked(rest.join(one.union(two).select("a", "b"), ["a", "b"], "left_anti"), bags, "round3")
-    if not three.where("ok").isEmpty():
-        label = components(links.union(three.where("ok").select("a", "b")), "cc3")
+    three = cut(_across(cut(fit, "fit"), bags), "round3")
+    if not three.isEmpty():
+        label = components(links.union(three), "cc3")
 
     ids = texts.select("digest", "least_id").join(label, texts.digest == label.node, "left").select("digest", "least_id", F.coalesce("label", "digest").alias("label"))
     least = ids.groupBy("label").agg(F.min("least_id").alias("class_id"))
