@@ -12,6 +12,7 @@ from .language_id import identify
 from .near_dedup import near_duplicates
 from .packing import pack, tokenizer_path
 from .quality import quality
+from .quality_rules import quality_rules
 from .secrets import BASE, RULES, digest, find_secrets
 from .toxicity import toxicity
 from .url_filter import GLOBS, judge_urls, regex_of
@@ -45,6 +46,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_quality,
         op7_url_filter,
         op8_secrets,
+        op9_quality_rules,
         op10_decontamination,
     )
 }
