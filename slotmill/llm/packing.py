@@ -16,9 +16,11 @@ plus the prefix sums of the salts' counts. Rank and plan give each piece its seq
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,30 +35,96 @@ MAX_ROUNDS = 4000
 #: Chunks a worker remembers, and the longest remembered chunk; only memory and speed depend on them.
 CHUNK_CACHE, CHUNK_LENGTH = 400_000, 40
 
+_END = np.array([END_ID], "<u4").tobytes()
+#: A comma or full stop after anything but white space, a Latin letter or a digit.
+_NO_LETTER = re.compile(r"[^a-zA-Z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\s][.,]").search
 
-class ChunkTokens(dict):
-    """Token ids (little-endian uint32 bytes) of texts, chunk by chunk.
 
-    The tokenizer drops white space and never merges across it, so the ids of a text are
-    those of its space-separated chunks in order.
+#: Words whose letters the tokenizer's normalizer leaves as they are.
+_LETTERS = re.compile(r"[a-z\u00e0-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
+def _cut(chunks: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, bytes]]:
+    raw = ids.tobytes()
+    return ((c, raw[a:b]) for c, a, b in zip(chunks, (4 * starts).tolist(), (4 * ends).tolist(), strict=True))
+
+
+def _latin(text: str) -> bool:
+    """Whether all characters are Latin-1, for which lower-casing goes character by character."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class ChunkTokens:
+    """Token ids (little-endian uint32) of texts, chunk by chunk.
+
+    The tokenizer lower-cases, drops white space and never merges across it, nor from a letter
+    to a comma or full stop; so the ids of a text are those of its chunks in order. Chunks not
+    remembered are encoded together: words of lower-case Latin letters by the tokenizer's
+    model behind a bare split at blanks (their last tokens are marked as word ends), others
+    parted by a word that is one token and in none of them.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def of(self, text: str) -> np.ndarray:
-        chunks = text.replace("\n", " ").split(" ")
-        if len(self) > CHUNK_CACHE:
-            self.clear()
-        new = [c for c in set(chunks) if c not in self]
-        extra: dict[str, bytes] = {}
-        for chunk, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (self if len(chunk) <= CHUNK_LENGTH else extra)[chunk] = np.array(code.ids, "<u4").tobytes()
-        get = self.__getitem__ if not extra else lambda c: extra[c] if c in extra else self[c]
-        return np.frombuffer(b"".join(map(get, chunks)), "<u4")
+        words = (w for w in self.tokenizer.get_vocab() if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha())
+        self.mark = max(words, key=lambda w: (len(w), w))[:-4]
+        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelt = {c: spell(chr(c))[0][0] for c in range(0xE0, 0x100)}
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        if "<|" not in text and _latin(text) and not _NO_LETTER(text):
+            text = text.lower().replace(",", " ,").replace(".", " .")
+        return text.replace("\n", " ").split(" ")
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Codes of `chunks`; the short ones are remembered."""
+        words = [c for c in chunks if _LETTERS(c)]
+        codes: dict[str, bytes] = {}
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            joined = " ".join(part)
+            joined = joined if joined.isascii() else joined.translate(self.spelt)
+            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.nonzero(self.is_end[ids])[0] + 1
+            if len(ends) == len(part):
+                codes.update(_cut(part, ids, np.append(0, ends[:-1]), ends))
+        odd = {c for c in chunks if self.mark in c.lower() and c not in codes}
+        codes.update((c, np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()) for c in odd)
+        plain = [c for c in chunks if c not in codes]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.nonzero(ids == self.mark_id)[0], len(ids))
+            codes.update(_cut(part, ids, np.append(0, ends[:-1] + 1), ends))
+        self.known.update((c, x) for c, x in codes.items() if len(c) <= CHUNK_LENGTH)
+        return {c: x for c, x in codes.items() if len(c) > CHUNK_LENGTH}
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CHUNK_CACHE:
+            self.known.clear()
+        split = [self.chunks(t) for t in texts]
+        new: set[str] = set()
+        for c in split:
+            new.update(filterfalse(self.known.__contains__, c))
+        long = self._learn(new)
+        if not long:
+            return [b"".join(map(self.known.__getitem__, c)) for c in split]
+        return [b"".join([long[x] if x in long else self.known[x] for x in c]) for c in split]
 
 
 def piece_starts(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -71,11 +139,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     tokens = ChunkTokens(path)
     for part in slices(batches):
         at, start, length, crc, total = [], [], [], [], []
-        for i, text in enumerate(part.column("text").to_pylist()):
-            ids = np.append(tokens.of(text or ""), np.array([END_ID], "<u4")).astype("<u4")
-            cuts = piece_starts(len(ids))
+        for i, ids in enumerate(tokens.of([t or "" for t in part.column("text").to_pylist()])):
+            ids += _END
+            cuts = piece_starts(len(ids) // 4)
             for a, b in zip(cuts, cuts[1:], strict=False):
-                at.append(i), start.append(a), length.append(b - a), crc.append(zlib.crc32(ids[a:b].tobytes())), total.append(len(ids))
+                at.append(i), start.append(a), length.append(b - a), crc.append(zlib.crc32(ids[4 * a : 4 * b])), total.append(cuts[-1])
         long = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int64())), *long], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
