@@ -321,9 +321,12 @@ def _id(docs: DataFrame) -> str:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each near-duplicate class: the row whose doc_id is the class id.
 
-    Of repeated rows with that very id one stays. Rows with a null doc_id or without words
-    all stay, but for exact repetitions of a whole row's id and text.
+    Rows that repeat an id stay apart if their texts differ; of equal ones one stays. Rows
+    with a null doc_id all stay, and so do texts without words.
     """
-    marks = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(marks, docs.doc_id == marks._keep, "left_semi").dropDuplicates(["doc_id"])
+    marks = cut(near_duplicates(docs).where("doc_id = class_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows")), "kept")
+    once, more = marks.where("_rows = 1"), marks.where("_rows > 1")
+    kept = docs.join(once, docs["doc_id"] == F.col("_keep"), "left_semi")
+    if not more.isEmpty():
+        kept = kept.unionByName(docs.join(more, docs["doc_id"] == F.col("_keep"), "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.unionByName(docs.where("doc_id is null"))

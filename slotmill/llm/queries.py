@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination
 from .language_id import identify
+from .licenses import license_scan
 from .near_dedup import near_duplicates
 from .packing import pack, tokenizer_path
 from .quality import quality
@@ -34,6 +35,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_toxicity,
         op3_language_id,
         op4_packing,
+        op5_license_scan,
         op6_quality,
         op7_url_filter,
         op8_secrets,
