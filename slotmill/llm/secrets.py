@@ -120,13 +120,13 @@ def _spans(text: Column, rule: Rule) -> Column:
 
 
 def candidates(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(key, mask): for `docs` (key, text), bit i of the mask says that rule i may match."""
+    """(key, mask): for `docs` (key, body), bit i of the mask says that rule i may match."""
     queries = [(i, j, s) for i, r in enumerate(rules) for j, s in enumerate(trigram_query(r.regex)) if s]
     terms = sorted({t for _, _, s in queries for t in s})
     rows = [(t, i, j, 1 << sorted(s).index(t), (1 << len(s)) - 1) for i, j, s in queries for t in sorted(s)]
     spark = docs.sparkSession
     of = F.broadcast(spark.createDataFrame(rows, "term string, rule int, alternative int, bit long, need long"))  # a row a trigram of the rules
-    low = docs.select("key", F.lower("text").alias("low"))
+    low = docs.select("key", F.lower("body").alias("low"))
     present = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in terms)))
     postings = low.select("key", F.explode(present).alias("term"))
     met = postings.join(of, "term").groupBy("key", "rule", "alternative").agg(F.bit_or("bit").alias("have"), F.first("need").alias("need")).where("have = need")
@@ -142,16 +142,16 @@ def _is(kind: str):
 
 
 def _marked(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """All columns of `docs` in a struct `row`, its text (null: empty) and `spans`, by start and rule."""
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.xxhash64(docs["doc_id"], docs["text"]).alias("key"))
+    """All columns of `docs` in a struct `row`, its text as `body` (null: empty) and `spans`, by start and rule."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("body"), F.xxhash64(docs["doc_id"], docs["text"]).alias("key"))
     found = candidates(rows, rules)
     full = rows.join(found, "key", "left")
     parts = []
     for i, rule in enumerate(rules):
         may = F.expr(f"(coalesce(mask, 0L) & {1 << i}L) <> 0") if any(trigram_query(rule.regex)) else F.lit(True)
-        hit = F.when(may & F.col("text").rlike(rule.regex), _spans(F.col("text"), rule))
+        hit = F.when(may & F.col("body").rlike(rule.regex), _spans(F.col("body"), rule))
         parts.append(F.transform(hit, _labelled(i, rule.kind)))
-    return full.select("row", "text", F.array_sort(F.flatten(F.array_compact(F.array(*parts)))).alias("spans"))
+    return full.select("row", "body", F.array_sort(F.flatten(F.array_compact(F.array(*parts)))).alias("spans"))
 
 
 def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -174,15 +174,17 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[SECRET]
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
+        gap = F.substring(F.col("body"), acc["at"] + 1, s["start"] - acc["at"])
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))).otherwise(
             F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         )
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.size("spans") > 0, clean).otherwise(F.col("row.text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.size("spans") > 0, F.length(clean)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return marked.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("body"), acc["at"] + 1, F.length("body"))))
+    done = marked.select("row", F.when(F.size("spans") > 0, clean).alias("clean"))
+    changed = {"text": F.coalesce("clean", "row.text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.coalesce(F.length("clean"), "row.n_chars").cast(docs.schema["n_chars"].dataType)
+    return done.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def digest(found: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = BASE) -> DataFrame:
