@@ -19,8 +19,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import partial
-from itertools import filterfalse
+from functools import cache, partial
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ CAPACITY, END_ID, GRID, GAP = 2048, 1, 4, 0.002
 #: Pricing rounds at most; stopping early only leaves a slightly worse plan, never a piece.
 MAX_ROUNDS = 4000
 #: Chunks a worker remembers, and the longest remembered chunk; only memory and speed depend on them.
-CHUNK_CACHE, CHUNK_LENGTH = 400_000, 40
+CHUNK_CACHE, CHUNK_LENGTH = 500_000, 40
 
 _END = np.array([END_ID], "<u4").tobytes()
 #: A comma or full stop after anything but white space, a Latin letter or a digit.
@@ -112,19 +112,22 @@ class ChunkTokens:
             ends = np.append(np.nonzero(ids == self.mark_id)[0], len(ids))
             codes.update(_cut(part, ids, np.append(0, ends[:-1] + 1), ends))
         self.known.update((c, x) for c, x in codes.items() if len(c) <= CHUNK_LENGTH)
-        return {c: x for c, x in codes.items() if len(c) > CHUNK_LENGTH}
+        return codes
 
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CHUNK_CACHE:
             self.known.clear()
         split = [self.chunks(t) for t in texts]
+        codes = [list(map(self.known.get, c)) for c in split]
         new: set[str] = set()
-        for c in split:
-            new.update(filterfalse(self.known.__contains__, c))
-        long = self._learn(new)
-        if not long:
-            return [b"".join(map(self.known.__getitem__, c)) for c in split]
-        return [b"".join([long[x] if x in long else self.known[x] for x in c]) for c in split]
+        for chunks, found in zip(split, codes, strict=True):
+            if None in found:
+                new.update(compress(chunks, [x is None for x in found]))
+        learnt = self._learn(new)
+        for chunks, found in zip(split, codes, strict=True):
+            if None in found:
+                found[:] = [learnt[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
+        return [b"".join(x) for x in codes]
 
 
 def piece_starts(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -135,8 +138,14 @@ def piece_starts(total: int, capacity: int = CAPACITY) -> list[int]:
     return [*starts, total]
 
 
+@cache
+def _tokens(path: str) -> ChunkTokens:
+    """One a worker process: later tasks find the vocabulary loaded and frequent chunks known."""
+    return ChunkTokens(path)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tokens = ChunkTokens(path)
+    tokens = _tokens(path)
     for part in slices(batches):
         at, start, length, crc, total = [], [], [], [], []
         for i, ids in enumerate(tokens.of([t or "" for t in part.column("text").to_pylist()])):
