@@ -1,10 +1,8 @@
-"""What the corpus operators share: tables, durable cuts, word hashing, components."""
+"""What the corpus operators share: tables, folds, word hashing, shingles."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -14,6 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components as components
+from ..plans.durable import cut as cut
+
 #: Distinct words a worker remembers before it starts afresh; only memory depends on it.
 WORD_CACHE = 200_000
 #: Rows of an Arrow batch that are unpacked to Python objects at a time.
@@ -26,27 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; only where it is unset, a new local one."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = getattr(spark, "_slotmill_dir", None) or tempfile.mkdtemp(prefix="slotmill-")
-        spark._slotmill_dir = conf
-    return conf.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back.
-
-    This ends the lineage in a table that every executor sees, so a lost executor costs
-    only its running tasks, and later reads get column pruning.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/slotmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id counts as fold 0."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds, F.lit(0))
@@ -97,23 +77,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, label): for every node of `edges` (a, b), the least node of its component.
-
-    Rounds of least-neighbour labels followed by pointer jumping, each cut to a durable
-    table. Both the aggregate (a minimum) and the joins bear hub nodes: the first combines
-    before its shuffle, the second is a plain equi-join that AQE can split.
-    """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = cut(both.where("a <> b").distinct(), f"{name}-links")
-    labels = cut(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), f"{name}-labels")
-    while True:
-        near = links.join(labels, links.b == labels.node).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("m"))
-        low = labels.join(near, labels.node == near.n, "left").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        root = labels.select(F.col("node").alias("r"), F.col("label").alias("up"))
-        nxt = cut(low.join(root, low.label == root.r, "left").select("node", "was", F.least("label", "up").alias("label")), f"{name}-labels")
-        if nxt.where("label <> was").isEmpty():
-            return nxt.select("node", "label")
-        labels = nxt.select("node", "label")

@@ -33,7 +33,7 @@ CAPACITY, END_ID, GRID, GAP = 2048, 1, 4, 0.002
 #: Pricing rounds at most; stopping early only leaves a slightly worse plan, never a piece.
 MAX_ROUNDS = 4000
 #: Chunks a worker remembers, and the longest remembered chunk; only memory and speed depend on them.
-CHUNK_CACHE, CHUNK_LENGTH = 500_000, 40
+CHUNK_CACHE, CHUNK_LENGTH = 900_000, 40
 
 _END = np.array([END_ID], "<u4").tobytes()
 #: A comma or full stop after anything but white space, a Latin letter or a digit.
