@@ -324,9 +324,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows that repeat an id stay apart if their texts differ; of equal ones one stays. Rows
     with a null doc_id all stay, and so do texts without words.
     """
-    marks = cut(near_duplicates(docs).where("doc_id = class_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows")), "kept")
-    once, more = marks.where("_rows = 1"), marks.where("_rows > 1")
-    kept = docs.join(once, docs["doc_id"] == F.col("_keep"), "left_semi")
+    marks = cut(near_duplicates(docs).where("doc_id = class_id").groupBy(F.col("doc_id").alias("_slotmill_keep")).agg(F.count("*").alias("_slotmill_rows")), "kept")
+    once, more = marks.where("_slotmill_rows = 1"), marks.where("_slotmill_rows > 1")
+    kept = docs.join(once, docs["doc_id"] == F.col("_slotmill_keep"), "left_semi")
     if not more.isEmpty():
-        kept = kept.unionByName(docs.join(more, docs["doc_id"] == F.col("_keep"), "left_semi").dropDuplicates(["doc_id", "text"]))
+        kept = kept.unionByName(docs.join(more, docs["doc_id"] == F.col("_slotmill_keep"), "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.unionByName(docs.where("doc_id is null"))

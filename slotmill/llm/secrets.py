@@ -143,7 +143,7 @@ def _is(kind: str):
 
 def _marked(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """All columns of `docs` in a struct `row`, its text as `body` (null: empty) and `spans`, by start and rule."""
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("body"), F.xxhash64(docs["doc_id"], docs["text"]).alias("key"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("body"), F.xxhash64(docs["doc_id"], docs["text"]).alias("key"))
     found = candidates(rows, rules)
     full = rows.join(found, "key", "left")
     parts = []
