@@ -191,7 +191,8 @@ def _flat(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def links_between(left: list[dict], right: list[dict]) -> list[tuple[bytes, bytes]]:
     """One link for each two components with members (digest, label, bag) that reach the threshold."""
     value, owner, size = _flat(right)
-    label = np.array([x["label"] for x in right], object)
+    codes: dict[bytes, int] = {}
+    label = np.array([codes.setdefault(x["label"], len(codes)) for x in right])
     found: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
     for x in left:
         mine, _, (n,) = _flat([x])
@@ -199,7 +200,7 @@ def links_between(left: list[dict], right: list[dict]) -> list[tuple[bytes, byte
         reach = hi - lo
         at = np.repeat(lo - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
         both = np.bincount(owner[at], minlength=len(right))
-        for j in np.nonzero((both >= THRESHOLD * (n + size - both)) & (label != x["label"]))[0]:
+        for j in np.nonzero((both >= THRESHOLD * (n + size - both)) & (label != codes.get(x["label"], -1)))[0]:
             pair = tuple(sorted((x["digest"], right[j]["digest"])))
             found.setdefault(tuple(sorted((x["label"], right[j]["label"]))), pair)
     return list(found.values())
