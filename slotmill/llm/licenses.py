@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Notices and leading sentences of licence families, as they are published.
 TEMPLATES = (
     ("apache", "Licensed under the Apache License, Version 2.0"),
@@ -185,18 +187,21 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None) -> Data
     live = [(g, *map(float, w)) for g, w in zip(VOCABULARY, model.weights, strict=True) if w.any()]
     vocabulary = F.broadcast(spark.createDataFrame(live, "gram string, " + ", ".join(f"w{i} double" for i in range(len(CLASSES)))))  # the templates' n-grams at most
     rows = docs.where(F.arrays_overlap(_words(F.col("text")), need)).select(F.xxhash64("doc_id", "text").alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-    lines = rows.withColumn("words", _words(F.col("line"))).where(F.arrays_overlap("words", need)).select("key", "paragraph", F.explode(F.array("words")).alias("words"))
-    sums = lines.select("key", "paragraph", F.explode(_grams(F.col("words"))).alias("gram")).groupBy("key", "paragraph", "gram").agg(F.lit(1).alias("one")).join(vocabulary, "gram")
-    score = sums.groupBy("key", "paragraph").agg(*(F.sum(f"w{i}").alias(f"s{i}") for i in range(len(CLASSES))), F.collect_set("gram").alias("grams"))  # grams: the vocabulary at most
+    lines = cut(rows.where(F.arrays_overlap(_words(F.col("line")), need)), "lines")
+    # Each different paragraph is scored once, however many documents share it.
+    words = lines.select("line").distinct().select("line", F.explode(F.array(_words(F.col("line")))).alias("words"))
+    sums = words.select("line", F.explode(_grams(F.col("words"))).alias("gram")).join(vocabulary, "gram")
+    score = sums.groupBy("line").agg(*(F.sum(f"w{i}").alias(f"s{i}") for i in range(len(CLASSES))), F.collect_set("gram").alias("grams"))  # grams: the vocabulary at most
     logits = [((F.col(f"s{i}") + float(model.bias[i])) / float(model.temperature)) for i in range(len(CLASSES))]
-    scored = score.select("key", "paragraph", "grams", F.array(*(F.struct(x.alias("s"), F.lit(c).alias("c")) for x, c in zip(logits, CLASSES, strict=True))).alias("z"))
+    scored = score.select("line", "grams", F.array(*(F.struct(x.alias("s"), F.lit(c).alias("c")) for x, c in zip(logits, CLASSES, strict=True))).alias("z"))
     top = scored.withColumn("top", F.array_max("z")).where(F.col("top.c") != "unknown")
     total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x["s"] - F.col("top.s")))
-    found = top.select("key", "paragraph", "grams", F.col("top.c").alias("family"), (1 / total).alias("score"))
+    found = top.select("line", "grams", F.col("top.c").alias("family"), (1 / total).alias("score"))
     templates = F.broadcast(spark.createDataFrame([(f, grams(t)) for f, t in TEMPLATES], "family string, template array<string>"))  # as many rows as templates
     share = F.size(F.array_intersect("grams", "template")) / F.size("template")
-    best = found.join(templates, "family").groupBy("key", "paragraph", "family", "score").agg(F.max(share).alias("similarity"))
-    return best.withColumn("confirmed", F.col("similarity") >= CONFIRM)
+    best = found.join(templates, "family").groupBy("line", "family", "score").agg(F.max(share).alias("similarity"))
+    hits = lines.select("key", "paragraph", "line").distinct().join(best, "line").drop("line")
+    return hits.withColumn("confirmed", F.col("similarity") >= CONFIRM)
 
 
 def license_scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
