@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, cut, shingles, slices
+from .common import SLICE_ROWS, WordIds, cut, shingles, slices
 
 WINDOW, WIDTH, BLOCK = 10, 3, 200_000
 
@@ -176,10 +176,19 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _keep(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    matcher = Matcher(sent.value)
-    for part in slices(batches):
-        yield part.filter(pa.array([not matcher.find(words_of(t))[0] for t in part.column("text").cast(pa.binary()).to_pylist()], pa.bool_()))
+def _clean(sent):
+    """A filter column: whether no window of the block occurs in a text. Only the text leaves
+    the JVM, and one boolean a row returns."""
+
+    @F.arrow_udf("boolean")
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = Matcher(sent.value)
+        for text in parts:
+            raw = text.cast(pa.binary())
+            ok = [not matcher.find(words_of(t))[0] for at in range(0, len(raw), SLICE_ROWS) for t in raw.slice(at, SLICE_ROWS).to_pylist()]
+            yield pa.array(ok, pa.bool_())
+
+    return clean
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, block: int) -> list:
@@ -236,7 +245,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of `docs` without any occurrence of a benchmark window, all columns as they are."""
     for sent in _blocks(docs, benchmark, block):
-        docs = docs.mapInArrow(partial(_keep, sent=sent), docs.schema)
+        docs = docs.where(_clean(sent)(F.col("text")))
     return docs
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, crc_fold, cut, slices
+from .common import SLICE_ROWS, WordIds, crc_fold, cut, slices
 
 FOLDS = 5
 #: Labelled documents to fit on (expected), ridge, Newton rounds.
@@ -30,6 +30,7 @@ WEIGHT = (5.0, 1000.0)
 #: Sites up to this many rows are broadcast; more are joined by a shuffle.
 BROADCAST_SITES = 100_000
 KEEP = 0.5
+LEAST_ODDS = float(np.log(KEEP / (1 - KEEP)))
 
 
 def statistics(text: str | None, cache: WordIds) -> list[float]:
@@ -92,12 +93,21 @@ def _evidence(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "host", "path")), pa.array(odds, pa.float64())], ["doc_id", "host", "path", "odds"])
 
 
-def _keep(batches: Iterator[pa.RecordBatch], sent, shift: float) -> Iterator[pa.RecordBatch]:
-    cache, model = WordIds(), sent.value
-    for part in slices(batches):
-        odds = log_odds(model, part.column("text").to_pylist(), cache) + np.array(part.column("_slotmill_prior").to_pylist(), float) - shift
-        rest = part.select([c for c in part.schema.names if c != "_slotmill_prior"])
-        yield rest.filter(pa.array(odds >= np.log(KEEP / (1 - KEEP)), pa.bool_()))
+def _good(sent):
+    """A filter column: whether the log-odds of a text and `shifted` reach KEEP. Only the text
+    leaves the JVM, and one boolean a row returns."""
+
+    @F.arrow_udf("boolean")
+    def good(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        cache, model = WordIds(), sent.value
+        for text, shifted in parts:
+            ok = [np.empty(0, bool)]
+            for at in range(0, len(text), SLICE_ROWS):
+                odds = log_odds(model, text.slice(at, SLICE_ROWS).to_pylist(), cache)
+                ok.append(odds + shifted.slice(at, SLICE_ROWS).to_numpy(zero_copy_only=False) >= LEAST_ODDS)
+            yield pa.array(np.concatenate(ok))
+
+    return good
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED):
@@ -175,4 +185,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: st
     sites, shift = site_posteriors(_rows(docs, F.col(host), F.col(path)).mapInArrow(partial(_evidence, sent=sent), of))
     s = _sized(sites.select(F.col("host").alias("_slotmill_h"), F.col("path").alias("_slotmill_q"), F.col("prior").alias("_slotmill_prior")))
     full = docs.join(s, docs[host].cast("string").eqNullSafe(F.col("_slotmill_h")) & docs[path].cast("string").eqNullSafe(F.col("_slotmill_q")))
-    return full.drop("_slotmill_h", "_slotmill_q").mapInArrow(partial(_keep, sent=sent, shift=shift), docs.schema)
+    return full.where(_good(sent)(F.col("text"), F.col("_slotmill_prior") - F.lit(shift))).select(*(F.col(f"`{c}`") for c in docs.columns))
