@@ -117,7 +117,7 @@ class Classifier:
                 word = min(g.split(), key=lambda w: (seen.get(w, 0), w))
                 through[word] = through.get(word, 0) + x
         room, out = self.bias[-1] - self.bias[:-1], []
-        for word in sorted(through, key=lambda w: (-seen.get(w, 0), through[w].max(), w)):
+        for word in sorted(through, key=lambda w: (-seen.get(w, 0) / through[w].max(), through[w].max(), w)):
             if (through[word] <= room).all():
                 room = room - through[word]
             else:
@@ -190,7 +190,8 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None) -> Data
     lines = cut(rows.where(F.arrays_overlap(_words(F.col("line")), need)), "lines")
     # Each different paragraph is scored once, however many documents share it.
     words = lines.select("line").distinct().select("line", F.explode(F.array(_words(F.col("line")))).alias("words"))
-    sums = words.select("line", F.explode(_grams(F.col("words"))).alias("gram")).join(vocabulary, "gram")
+    known = F.array(*(F.lit(r[0]) for r in live))
+    sums = words.select("line", F.explode(F.array_intersect(_grams(F.col("words")), known)).alias("gram")).join(vocabulary, "gram")
     score = sums.groupBy("line").agg(*(F.sum(f"w{i}").alias(f"s{i}") for i in range(len(CLASSES))), F.collect_set("gram").alias("grams"))  # grams: the vocabulary at most
     logits = [((F.col(f"s{i}") + float(model.bias[i])) / float(model.temperature)) for i in range(len(CLASSES))]
     scored = score.select("line", "grams", F.array(*(F.struct(x.alias("s"), F.lit(c).alias("c")) for x, c in zip(logits, CLASSES, strict=True))).alias("z"))
