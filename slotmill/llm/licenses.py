@@ -1,6 +1,7 @@
 """License scans (operator 5): a trained paragraph classifier with template confirmation.
 
-A paragraph is a line. Its features are the distinct word n-grams (one to three words) that
+A paragraph ends at a line break or at a sentence's end, so that a notice counts wherever it
+stands. Its features are the distinct word n-grams (one to three words) that
 are in the vocabulary: the n-grams of the licence templates below. A multinomial logistic
 regression, fitted on the driver to varied templates and to a bounded sample of paragraphs of
 the corpus, gives weights for every family and for the class `unknown`; small weights are
@@ -27,7 +28,7 @@ from .common import cut
 #: Notices and leading sentences of licence families, as they are published.
 TEMPLATES = (
     ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache", "you may not use this file except in compliance with the License"),
     ("apache", "distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd", "Licensed under the BSD 3-Clause License"),
@@ -49,7 +50,7 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("mpl", "Licensed under the Mozilla Public License, version 2.0"),
     ("proprietary", "All rights reserved"),
-    ("proprietary", "Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential"),
+    ("proprietary", "Unauthorized copying of this file, via any medium is strictly prohibited"),
 )
 FAMILIES = tuple(sorted({f for f, _ in TEMPLATES}))
 CLASSES = (*FAMILIES, "unknown")
@@ -63,6 +64,8 @@ VARIANTS, EPOCHS, STEP, DECAY, LEAST_WEIGHT, CONFIRM = 14, 250, 0.1, 2e-3, 0.05,
 #: Paragraphs that stand in for the background where the corpus has none.
 PLAIN = ("the weather was fine and the people of the village went to the market", "a short note about the work of the week and what is to be done")
 
+#: Paragraphs end at line breaks and at sentence ends.
+_BREAK = r"\n|(?<=[.!?])[ \t]+"
 _SPLIT = r"[^a-z0-9\u0080-￿]+"
 
 
@@ -152,7 +155,7 @@ class Classifier:
 def train(docs: DataFrame) -> Classifier:
     """Fit on the templates and on paragraphs of about BACKGROUND_DOCS documents."""
     share = int(1_000_000 * min(1.0, BACKGROUND_DOCS / max(1, docs.count()))) + 1
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share).select(F.explode(F.split("text", "\n", -1)).alias("p"))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share).select(F.explode(F.split("text", _BREAK, -1)).alias("p"))
     lines = [r["p"] for r in some.where("length(trim(p)) > 0").orderBy(F.xxhash64("p"), "p").limit(BACKGROUND).collect()]
     return Classifier(lines)
 
@@ -178,7 +181,7 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None) -> Data
     """(key, paragraph, family, score, similarity, confirmed) for every paragraph of `docs`
     (doc_id, text, any others) that is predicted as a licence family.
 
-    `key` is the hash of the row's id and text, `paragraph` its line from 0. Repeated rows
+    `key` is the hash of the row's id and text, `paragraph` its place from 0. Repeated rows
     give one result. Null and empty texts have no paragraph of a licence.
     """
     model = model or train(docs)
@@ -186,7 +189,7 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None) -> Data
     need = F.array(*map(F.lit, model.needed))
     live = [(g, *map(float, w)) for g, w in zip(VOCABULARY, model.weights, strict=True) if w.any()]
     vocabulary = F.broadcast(spark.createDataFrame(live, "gram string, " + ", ".join(f"w{i} double" for i in range(len(CLASSES)))))  # the templates' n-grams at most
-    rows = docs.where(F.arrays_overlap(_words(F.col("text")), need)).select(F.xxhash64("doc_id", "text").alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
+    rows = docs.where(F.arrays_overlap(_words(F.col("text")), need)).select(F.xxhash64("doc_id", "text").alias("key"), F.posexplode(F.split("text", _BREAK, -1)).alias("paragraph", "line"))
     lines = cut(rows.where(F.arrays_overlap(_words(F.col("line")), need)), "lines")
     # Each different paragraph is scored once, however many documents share it.
     words = lines.select("line").distinct().select("line", F.explode(F.array(_words(F.col("line")))).alias("words"))
