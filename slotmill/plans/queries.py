@@ -17,6 +17,7 @@ from ..operators.fingerprint import feature_sets, features, fingerprints, ngram_
 from ..operators.similarity import compare_stored as stored_against_live
 from ..operators.similarity import compared, estimate_pairs, exact_pairs, one_against_all, set_classes, signature_classes, signature_text
 from ..sources.files import text_programs
+from .durable import cut
 
 K = 128
 
@@ -44,6 +45,11 @@ def user_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.unhex(text).alias("text")).select(F.col("user_id").cast("string").alias("program_id"), "text")
 
 
+def _prints(programs: DataFrame, **options) -> DataFrame:
+    """Fingerprints as a table: hashing is dear, and the queries read them more than once."""
+    return cut(fingerprints(programs, **options), "prints")
+
+
 def slots_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots(documents(spark, sf_dir))
 
@@ -92,15 +98,15 @@ def fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_pairs(set_classes(feature_sets(documents(spark, sf_dir)), "program_id", "ngrams"), 0.5)
+    return exact_pairs(cut(set_classes(feature_sets(documents(spark, sf_dir)), "program_id", "ngrams"), "classes"), 0.5)
 
 
 def jaccard_estimate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimate_pairs(signature_classes(fingerprints(turns(spark, sf_dir))), 0.5, K)
+    return estimate_pairs(cut(signature_classes(fingerprints(turns(spark, sf_dir))), "classes"), 0.5, K)
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimate_pairs(signature_classes(fingerprints(documents(spark, sf_dir))), 0.5, K)
+    return estimate_pairs(cut(signature_classes(fingerprints(documents(spark, sf_dir))), "classes"), 0.5, K)
 
 
 def _next_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,12 +116,12 @@ def _next_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compare_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a conversation against the next one."""
-    r = compared(_next_turns(spark, sf_dir), fingerprints(turns(spark, sf_dir)))
+    r = compared(_next_turns(spark, sf_dir), _prints(turns(spark, sf_dir)))
     return r.withColumn("notes", F.array_join("notes", "; "))
 
 
 def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compared(_next_turns(spark, sf_dir), fingerprints(turns(spark, sf_dir))).groupBy("tier").agg(F.count("*").alias("n"))
+    return compared(_next_turns(spark, sf_dir), _prints(turns(spark, sf_dir))).groupBy("tier").agg(F.count("*").alias("n"))
 
 
 def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,35 +135,35 @@ def _queried(prints: DataFrame) -> DataFrame:
 
 
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config, prints = lsh.LshConfig.of(K), fingerprints(turns(spark, sf_dir))
+    config, prints = lsh.LshConfig.of(K), _prints(turns(spark, sf_dir))
     found = lsh.candidates(lsh.buckets(prints, config), lsh.buckets(_queried(prints), config))
     return found.withColumn("bucket_key", hex16(F.col("bucket_key")))
 
 
 def lsh_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = fingerprints(turns(spark, sf_dir))
+    prints = _prints(turns(spark, sf_dir))
     return lsh.search(prints, _queried(prints), lsh.LshConfig.of(K, lsh.CLI_BANDS), 0.6)
 
 
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clusters(fingerprints(turns(spark, sf_dir), config=None), 0.5, K)
+    found = clusters(_prints(turns(spark, sf_dir), config=None), 0.5, K)
     return found.withColumn("members", F.array_join("members", ","))
 
 
 def cluster_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_members(fingerprints(documents(spark, sf_dir), config=None), 0.5, K)
+    return cluster_members(_prints(documents(spark, sf_dir), config=None).select("program_id", "minhash"), 0.5, K)
 
 
 def batch_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first turn of all against every other turn."""
-    r = one_against_all(fingerprints(turns(spark, sf_dir)), "0-0", 0.0)
+    r = one_against_all(_prints(turns(spark, sf_dir)), "0-0", 0.0)
     return r.withColumn("notes", F.array_join("notes", "; "))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog row a turn, under the id of its conversation: ids repeat."""
     c = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), "turn", F.concat_ws("-", "conv_id", "turn").alias("program_id"))
-    p = fingerprints(turns(spark, sf_dir), k=16).join(c, "program_id")
+    p = _prints(turns(spark, sf_dir), k=16).join(c, "program_id")
     return p.select(F.col("id").alias("program_id"), F.col("program_id").alias("source_path"), "ngram_count", "normalized_len", "simhash", "minhash", F.col("ngrams").alias("ngram_sample"), "turn")
 
 
@@ -189,4 +195,4 @@ def compare_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def basket_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sets of parts."""
     sets = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("items"))
-    return exact_pairs(set_classes(sets, "l_orderkey", "items"), 0.5)
+    return exact_pairs(cut(set_classes(sets, "l_orderkey", "items"), "classes"), 0.5)
