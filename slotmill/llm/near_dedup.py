@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         least = o.groupBy("key").agg(F.min("n").alias("n_min"))
         return o.join(least, "key").where(_within(F.col("shared"), F.col("n"), F.greatest("n_min", "shared"))).drop("n_min")
 
-    fit = able(open_)
+    fit = cut(able(open_), "fit")
     leads = fit.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("n"), "digest", "n", "shared", "label")).alias("l"))
     star2 = fit.join(leads, "key").where((F.col("label") != F.col("l.label")) & _within(F.least("shared", "l.shared"), F.col("n"), F.col("l.n")))
     star2 = star2.select(*_ordered(F.col("digest"), F.col("l.digest"))).distinct()
@@ -304,8 +304,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(two.where("ok").select("a", "b"))
         label = components(links, "cc2")
         open_ = open_.drop("label").join(label, open_.digest == label.node, "left").select("key", "digest", "n", "shared", F.coalesce("label", "digest").alias("label"))
-        fit = able(open_)
-    three = cut(_across(cut(fit, "fit"), bags), "round3")
+        fit = cut(able(open_), "fit")
+    three = cut(_across(fit, bags), "round3")
     if not three.isEmpty():
         label = components(links.union(three), "cc3")
 
