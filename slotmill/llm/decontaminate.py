@@ -14,14 +14,13 @@ size; with more than one block the hits are united by row content.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, WordIds, cut, shingles, slices
@@ -118,37 +117,24 @@ class Matcher:
         return spans, items
 
 
-def covered(spans) -> int:
-    n = end = 0
-    for start, length in sorted(spans):
-        n += max(0, start + length - max(end, start))
-        end = max(end, start + length)
-    return n
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+FOUND = "n_words long, spans array<struct<start:long,length:long>>, items array<string>"
 
 
-def _digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
-REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-
-def _report(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(sent.value)
     for part in slices(batches):
-        n_words, n_hit, n_items, sha = [], [], [], []
+        n_words, spans, items = [], [], []
         for text in part.column("text").cast(pa.binary()).to_pylist():
             words = words_of(text)
-            spans, items = matcher.find(words)
-            n_words.append(len(words)), n_hit.append(covered(spans)), n_items.append(len(items)), sha.append(_digest(items))
-        hit = pa.array(n_hit, pa.int64())
+            s, found = matcher.find(words)
+            n_words.append(len(words)), spans.append([{"start": a, "length": b} for a, b in sorted(s)]), items.append(sorted(found))
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(n_words, pa.int64()), hit, pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"]
         )
 
 
-def _spans(batches: Iterator[pa.RecordBatch], sent, block: int) -> Iterator[pa.RecordBatch]:
+def _hits(batches: Iterator[pa.RecordBatch], sent, block: int) -> Iterator[pa.RecordBatch]:
     """For the rows with hits: row content key, block, spans and items."""
     matcher = Matcher(sent.value)
     for part in slices(batches):
@@ -156,24 +142,16 @@ def _spans(batches: Iterator[pa.RecordBatch], sent, block: int) -> Iterator[pa.R
         for i, text in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
             s, found = matcher.find(words_of(text))
             if s:
-                keep.append(i), spans.append([{"s": a, "n": b} for a, b in sorted(s)]), items.append(sorted(found))
+                keep.append(i), spans.append([{"start": a, "length": b} for a, b in sorted(s)]), items.append(sorted(found))
         yield pa.RecordBatch.from_arrays(
-            [part.column("key").take(pa.array(keep, pa.int64())), pa.array([block] * len(keep), pa.int32()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("n", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-            ["key", "block", "spans", "items"],
+            [part.column("key").take(pa.array(keep, pa.int64())), pa.array([block] * len(keep), pa.int32()), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string()))], ["key", "block", "spans", "items"]
         )
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        n_words, n_hit, n_items, sha = [], [], [], []
-        for text, spans, items in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("spans").to_pylist(), part.column("items").to_pylist(), strict=True):
-            n_words.append(len(words_of(text))), n_hit.append(covered((x["s"], x["n"]) for y in spans or () for x in y))
-            found = {x for y in items or () for x in y}
-            n_items.append(len(found)), sha.append(_digest(found))
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_words, n_hit, n_items)), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+        n = [len(words_of(t)) for t in part.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), part.column("key")], ["doc_id", "n_words", "key"])
 
 
 def _clean(sent):
@@ -222,24 +200,43 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, block: int) -> list:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, any others) with its overlap with `benchmark`
-    (item_id, text, any others).
+    """(doc_id, n_words, spans, items) for every row of `docs` (doc_id, text, any others):
+    where windows of `benchmark` (item_id, text, any others) occur, in words, and whose.
 
     Null and empty texts have no words, hence no hits; null and word-less items have no
     windows. An item without an id makes hits but isn't listed; repeated items count once.
     Empty tables on either side give no hits or no rows.
     """
     sent = _blocks(docs, benchmark, block)
-    of = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {REPORT}"
+    kind = docs.schema["doc_id"].dataType.simpleString()
     if len(sent) == 1:
-        return docs.select("doc_id", "text").mapInArrow(partial(_report, sent=sent[0]), of)
+        return docs.select("doc_id", "text").mapInArrow(partial(_found, sent=sent[0]), f"doc_id {kind}, {FOUND}")
     rows = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
-    each = [rows.select("key", "text").mapInArrow(partial(_spans, sent=s, block=i), "key string, block int, spans array<struct<s:long,n:long>>, items array<string>") for i, s in enumerate(sent)]
+    of = "key string, block int, spans array<struct<start:long,length:long>>, items array<string>"
+    each = [rows.select("key", "text").mapInArrow(partial(_hits, sent=s, block=i), of) for i, s in enumerate(sent)]
     union = each[0]
     for x in each[1:]:
         union = union.unionByName(x)
-    merged = union.dropDuplicates(["key", "block"]).groupBy("key").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-    return rows.join(merged, "key", "left").select("doc_id", "text", "spans", "items").mapInArrow(_merged, of)
+    # One row a block and text at most, so a text gathers as many rows as there are blocks.
+    once = union.groupBy("key", "block").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+    merged = once.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
+    words = rows.mapInArrow(_counted, f"doc_id {kind}, n_words long, key string")
+    none = F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)")
+    return words.join(merged, "key", "left").select("doc_id", "n_words", F.coalesce("s", none).alias("spans"), F.coalesce("i", F.expr("cast(array() as array<string>)")).alias("items"))
+
+
+def digest(found: DataFrame) -> DataFrame:
+    """Counts of `contamination`: words inside any span, items, the SHA-256 of the items."""
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def step(a: Column, s: Column) -> Column:
+        end = F.greatest(a["end"], s["start"] + s["length"])
+        return F.struct(end.alias("end"), (a["n"] + end - F.greatest(a["end"], F.least(end, s["start"]))).alias("n"))
+
+    n_hit = F.aggregate("spans", start, step, lambda a: a["n"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:

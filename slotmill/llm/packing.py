@@ -144,17 +144,18 @@ def _tokens(path: str) -> ChunkTokens:
     return ChunkTokens(path)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     tokens = _tokens(path)
     for part in slices(batches):
-        at, start, length, crc, total = [], [], [], [], []
+        at, start, length, crc, total, kept = [], [], [], [], [], []
         for i, ids in enumerate(tokens.of([t or "" for t in part.column("text").to_pylist()])):
             ids += _END
             cuts = piece_starts(len(ids) // 4)
             for a, b in zip(cuts, cuts[1:], strict=False):
                 at.append(i), start.append(a), length.append(b - a), crc.append(zlib.crc32(ids[4 * a : 4 * b])), total.append(cuts[-1])
+                kept.append(ids[4 * a : 4 * b] if with_ids else None)
         long = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int64())), *long], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int64())), *long, pa.array(kept, pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
 
 def _price(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -225,16 +226,18 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
     return plan
 
 
-def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """One row a piece of `docs` (doc_id, text, any others): where it lies in which sequence.
+    With `with_ids` the pieces carry their ids, too, as little-endian unsigned 32-bit numbers.
 
     A null or empty text is a document of the end id alone. Repeated rows are packed each.
     An empty table gives no rows. Columns: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset.
     """
     spark = docs.sparkSession
-    of = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
-    made = docs.select("doc_id", "text").mapInArrow(partial(_pieces, path=tokenizer), of)
+    of = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+    made = docs.select("doc_id", "text").mapInArrow(partial(_pieces, path=tokenizer, with_ids=with_ids), of)
+    made = made if with_ids else made.drop("ids")
     pieces = cut(made.withColumn("uid", F.monotonically_increasing_id()).withColumn("size", F.ceil(F.col("length") / GRID).cast("int")), "pieces")
     histogram = sorted((r["size"], r["count"]) for r in pieces.groupBy("size").count().collect())  # at most CAPACITY / GRID rows
     blocks = _blocks(histogram)
@@ -248,7 +251,16 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     placed = ranked.join(slots, "size").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past")))
     placed = placed.withColumn("sequence_id", F.col("base") + (F.col("rank") - F.col("first")) % F.col("uses"))
     row = Window.partitionBy("sequence_id").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(row), F.lit(0)).alias("offset"))
+    out = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(row), F.lit(0)).alias("offset"))
+    return placed.select(*out, *["ids"] * with_ids)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, n_pieces, ids) from `pack(..., with_ids=True)`: a sequence's pieces in
+    order, at most CAPACITY of them."""
+    piece = F.struct("offset", "ids")
+    ids = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: F.hex(p["ids"])), ""))
+    return packed.groupBy("sequence_id").agg(F.count("*").alias("n_pieces"), ids.alias("ids"))
 
 
 def _blocks(histogram: list[tuple[int, int]], capacity: int = CAPACITY // GRID) -> list[tuple[int, int, int, int, int]]:

@@ -226,8 +226,8 @@ def test_quality_rules_keep_clean_documents(spark):
 
 def test_contamination_by_blocks(spark):
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
-    one = sorted(map(tuple, decontaminate.contamination(docs, bench).collect()))
-    assert one == sorted(map(tuple, decontaminate.contamination(docs, bench, block=70).collect()))
+    one = sorted(map(tuple, decontaminate.digest(decontaminate.contamination(docs, bench)).collect()))
+    assert one == sorted(map(tuple, decontaminate.digest(decontaminate.contamination(docs, bench, block=70)).collect()))
     clean = sorted(r[0] for r in one if not r[-1])
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == clean
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench, block=70).collect()) == clean
@@ -250,6 +250,11 @@ def test_packing_of_documents(spark):
     path = packing.tokenizer_path()
     padding = check_packing([(r.doc_id, r.text) for r in docs.collect()], packing.pack(docs, path).collect(), path)
     assert padding < 0.03
+    packed = packing.pack(docs, path, with_ids=True).cache()
+    lanes = {r.sequence_id: np.frombuffer(r.ids, "<u4") for r in packing.sequences(packed).collect()}
+    for p in packed.collect():
+        assert bytes(p.ids) == lanes[p.sequence_id][p.offset : p.offset + p.length].tobytes()
+    assert sum(map(len, lanes.values())) == sum(p.length for p in packed.collect())
 
 
 @settings(max_examples=100, deadline=None)
@@ -267,6 +272,6 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.run(spark, SMALL).collect()
     kept = {r.doc_id for r in pieces}
     docs = {r.doc_id for r in table(spark, "documents").collect()}
-    hit = {r.doc_id for r in decontaminate.contamination(table(spark, "documents"), table(spark, "benchmark")).collect() if r.contaminated}
+    hit = {r.doc_id for r in decontaminate.contamination(table(spark, "documents"), table(spark, "benchmark")).collect() if r.spans}
     assert kept and kept < docs and not kept & hit
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "packing"]

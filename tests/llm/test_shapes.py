@@ -47,8 +47,8 @@ def applied(name, docs, labels, benchmark):
         "secrets": lambda: secrets.digest(secrets.find_secrets(docs)),
         "redact": lambda: secrets.redact(docs),
         "rules": lambda: quality_rules.quality_rules(docs),
-        "contamination": lambda: decontaminate.contamination(docs, benchmark),
-        "blocks": lambda: decontaminate.contamination(docs, benchmark, block=1),
+        "contamination": lambda: decontaminate.digest(decontaminate.contamination(docs, benchmark)),
+        "blocks": lambda: decontaminate.digest(decontaminate.contamination(docs, benchmark, block=1)),
     }[name]()
 
 
@@ -95,7 +95,7 @@ def test_defined_results(docs, labels, benchmark):
     assert all(lang[i].lang_pred == "und" and lang[i].score == 0 for i in (0, 1, 2, 3))
     lic = {r.doc_id: r.families for r in licenses.license_scan(docs).collect()}
     assert lic[13] == "mit" and lic[0] == lic[6] == ""
-    hit = {r.doc_id: r for r in decontaminate.contamination(docs, benchmark).collect()}
+    hit = {r.doc_id: r for r in decontaminate.digest(decontaminate.contamination(docs, benchmark)).collect()}
     assert (hit[5].n_hit, hit[5].n_items, hit[4].n_hit, hit[4].n_items) == (2, 1, 1, 0) and hit[6].contaminated and not hit[0].contaminated
     redacted = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert redacted[14].text == "[SECRET]" and redacted[14].n_chars == 8 and redacted[0].text is None and redacted[6].text == GOOD
