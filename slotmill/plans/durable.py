@@ -30,3 +30,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/slotmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of files a core below which a table is dealt out anew.
+SPREAD_BYTES = 4_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` (a plain scan) over all cores if its files are tiny, else as it is.
+
+    A small file is one task however dear the work on its rows; dealing it out moves a few
+    megabytes a core at most. Larger tables keep their scan's partitions: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < SPREAD_BYTES * cores else df

@@ -17,13 +17,13 @@ from ..operators.fingerprint import feature_sets, features, fingerprints, ngram_
 from ..operators.similarity import compare_stored as stored_against_live
 from ..operators.similarity import compared, estimate_pairs, exact_pairs, one_against_all, set_classes, signature_classes, signature_text
 from ..sources.files import text_programs
-from .durable import cut
+from .durable import cut, spread
 
 K = 128
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
