@@ -43,5 +43,5 @@ def spread(df: DataFrame) -> DataFrame:
     megabytes a core at most. Larger tables keep their scan's partitions: nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < SPREAD_BYTES * cores else df
