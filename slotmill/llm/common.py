@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components as components
 from ..plans.durable import cut as cut
+from ..plans.durable import spread
 
 #: Distinct words a worker remembers before it starts afresh; only memory depends on it.
 WORD_CACHE = 200_000
@@ -24,7 +25,7 @@ WORDS = re.compile(r"\w+").findall
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:
