@@ -24,14 +24,15 @@ ROWS = 64
 
 def slots(programs: DataFrame) -> DataFrame:
     """(program_id, i, opcode, dst, src, token): one row a whole slot, on the JVM alone."""
-    h = programs.select("program_id", F.hex("text").alias("h")).where(F.length("h") >= 16)
-    each = h.select("program_id", "h", F.explode(F.sequence(F.lit(0), (F.length("h") / 16).cast("int") - 1)).alias("i"))
-    s = each.select("program_id", "i", F.col("h").substr(F.col("i") * 16 + 1, F.lit(4)).alias("s"))
+    some = programs.select("program_id", "text", F.floor(F.octet_length("text") / 8).cast("int").alias("n")).where("n > 0")
+    # Only the two bytes that matter of each slot are listed, never the stream beside each.
+    heads = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("text"), i * 8 + 1, 2))
+    each = some.select("program_id", F.posexplode(heads).alias("i", "head")).select("program_id", "i", F.hex("head").alias("s"))
 
-    def digits(at: int, n: int) -> Column:
-        return F.conv(F.substring("s", at, n), 16, 10).cast("int")
+    def digit(at: int) -> Column:
+        return F.instr(F.lit("0123456789ABCDEF"), F.substring("s", at, 1)) - 1
 
-    out = s.select("program_id", "i", digits(1, 2).alias("opcode"), digits(4, 1).alias("dst"), digits(3, 1).alias("src"))
+    out = each.select("program_id", "i", (digit(1) * 16 + digit(2)).alias("opcode"), digit(4).alias("dst"), digit(3).alias("src"))
     return out.withColumn("token", F.shiftleft("opcode", 16).bitwiseOR(F.shiftleft("dst", 8)).bitwiseOR(F.col("src")))
 
 
