@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import cut
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, cut: Callable[[DataFrame, str], DataFrame] = cut) -> DataFrame:
     """(node, label): for every node of `edges` (a, b), the least node of its component.
 
     Rounds of least-neighbour labels followed by pointer jumping, each cut to a durable

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 
@@ -20,16 +21,59 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+def _written(df: DataFrame, name: str) -> str:
+    path = f"{checkpoint_dir(df.sparkSession)}/slotmill-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it back.
 
     This ends the lineage in a table that every executor sees, so a lost executor costs
     only its running tasks, and later reads get column pruning.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/slotmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name))
+
+
+class Scratch:
+    """Cuts that go together, once what was made of them is durable itself."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = _written(df, name)
+        self.paths.append((df.sparkSession, path))
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        while self.paths:
+            spark, path = self.paths.pop()
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Words of 64 bits in a prefilter at most: a few megabytes to broadcast, whatever the table.
+FILTER_WORDS = 2**17
+
+
+def maybe_in(df: DataFrame, key: Column, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`df` in two parts: rows whose 64-bit `key` may be among `hashes` (hash), and rows whose
+    key surely isn't.
+
+    A bitmap of at most FILTER_WORDS words is broadcast. It decides nothing by itself: it only
+    spares rows that surely don't meet a shuffle; full, it spares none.
+    """
+    n = hashes.count()
+    words = min(FILTER_WORDS, 2 ** max(4, (n // 4).bit_length()))
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(hash, 32), 64L) as int))")
+    bits = hashes.where("hash is not null").groupBy(F.pmod("hash", F.lit(words)).alias("_slotmill_word")).agg(F.bit_or(bit).alias("_slotmill_bits"))
+    probe = df.withColumn("_slotmill_key", F.coalesce(key, F.lit(0)))
+    both = probe.join(F.broadcast(bits), F.pmod("_slotmill_key", F.lit(words)) == F.col("_slotmill_word"), "left")
+    hit = F.expr("(shiftright(coalesce(_slotmill_bits, 0L), cast(pmod(shiftrightunsigned(_slotmill_key, 32), 64L) as int)) & 1L) = 1L")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return both.where(hit).select(*columns), both.where(~hit).select(*columns)
 
 
 #: Bytes of files a core below which a table is dealt out anew.
