@@ -33,7 +33,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, WordIds, components, cut, mix, shingles, slices
+from .common import WORDS, Scratch, WordIds, components, maybe_in, mix, shingles, slices
+from .common import cut as durable_cut
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 #: Texts and shingles that a chunk of a mixed bucket has on average.
@@ -212,7 +213,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
-def _across(fit: DataFrame, bags: DataFrame) -> DataFrame:
+def _across(fit: DataFrame, bags: DataFrame, cut) -> DataFrame:
     """Links (a, b) between components of the same bucket of `fit` (key, digest, n, label).
 
     Each bucket's largest component is its major side. Both sides are dealt into chunks of
@@ -233,7 +234,7 @@ def _across(fit: DataFrame, bags: DataFrame) -> DataFrame:
     return met.select("p", "q").mapInArrow(_cross, "a binary, b binary").distinct()
 
 
-def _checked(pairs: DataFrame, bags: DataFrame, name: str) -> DataFrame:
+def _checked(pairs: DataFrame, bags: DataFrame, name: str, cut) -> DataFrame:
     """`pairs` (a, b) with whether they reach the threshold."""
     full = pairs.join(bags.select(F.col("digest").alias("a"), F.col("bag").alias("bag_a")), "a").join(
         bags.select(F.col("digest").alias("b"), F.col("bag").alias("bag_b")), "b"
@@ -252,29 +253,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     (null, empty, punctuation only) has no shingle and is never a duplicate: its class is its
     own id. Repeated rows are equal texts and share a class. An empty table gives no rows.
     """
+    scratch = Scratch()
+    cut = scratch.cut
     rows = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_sketch, f"{_id(docs)}, th long, digest binary, n long, bands array<long>"), "sketch")
-    texts = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    member = texts.select("digest", "n", F.explode("bands").alias("key"))
-    ends = member.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("lo"), F.max(F.struct("digest", "n")).alias("hi")).where("lo.digest <> hi.digest")
+    own = rows.where("digest is not null").groupBy("digest")
+    texts = cut(own.agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
+    # Keys alone are counted first; only members of shared keys go on.
+    shared = texts.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    member = cut(texts.select("digest", "n", F.explode("bands").alias("key")).join(shared, "key"), "members")
+    ends = member.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("lo"), F.max(F.struct("digest", "n")).alias("hi"))
     buckets = cut(member.join(ends, "key").select("key", "digest", "n", "lo", "hi"), "buckets")
 
     def close(n, m):
         return F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m)
 
     # The texts of candidates are read again: far fewer than all.
-    wanted = buckets.select("digest").distinct().join(texts.select("digest", F.col("first.doc_id").alias("w_id"), F.col("first.th").alias("w_th")), "digest")
-    plain = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    wanted = cut(buckets.select("digest").distinct().join(texts.select("digest", F.col("first.doc_id").alias("w_id"), F.col("first.th").alias("w_th")), "digest"), "wanted")
+    plain, _ = maybe_in(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), F.col("th"), wanted.select(F.col("w_th").alias("hash")))
     source = plain.join(wanted, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    bags = cut(source.select("digest", "text").mapInArrow(_bags, "digest binary, bag binary").dropDuplicates(["digest"]), "bags")
+    bags = cut(source.select("digest", "text").mapInArrow(_bags, "digest binary, bag binary"), "bags")
+    if bags.count() > wanted.count():  # rows that repeat id and text
+        bags = cut(bags.dropDuplicates(["digest"]), "bags")
 
     def star(end):
         return buckets.where((F.col("digest") != F.col(f"{end}.digest")) & close(F.col("n"), F.col(f"{end}.n"))).select("digest", F.col(f"{end}.digest").alias("lead"))
 
     votes = star("lo").union(star("hi")).groupBy("digest", "lead").count()
     best = votes.groupBy("digest").agg(F.max(F.struct("count", "lead")).alias("m"))
-    one = _checked(best.select(*_ordered(F.col("digest"), F.col("m.lead"))).distinct(), bags, "round1")
+    one = _checked(best.select(*_ordered(F.col("digest"), F.col("m.lead"))).distinct(), bags, "round1", cut)
     links = one.where("ok").select("a", "b")
-    label = components(links, "cc1")
+    label = components(links, "cc1", cut)
 
     def mixed(label: DataFrame) -> DataFrame:
         """Buckets whose members are in more than one component so far."""
@@ -299,20 +307,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leads = fit.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("n"), "digest", "n", "shared", "label")).alias("l"))
     star2 = fit.join(leads, "key").where((F.col("label") != F.col("l.label")) & _within(F.least("shared", "l.shared"), F.col("n"), F.col("l.n")))
     star2 = star2.select(*_ordered(F.col("digest"), F.col("l.digest"))).distinct()
-    two = _checked(star2.join(one.select("a", "b"), ["a", "b"], "left_anti"), bags, "round2")
+    two = _checked(star2.join(one.select("a", "b"), ["a", "b"], "left_anti"), bags, "round2", cut)
     if not two.where("ok").isEmpty():
         links = links.union(two.where("ok").select("a", "b"))
-        label = components(links, "cc2")
+        label = components(links, "cc2", cut)
         open_ = open_.drop("label").join(label, open_.digest == label.node, "left").select("key", "digest", "n", "shared", F.coalesce("label", "digest").alias("label"))
         fit = cut(able(open_), "fit")
-    three = cut(_across(fit, bags), "round3")
+    three = cut(_across(fit, bags, cut), "round3")
     if not three.isEmpty():
-        label = components(links.union(three), "cc3")
+        label = components(links.union(three), "cc3", cut)
 
     ids = texts.select("digest", "least_id").join(label, texts.digest == label.node, "left").select("digest", "least_id", F.coalesce("label", "digest").alias("label"))
     least = ids.groupBy("label").agg(F.min("least_id").alias("class_id"))
     of = ids.join(least, "label").select("digest", "class_id")
-    return rows.join(of, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").alias("n_shingles"))
+    result = durable_cut(rows.join(of, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").alias("n_shingles")), "classes")
+    scratch.drop()
+    return result
 
 
 def _id(docs: DataFrame) -> str:
@@ -325,9 +335,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows that repeat an id stay apart if their texts differ; of equal ones one stays. Rows
     with a null doc_id all stay, and so do texts without words.
     """
-    marks = cut(near_duplicates(docs).where("doc_id = class_id").groupBy(F.col("doc_id").alias("_slotmill_keep")).agg(F.count("*").alias("_slotmill_rows")), "kept")
-    once, more = marks.where("_slotmill_rows = 1"), marks.where("_slotmill_rows > 1")
-    kept = docs.join(once, docs["doc_id"] == F.col("_slotmill_keep"), "left_semi")
-    if not more.isEmpty():
-        kept = kept.unionByName(docs.join(more, docs["doc_id"] == F.col("_slotmill_keep"), "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept.unionByName(docs.where("doc_id is null"))
+    near = near_duplicates(docs)
+    marks = durable_cut(near.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("class_id")).cast("int")).alias("_slotmill_stays"), F.count("*").alias("_slotmill_rows")), "kept")
+    # Most rows stay and are told by a bitmap that they do: they aren't shuffled.
+    odd = marks.where("doc_id is not null and (_slotmill_stays = 0 or _slotmill_rows > 1)").withColumnRenamed("doc_id", "_slotmill_id")
+    maybe, surely = maybe_in(docs, F.xxhash64("doc_id"), odd.select(F.xxhash64("_slotmill_id").alias("hash")))
+    known = maybe.join(odd, maybe["doc_id"] == F.col("_slotmill_id"), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = surely.unionByName(known.where("_slotmill_id is null").select(*columns))
+    if not odd.where("_slotmill_stays = 1").isEmpty():
+        kept = kept.unionByName(known.where("_slotmill_stays = 1").select(*columns).dropDuplicates(["doc_id", "text"]))
+    return kept
