@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.u64 import from_decimal
-from ..sources.files import scan_directory, with_ids
+from ..sources.files import load_paths, scan_directory, with_ids
+from ..sources.files import strict as load_checked
 from .fingerprint import NO_NGRAMS, fingerprints
 from .kernels import HASHES, NGRAM, NormalizeConfig
 
@@ -65,6 +66,12 @@ def scan(spark: SparkSession, directory: str, n: int = NGRAM, k: int = HASHES, s
     return of_programs(programs, n, k, strict)
 
 
+def entry_of_file(spark: SparkSession, path: str, program_id: str | None = None, n: int = NGRAM, k: int = HASHES) -> DataFrame:
+    """The catalog row of one file, under its default id or the one given; failures are errors."""
+    row = of_programs(load_checked(load_paths(spark, [path])), n, k)
+    return row.withColumn("program_id", F.lit(program_id)) if program_id else row
+
+
 def load_json(spark: SparkSession, path: str) -> DataFrame:
     """Reads one catalog object; missing fields are an error, the version isn't judged."""
     raw = spark.read.schema(_JSON).option("multiLine", True).option("mode", "FAILFAST").json(path)

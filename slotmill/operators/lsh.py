@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.u64 import fnv_words
+from .catalog import scan
+from .kernels import HASHES, NGRAM
 from .similarity import estimate
 
 DEFAULT_BANDS, CLI_BANDS = 16, 8
@@ -63,3 +65,8 @@ def search(prints: DataFrame, queries: DataFrame, config: LshConfig, least: floa
     scored = found.join(prints.select("program_id", "minhash"), "program_id").join(q, "query_id")
     scored = scored.select("query_id", "program_id", estimate(F.col("minhash"), F.col("q")).alias("score"), "band")
     return scored.where(F.col("score") >= least).orderBy("query_id", F.desc("score"), "program_id")
+
+
+def index_directory(spark: SparkSession, directory: str, bands: int = DEFAULT_BANDS, n: int = NGRAM, k: int = HASHES) -> DataFrame:
+    """`buckets` of all programs below a folder."""
+    return buckets(scan(spark, directory, n, k), LshConfig.of(k, bands))

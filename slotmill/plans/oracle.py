@@ -146,6 +146,26 @@ FROM c JOIN cl l ON l.id = a JOIN cl r ON r.id = b WHERE n / (len(l.items) + len
 """
 
 
+_DOC_GRAMS = (_DOCS, _SLOTS, _NORMAL, _NTOK, _GRAMS)
+
+
+def _estimate_sql(*parts: str) -> str:
+    """Pairs of equal-signature classes at 0.5 or more."""
+    return _with(*parts, _minhash(128)) + """,
+sg AS (SELECT program_id, string_agg(v, ',' ORDER BY i) AS s FROM mh GROUP BY program_id),
+cl AS (SELECT min(program_id) AS id, count(*) AS size FROM sg GROUP BY s),
+m AS (SELECT id, size, i, v FROM cl JOIN mh ON mh.program_id = id)
+SELECT x.id AS a, y.id AS b, any_value(x.size) AS size_a, any_value(y.size) AS size_b, CAST(count(*) / 128.0 AS DOUBLE) AS jaccard_estimate
+FROM m x JOIN m y ON x.i = y.i AND x.v = y.v AND x.id < y.id GROUP BY x.id, y.id HAVING count(*) >= 64
+"""
+
+
+_REACH = """,
+est AS (SELECT x.program_id AS a, y.program_id AS b, count(*) / 128.0 AS e FROM mh x JOIN mh y ON x.i = y.i AND x.v = y.v AND x.program_id <> y.program_id GROUP BY x.program_id, y.program_id),
+ids AS (SELECT DISTINCT program_id FROM mh),
+reach(a, b) AS (SELECT program_id, program_id FROM ids UNION SELECT reach.a, est.b FROM reach JOIN est ON est.a = reach.b AND e >= 0.5),
+lab AS (SELECT a AS program_id, min(b) AS label FROM reach GROUP BY a)"""
+
 ORACLE_SQL = {
     "slots_decode": _with(_DOCS, _SLOTS) + " SELECT program_id, CAST(i AS INTEGER) AS i, opcode, dst, src, CAST(opcode * 65536 + dst * 256 + src AS INTEGER) AS token FROM dec",
     "ngram_total_count": _with(_DOCS) + " SELECT program_id, CAST(greatest(0, length(t) // 16 - 2) AS BIGINT) AS n_grams FROM prog",
@@ -157,13 +177,16 @@ ORACLE_SQL = {
     "minhash_signature": _with(*_TURN_GRAMS, _minhash(128)) + " SELECT program_id, string_agg(v, ',' ORDER BY i) AS minhash FROM mh GROUP BY program_id",
     "simhash": _with(_DOCS, _SLOTS, _NORMAL, _NTOK, _GRAMS, _SIM) + f" SELECT program_id, {_hex('simhash')} AS simhash FROM sh",
     "jaccard_exact_pairs": _exact_sql(_with(_DOCS, _SLOTS, _NORMAL, _NTOK, _GRAMS, " it AS (SELECT program_id AS key, f AS item FROM gram)")),
-    "jaccard_estimate_pairs": _with(*_TURN_GRAMS, _minhash(128)) + """,
-sg AS (SELECT program_id, string_agg(v, ',' ORDER BY i) AS s FROM mh GROUP BY program_id),
-cl AS (SELECT min(program_id) AS id, count(*) AS size FROM sg GROUP BY s),
-m AS (SELECT id, size, i, v FROM cl JOIN mh ON mh.program_id = id)
-SELECT x.id AS a, y.id AS b, any_value(x.size) AS size_a, any_value(y.size) AS size_b, CAST(count(*) / 128.0 AS DOUBLE) AS jaccard_estimate
-FROM m x JOIN m y ON x.i = y.i AND x.v = y.v AND x.id < y.id GROUP BY x.id, y.id HAVING count(*) >= 64
+    "jaccard_estimate_pairs": _estimate_sql(*_TURN_GRAMS),
+    "document_pairs": _estimate_sql(*_DOC_GRAMS),
+    "fingerprint_documents": _with(*_DOC_GRAMS, _minhash(128), _SIM, _COUNTS)
+    + f"""
+SELECT c.program_id, c.n AS ngram_count, l.n AS normalized_len, m.minhash, {_hex("simhash")} AS simhash FROM cnt c
+JOIN (SELECT program_id, 8 * count(*) AS n FROM kept GROUP BY program_id) l ON l.program_id = c.program_id
+JOIN (SELECT program_id, string_agg(v, ',' ORDER BY i) AS minhash FROM mh GROUP BY program_id) m ON m.program_id = c.program_id
+JOIN sh ON sh.program_id = c.program_id
 """,
+    "cluster_documents": _with(_DOCS, _SLOTS, _RAW, _GRAMS, _minhash(128)) + _REACH + " SELECT program_id, label FROM lab",
     "compare_report": _with(*_TURN_GRAMS, _minhash(128), _SIM, _COUNTS, _NEXT, _report(128)) + " SELECT * FROM rep",
     "tier_counts": _with(*_TURN_GRAMS, _minhash(128), _SIM, _COUNTS, _NEXT, _report(128)) + " SELECT tier, count(*) AS n FROM rep GROUP BY tier",
     "lsh_buckets": _with(*_TURN_GRAMS, _minhash(128), _bands(8)) + " SELECT program_id, band, bucket_key FROM bu",
@@ -172,11 +195,7 @@ FROM m x JOIN m y ON x.i = y.i AND x.v = y.v AND x.id < y.id GROUP BY x.id, y.id
 SELECT query_id, cd.program_id, CAST(count(*) / 128.0 AS DOUBLE) AS score, any_value(band) AS band FROM cd JOIN mh x ON x.program_id = query_id JOIN mh y ON y.program_id = cd.program_id AND x.i = y.i AND x.v = y.v
 GROUP BY query_id, cd.program_id HAVING count(*) / 128.0 >= 0.6
 """,
-    "cluster_summary": _with(_TURNS, _SLOTS, _RAW, _GRAMS, _minhash(128)) + """,
-est AS (SELECT x.program_id AS a, y.program_id AS b, count(*) / 128.0 AS e FROM mh x JOIN mh y ON x.i = y.i AND x.v = y.v AND x.program_id <> y.program_id GROUP BY x.program_id, y.program_id),
-ids AS (SELECT DISTINCT program_id FROM mh),
-reach(a, b) AS (SELECT program_id, program_id FROM ids UNION SELECT reach.a, est.b FROM reach JOIN est ON est.a = reach.b AND e >= 0.5),
-lab AS (SELECT a AS program_id, min(b) AS label FROM reach GROUP BY a),
+    "cluster_summary": _with(_TURNS, _SLOTS, _RAW, _GRAMS, _minhash(128)) + _REACH + """,
 grp AS (SELECT label, string_agg(program_id, ',' ORDER BY program_id) AS members, count(*) AS size FROM lab GROUP BY label),
 sim AS (SELECT l.label, sum(e) / 2 AS s FROM est JOIN lab l ON l.program_id = a JOIN lab r ON r.program_id = b AND r.label = l.label GROUP BY l.label)
 SELECT row_number() OVER (ORDER BY size DESC, grp.label) - 1 AS cluster_id, members, size,

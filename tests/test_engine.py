@@ -14,6 +14,7 @@ from slotmill.operators import catalog, lsh
 from slotmill.operators.cluster import cluster_members, clusters
 from slotmill.operators.components import components
 from slotmill.operators.fingerprint import features, fingerprints, ngram_total
+from slotmill.operators.hashing import feature_hash, minhash_long, permuted_hash, simhash_long
 from slotmill.operators.similarity import compared, estimate_pairs, exact_pairs, set_classes, signature_classes
 from slotmill.plans import registry
 from slotmill.sources.elf import LoadError, text_section
@@ -72,6 +73,19 @@ def test_fingerprints_of_documents(spark, documents):
     assert {r.program_id: r.n_grams for r in ngram_total(programs).collect()}["tiny"] == 0
 
 
+def test_column_sketches_equal_the_kernels(spark, documents):
+    programs, sets = documents
+    some = features(programs.where("program_id in ('0', '3x', '7')"))
+    got: dict = {}
+    for r in minhash_long(some, 6).collect():
+        got.setdefault(r.program_id, {})[r.i] = r.v % 2**64
+    assert {i: [v[j] for j in range(6)] for i, v in got.items()} == {i: model.minhash(sets[i], 6) for i in ("0", "3x", "7")}
+    assert {r.program_id: r.simhash % 2**64 for r in simhash_long(some).collect()} == {i: model.simhash(sets[i]) for i in ("0", "3x", "7")}
+    edge = spark.createDataFrame([(0, 0), (0, 1), (-1, 127)], "f long, i int")
+    assert [hex(r[0] % 2**64) for r in edge.select(permuted_hash(F.col("f"), F.col("i"))).collect()] == ["0xb43207b5f07bec15", "0x1cf3dfff4522e4c3", "0xa977f34c5b02895"]
+    assert [hex(r[0] % 2**64) for r in spark.createDataFrame([(0,), (1,)], "f long").select(feature_hash(F.col("f"))).collect()] == ["0x7a0b81a1f57055af", "0xa63f41d436a19f7c"]
+
+
 def test_pairs_and_clusters_equal_brute_force(spark, documents):
     programs, _ = documents
     k = 32
@@ -171,6 +185,9 @@ def test_catalog_round_trip(spark, tree):
     path = str(tree / "out/db.json")
     assert catalog.save_json(rows, path) == 5
     back = catalog.load_json(spark, path)
+    one = catalog.entry_of_file(spark, str(tree / "bin/prog_a.so"), "other").first()
+    assert (one.program_id, one.ngram_count) == ("other", 29)
+    assert lsh.index_directory(spark, str(tree / "bin"), 8).count() == 5 * 8
     key = lambda r: (r.program_id, r.source_path, r.ngram_count, r.normalized_len, r.simhash, r.minhash, sorted(r.ngram_sample))
     assert sorted(map(key, back.collect())) == sorted(map(key, rows.collect()))
     assert json.loads(open(path).read())["version"] == 1
