@@ -16,10 +16,11 @@ few documents in which it left a component empty, hence no bias.
 Search. Equal texts (same word sequence) collapse first. Signatures are cut in bands; texts
 that share a band are candidates. Verification is the exact multiset overlap, in three rounds
 that never list the pairs of a group: (1) each text against the leader it shares most bands
-with, (2) in buckets that still mix components, each text that can reach the threshold there
-against the text with the smallest share of shingles of its own, (3) what remains between
-different components of mixed buckets, in full, chunk against chunk. A text can reach the threshold only if enough
-of its shingles occur in other texts of mixed buckets at all. A bucket whose members are all
+with, (2) in buckets that still mix components, all pairs between components if the bucket is
+small, else each text that can reach the threshold there against the text with the smallest
+share of shingles of its own, (3) what remains between different components of large mixed
+buckets, in full, chunk against chunk. A text can reach the threshold only if enough of its
+shingles occur in other texts of large mixed buckets at all. A bucket whose members are all
 in one component needs no further pair, so no link between different classes is lost.
 """
 
@@ -37,6 +38,8 @@ from .common import WORDS, Scratch, WordIds, components, maybe_in, mix, shingles
 from .common import cut as durable_cut
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
+#: Members up to which a mixed bucket's pairs are listed.
+SMALL = 8
 #: Texts and shingles that a chunk of a mixed bucket has on average.
 CHUNK_ROWS, CHUNK_MASS = 256, 100_000
 
@@ -284,35 +287,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = one.where("ok").select("a", "b")
     label = components(links, "cc1", cut)
 
-    def mixed(label: DataFrame) -> DataFrame:
-        """Buckets whose members are in more than one component so far."""
-        at = buckets.join(label, buckets.digest == label.node, "left").select("key", "digest", "n", "lo", "hi", F.coalesce("label", "digest").alias("label"))
-        some = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-        return at.join(some, "key")
-
-    # Only texts of mixed buckets matter from here on, and of these only such as can have a
-    # partner there: shingles that no other of them has can't be shared with any partner.
-    open_ = cut(mixed(label), "mixed1")
-    some = open_.select("digest").distinct().join(bags, "digest")
-    counts = some.mapInArrow(_counts, "digest binary, shingle long, times long").groupBy("shingle").agg(F.count("*").alias("texts"), F.min("digest").alias("digest"), F.min("times").alias("times"))
+    # Buckets whose members are in more than one component so far.
+    at = buckets.join(label, buckets.digest == label.node, "left").select("key", "digest", "n", F.coalesce("label", "digest").alias("label"))
+    some = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("members")).where("l0 <> l1").select("key", "members")
+    open_ = cut(at.join(some, "key"), "mixed")
+    # Of small ones all pairs between components are few.
+    few = open_.where(F.col("members") <= SMALL)
+    left = few.select("key", F.col("label").alias("x"), F.col("digest").alias("p"), F.col("n").alias("n_p"))
+    right = few.select("key", F.col("label").alias("y"), F.col("digest").alias("q"), F.col("n").alias("n_q"))
+    pairs = left.join(right, "key").where((F.col("x") < F.col("y")) & close(F.col("n_p"), F.col("n_q"))).select(*_ordered(F.col("p"), F.col("q")))
+    # In large ones only such texts matter as can have a partner there: shingles that no other
+    # text of large mixed buckets has can't be shared with any partner.
+    many = open_.where(F.col("members") > SMALL).drop("members")
+    counts = many.select("digest").distinct().join(bags, "digest").mapInArrow(_counts, "digest binary, shingle long, times long")
+    counts = counts.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("digest").alias("digest"), F.min("times").alias("times"))
     own = cut(counts.where("texts = 1").groupBy("digest").agg(F.sum("times").alias("own")), "own")
-    open_ = cut(open_.join(own, "digest", "left").select("key", "digest", "n", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), "open")
+    many = cut(many.join(own, "digest", "left").select("key", "digest", "n", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), "many")
 
     def able(o: DataFrame) -> DataFrame:
         """Rows that can reach the threshold with the shortest text of their bucket."""
         least = o.groupBy("key").agg(F.min("n").alias("n_min"))
         return o.join(least, "key").where(_within(F.col("shared"), F.col("n"), F.greatest("n_min", "shared"))).drop("n_min")
 
-    fit = cut(able(open_), "fit")
+    fit = cut(able(many), "fit")
     leads = fit.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("n"), "digest", "n", "shared", "label")).alias("l"))
     star2 = fit.join(leads, "key").where((F.col("label") != F.col("l.label")) & _within(F.least("shared", "l.shared"), F.col("n"), F.col("l.n")))
-    star2 = star2.select(*_ordered(F.col("digest"), F.col("l.digest"))).distinct()
-    two = _checked(star2.join(one.select("a", "b"), ["a", "b"], "left_anti"), bags, "round2", cut)
+    star2 = star2.select(*_ordered(F.col("digest"), F.col("l.digest")))
+    two = _checked(pairs.union(star2).distinct().join(one.select("a", "b"), ["a", "b"], "left_anti"), bags, "round2", cut)
     if not two.where("ok").isEmpty():
         links = links.union(two.where("ok").select("a", "b"))
         label = components(links, "cc2", cut)
-        open_ = open_.drop("label").join(label, open_.digest == label.node, "left").select("key", "digest", "n", "shared", F.coalesce("label", "digest").alias("label"))
-        fit = cut(able(open_), "fit")
+        many = many.drop("label").join(label, many.digest == label.node, "left").select("key", "digest", "n", "shared", F.coalesce("label", "digest").alias("label"))
+        fit = cut(able(many), "fit")
     three = cut(_across(fit, bags, cut), "round3")
     if not three.isEmpty():
         label = components(links.union(three), "cc3", cut)
