@@ -144,10 +144,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordIds()
     for part in slices(batches):
-        ids = [cache.of(WORDS((t or "").lower())) for t in part.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [part.column("digest"), pa.array([np.sort(shingles(x, WIDTH)).tobytes() for x in ids], pa.binary())], ["digest", "bag"]
-        )
+        ids = [x for x in (cache.of(WORDS((t or "").lower())) for t in part.column("text").to_pylist()) if len(x)]
+        digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in ids], pa.binary())
+        yield pa.RecordBatch.from_arrays([digests, pa.array([np.sort(shingles(x, WIDTH)).tobytes() for x in ids], pa.binary())], ["digest", "bag"])
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -262,20 +261,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = rows.where("digest is not null").groupBy("digest")
     texts = cut(own.agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
     # Keys alone are counted first; only members of shared keys go on.
-    shared = texts.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    member = cut(texts.select("digest", "n", F.explode("bands").alias("key")).join(shared, "key"), "members")
+    keys = texts.select("digest", "n", F.explode("bands").alias("key"))
+    shared = cut(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "shared")
+    maybe, _ = maybe_in(keys, F.col("key"), shared.select(F.col("key").alias("hash")))
+    member = cut(maybe.join(shared, "key"), "members")
     ends = member.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("lo"), F.max(F.struct("digest", "n")).alias("hi"))
     buckets = cut(member.join(ends, "key").select("key", "digest", "n", "lo", "hi"), "buckets")
 
     def close(n, m):
         return F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m)
 
-    # The texts of candidates are read again: far fewer than all.
-    wanted = cut(buckets.select("digest").distinct().join(texts.select("digest", F.col("first.doc_id").alias("w_id"), F.col("first.th").alias("w_th")), "digest"), "wanted")
-    plain, _ = maybe_in(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), F.col("th"), wanted.select(F.col("w_th").alias("hash")))
-    source = plain.join(wanted, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    bags = cut(source.select("digest", "text").mapInArrow(_bags, "digest binary, bag binary"), "bags")
-    if bags.count() > wanted.count():  # rows that repeat id and text
+    # The texts of candidates are read again: far fewer than all. The bitmap lets a few others
+    # through, whose shingles are made in vain.
+    wanted = buckets.select("digest").distinct().join(texts.select("digest", F.xxhash64("first.doc_id", "first.th").alias("hash")), "digest")
+    wanted = cut(wanted, "wanted")
+    again = docs.select("text", F.xxhash64("doc_id", F.xxhash64("text")).alias("row"))
+    again, _ = maybe_in(again, F.col("row"), wanted.select("hash"))
+    bags = cut(again.mapInArrow(_bags, "digest binary, bag binary"), "bags")
+    if bags.count() > 2 * wanted.count():  # many rows that repeat id and text
         bags = cut(bags.dropDuplicates(["digest"]), "bags")
 
     def star(end):
@@ -299,7 +302,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # In large ones only such texts matter as can have a partner there: shingles that no other
     # text of large mixed buckets has can't be shared with any partner.
     many = open_.where(F.col("members") > SMALL).drop("members")
-    counts = many.select("digest").distinct().join(bags, "digest").mapInArrow(_counts, "digest binary, shingle long, times long")
+    large = cut(many.select("digest").distinct(), "large")
+    some, _ = maybe_in(bags, F.xxhash64("digest"), large.select(F.xxhash64("digest").alias("hash")))
+    counts = some.join(large, "digest", "left_semi").mapInArrow(_counts, "digest binary, shingle long, times long")
     counts = counts.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("digest").alias("digest"), F.min("times").alias("times"))
     own = cut(counts.where("texts = 1").groupBy("digest").agg(F.sum("times").alias("own")), "own")
     many = cut(many.join(own, "digest", "left").select("key", "digest", "n", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), "many")
