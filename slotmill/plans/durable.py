@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,11 +14,13 @@ _local: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; only where it is unset, a new local one."""
+    """The shared folder of `spark.checkpoint.dir`; only where it is unset, a new local one
+    that goes with the process."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         if "dir" not in _local:
             _local["dir"] = tempfile.mkdtemp(prefix="slotmill-")
+            atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
         conf = _local["dir"]
     return conf.rstrip("/")
 
