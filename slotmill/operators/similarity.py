@@ -103,16 +103,19 @@ def signature_classes(prints: DataFrame) -> DataFrame:
 def estimate_pairs(classes: DataFrame, threshold: float, k: int) -> DataFrame:
     """(a, b, size_a, size_b, jaccard_estimate) of `signature_classes` at `threshold` (> 0) or more.
 
-    Lossless: two signatures with m equal positions of k agree in one of any k - m + 1, so
-    only that many positions are joined.
+    Lossless: two signatures with m equal positions of k differ in k - m at most, so of
+    k - m + 1 blocks of positions one is equal throughout. Only blocks are joined; the higher
+    the threshold, the longer and rarer they are.
     """
     if threshold <= 0:
         raise ValueError("pairs without any equal position aren't listed: the threshold must be above 0")
     need = max(1, math.ceil(threshold * k - 1e-9))
     if need > k:
         return classes.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.col("size").alias("size_a"), F.col("size").alias("size_b"), F.lit(0.0).alias("jaccard_estimate")).where("false")
-    some = classes.select("class_id", F.posexplode(F.slice("minhash", 1, k - need + 1)).alias("i", "v"))
-    pairs = some.select(F.col("class_id").alias("a"), "i", "v").join(some.select(F.col("class_id").alias("b"), "i", "v"), ["i", "v"]).where("a < b").select("a", "b").distinct()
+    ends = [i * k // (k - need + 1) for i in range(k - need + 2)]
+    blocks = F.array(*(F.xxhash64(F.lit(i), F.slice("minhash", a + 1, b - a)) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))))
+    some = classes.select("class_id", F.explode(blocks).alias("block"))
+    pairs = some.select(F.col("class_id").alias("a"), "block").join(some.select(F.col("class_id").alias("b"), "block"), "block").where("a < b").select("a", "b").distinct()
     side = lambda s: classes.select(F.col("class_id").alias(s), F.col("minhash").alias(f"m_{s}"), F.col("size").alias(f"size_{s}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     return full.select("a", "b", "size_a", "size_b", estimate(F.col("m_a"), F.col("m_b")).alias("jaccard_estimate")).where(F.col("jaccard_estimate") >= threshold)
