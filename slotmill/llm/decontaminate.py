@@ -72,18 +72,35 @@ def _widths(windows: list[bytes]) -> list[int]:
     return sorted({min(WIDTH, w.count(b" ") + 1) for w in windows})
 
 
+class Among:
+    """Where hashes are in a sorted set: by a bitmap of their leading bits, then a search."""
+
+    SHIFT = np.uint64(64 - 18)
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values, self.leading = values, np.zeros(2**18, bool)
+        self.leading[values >> self.SHIFT] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the hashes found, and where in the set they are."""
+        some = np.nonzero(self.leading[hashes >> self.SHIFT])[0]
+        if not len(some):
+            return some, some
+        at = np.minimum(np.searchsorted(self.values, hashes[some]), len(self.values) - 1)
+        found = self.values[at] == hashes[some]
+        return some[found], at[found]
+
+
 def _count(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     """How often each shingle of the benchmark occurs in the documents of this task."""
     wanted, widths = sent.value
-    total, cache = np.zeros(len(wanted), np.int64), ByteIds()
+    total, cache, among = np.zeros(len(wanted), np.int64), ByteIds(), Among(wanted)
     for part in slices(batches):
         for text in part.column("text").cast(pa.binary()).to_pylist():
             ids = cache.of(words_of(text))
             for width in widths:
                 if len(ids) >= width:
-                    h = shingles(ids, width)
-                    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    np.add.at(total, at[wanted[at] == h], 1)
+                    np.add.at(total, among.find(shingles(ids, width))[1], 1)
     some = np.nonzero(total)[0]
     yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(total[some])], ["shingle", "n"])
 
@@ -92,21 +109,21 @@ class Matcher:
     """Finds the windows of one block in documents."""
 
     def __init__(self, sent: tuple) -> None:
-        self.prefixes, self.places, self.items, self.widths = sent
+        prefixes, self.places, self.items, self.widths = sent
+        self.prefixes = Among(prefixes)
         self.cache = ByteIds()
 
     def find(self, words: list[bytes]) -> tuple[set[tuple[int, int]], set[str]]:
         """(start, length) of every occurrence, and the items they belong to."""
         spans, items = set(), set()
-        if not len(self.prefixes):
+        if not len(self.prefixes.values):
             return spans, items
         ids = self.cache.of(words)
         for width in self.widths:
             if len(ids) < width:
                 continue
             h = shingles(ids, width)
-            at = np.minimum(np.searchsorted(self.prefixes, h), len(self.prefixes) - 1)
-            for pos in np.nonzero(self.prefixes[at] == h)[0].tolist():
+            for pos in self.prefixes.find(h)[0].tolist():
                 for offset, length in self.places[int(h[pos])]:
                     start = pos - offset
                     if start >= 0 and start + length <= len(words):
