@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +27,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+#: Rows that go to a Python worker at a time while a cut is written: rows hold whole texts.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, an action sends BATCH_ROWS rows to Python at a time, or fewer if the session
+    says so; afterwards the session's own setting holds again."""
+    was = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(was)) if int(was) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, was)
+
+
 def _written(df: DataFrame, name: str) -> str:
     path = f"{checkpoint_dir(df.sparkSession)}/slotmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return path
 
 
