@@ -16,6 +16,7 @@ from ..operators.components import components as components
 from ..plans.durable import Scratch as Scratch
 from ..plans.durable import cut as cut
 from ..plans.durable import maybe_in as maybe_in
+from ..plans.durable import small_batches as small_batches
 from ..plans.durable import spread
 
 #: Distinct words a worker remembers before it starts afresh; only memory depends on it.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, WordIds, cut, shingles, slices
+from .common import SLICE_ROWS, WordIds, cut, shingles, slices, small_batches
 
 WINDOW, WIDTH, BLOCK = 10, 3, 200_000
 
@@ -203,7 +203,8 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, block: int) -> list:
         if len(wanted):
             sent = spark.sparkContext.broadcast((wanted, _widths(list(items))))
             found = docs.select("text").mapInArrow(partial(_count, sent=sent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-            counts = {r["shingle"] % 2**64: r["n"] for r in found.collect()}  # at most the block's shingles
+            with small_batches(spark):
+                counts = {r["shingle"] % 2**64: r["n"] for r in found.collect()}  # at most the block's shingles
         places: dict[int, set] = defaultdict(set)
         live: dict[bytes, list[str]] = {}
         for w, choices in of.items():

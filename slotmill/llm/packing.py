@@ -34,6 +34,8 @@ CAPACITY, END_ID, GRID, GAP = 2048, 1, 4, 0.002
 MAX_ROUNDS = 4000
 #: Chunks a worker remembers, and the longest remembered chunk; only memory and speed depend on them.
 CHUNK_CACHE, CHUNK_LENGTH = 500_000, 40
+#: Length of chunks that a worker remembers from one task to the next.
+SHORT = 9
 
 _END = np.array([END_ID], "<u4").tobytes()
 #: A comma or full stop after anything but white space, a Latin letter or a digit.
@@ -114,6 +116,11 @@ class ChunkTokens:
         self.known.update((c, x) for c, x in codes.items() if len(c) <= CHUNK_LENGTH)
         return codes
 
+    def trim(self) -> None:
+        """Forgets the long chunks, which seldom come again."""
+        if len(self.known) > CHUNK_CACHE // 4:
+            self.known = {c: x for c, x in self.known.items() if len(c) <= SHORT}
+
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CHUNK_CACHE:
             self.known.clear()
@@ -146,6 +153,7 @@ def _tokens(path: str) -> ChunkTokens:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     tokens = _tokens(path)
+    tokens.trim()
     for part in slices(batches):
         at, start, length, crc, total, kept = [], [], [], [], [], []
         for i, ids in enumerate(tokens.of([t or "" for t in part.column("text").to_pylist()])):
@@ -156,6 +164,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Ite
                 kept.append(ids[4 * a : 4 * b] if with_ids else None)
         long = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int64())), *long, pa.array(kept, pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+    tokens.trim()
 
 
 def _price(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
