@@ -33,20 +33,20 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within it, an action sends BATCH_ROWS rows to Python at a time, or fewer if the session
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within it, an action sends `rows` rows to Python at a time, or fewer if the session
     says so; afterwards the session's own setting holds again."""
     was = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(was)) if int(was) > 0 else BATCH_ROWS))
+    spark.conf.set(_BATCH, str(min(rows, int(was)) if int(was) > 0 else rows))
     try:
         yield
     finally:
         spark.conf.set(_BATCH, was)
 
 
-def _written(df: DataFrame, name: str) -> str:
+def _written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> str:
     path = f"{checkpoint_dir(df.sparkSession)}/slotmill-{name}-{uuid.uuid4().hex}"
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, rows):
         df.write.parquet(path)
     return path
 
@@ -66,8 +66,9 @@ class Scratch:
     def __init__(self) -> None:
         self.paths: list[tuple[SparkSession, str]] = []
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        path = _written(df, name)
+    def cut(self, df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+        """`rows` go to a Python worker at a time: few where each holds much."""
+        path = _written(df, name, rows)
         self.paths.append((df.sparkSession, path))
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
