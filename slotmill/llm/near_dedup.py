@@ -241,7 +241,7 @@ def _checked(pairs: DataFrame, bags: DataFrame, name: str, cut) -> DataFrame:
     full = pairs.join(bags.select(F.col("digest").alias("a"), F.col("bag").alias("bag_a")), "a").join(
         bags.select(F.col("digest").alias("b"), F.col("bag").alias("bag_b")), "b"
     )
-    return cut(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a binary, b binary, ok boolean"), name)
+    return cut(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a binary, b binary, ok boolean"), name, 500)
 
 
 def _ordered(a, b):
@@ -324,7 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         label = components(links, "cc2", cut)
         many = many.drop("label").join(label, many.digest == label.node, "left").select("key", "digest", "n", "shared", F.coalesce("label", "digest").alias("label"))
         fit = cut(able(many), "fit")
-    three = cut(_across(fit, bags, cut), "round3")
+    three = cut(_across(fit, bags, cut), "round3", 4)
     if not three.isEmpty():
         label = components(links.union(three), "cc3", cut)
 
