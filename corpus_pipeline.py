@@ -38,8 +38,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into training sequences."""
-    return pack(docs, tokenizer_path())
+    """Packs the documents into training sequences; workers keep memory for the other stages."""
+    return pack(docs, tokenizer_path(), remembered=150_000)
 
 
 STAGES = [

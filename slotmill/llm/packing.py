@@ -33,9 +33,7 @@ CAPACITY, END_ID, GRID, GAP = 2048, 1, 4, 0.002
 #: Pricing rounds at most; stopping early only leaves a slightly worse plan, never a piece.
 MAX_ROUNDS = 4000
 #: Chunks a worker remembers, and the longest remembered chunk; only memory and speed depend on them.
-CHUNK_CACHE, CHUNK_LENGTH = 500_000, 40
-#: Length of chunks that a worker remembers from one task to the next.
-SHORT = 9
+CHUNK_CACHE, CHUNK_LENGTH = 900_000, 40
 
 _END = np.array([END_ID], "<u4").tobytes()
 #: A comma or full stop after anything but white space, a Latin letter or a digit.
@@ -79,6 +77,7 @@ class ChunkTokens:
         self.mark = max(words, key=lambda w: (len(w), w))[:-4]
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.limit = CHUNK_CACHE
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
@@ -117,13 +116,11 @@ class ChunkTokens:
         return codes
 
     def trim(self) -> None:
-        """Forgets the long chunks, which seldom come again."""
-        if len(self.known) > CHUNK_CACHE // 4:
-            self.known = {c: x for c, x in self.known.items() if len(c) <= SHORT}
+        if len(self.known) > self.limit:
+            self.known.clear()
 
     def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CHUNK_CACHE:
-            self.known.clear()
+        self.trim()
         split = [self.chunks(t) for t in texts]
         codes = [list(map(self.known.get, c)) for c in split]
         new: set[str] = set()
@@ -151,9 +148,9 @@ def _tokens(path: str) -> ChunkTokens:
     return ChunkTokens(path)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool, remembered: int) -> Iterator[pa.RecordBatch]:
     tokens = _tokens(path)
-    tokens.trim()
+    tokens.limit = remembered
     for part in slices(batches):
         at, start, length, crc, total, kept = [], [], [], [], [], []
         for i, ids in enumerate(tokens.of([t or "" for t in part.column("text").to_pylist()])):
@@ -235,9 +232,10 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
     return plan
 
 
-def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False, remembered: int = CHUNK_CACHE) -> DataFrame:
     """One row a piece of `docs` (doc_id, text, any others): where it lies in which sequence.
     With `with_ids` the pieces carry their ids, too, as little-endian unsigned 32-bit numbers.
+    Workers remember up to `remembered` chunks: more of them are faster and take more memory.
 
     A null or empty text is a document of the end id alone. Repeated rows are packed each.
     An empty table gives no rows. Columns: doc_id, start, length, ids_crc32, doc_tokens,
@@ -245,7 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     of = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    made = docs.select("doc_id", "text").mapInArrow(partial(_pieces, path=tokenizer, with_ids=with_ids), of)
+    made = docs.select("doc_id", "text").mapInArrow(partial(_pieces, path=tokenizer, with_ids=with_ids, remembered=remembered), of)
     made = made if with_ids else made.drop("ids")
     pieces = cut(made.withColumn("uid", F.monotonically_increasing_id()).withColumn("size", F.ceil(F.col("length") / GRID).cast("int")), "pieces")
     histogram = sorted((r["size"], r["count"]) for r in pieces.groupBy("size").count().collect())  # at most CAPACITY / GRID rows
