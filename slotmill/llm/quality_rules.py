@@ -2,15 +2,17 @@
 
 Each text becomes a vector of transformed statistics. Per language and source the minimum
 covariance determinant estimate gives a centre and a scatter that a minority of odd texts
-can't move: from coordinate-wise medians, concentration steps take the H of the rows that lie
-nearest by Mahalanobis distance and estimate anew from them; a last step takes all rows within
+can't move: from coordinate-wise medians, scaled by the floors (which no rows can inflate),
+concentration steps take the (n + p + 1) / 2 of n rows in p coordinates that lie nearest by
+Mahalanobis distance and estimate anew from them; a last step takes all rows within
 the RELIABLE distance. Texts farther than CUTOFF are rejected, as are those that fail the base
 rules, which take no part in the estimates.
 
 Native: DataFrame functions only. One pass over the narrow table of statistics per step: rows
-are summed by group and distance bin (counts, sums, products), the bins are cut at H, and the
-Cholesky factors of all groups are column expressions. Groups are never gathered; a group
-holding any share of the rows combines before the shuffle.
+are summed by group and distance bin (counts, sums, products), the bins are cut at that half (the
+last one counts in part, so that many copies in it don't all get in), and the Cholesky factors of
+all groups are column expressions. Groups are never gathered; a group holding any share of the
+rows combines before the shuffle.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from .common import cut
 
 #: Rows that a group needs for an estimate of its own; smaller ones are pooled by language, then altogether.
 LEAST_ROWS = 40
-#: Share of a group that an estimate rests on, concentration steps, chi-square 0.975 of six
-#: coordinates, consistency factor of the share, squared distance beyond which a text goes.
-H, STEPS, RELIABLE, CONSISTENCY, CUTOFF = 0.75, 3, 14.45, 1.36, 80.0
+#: Concentration steps, chi-square 0.975 of six coordinates, squared distance beyond which a text goes.
+STEPS, RELIABLE, CUTOFF = 3, 14.45, 80.0
+#: Consistency factor in six coordinates where an estimate rests on a half and on 0.6 of a group; linear between.
+CONSISTENCY = (1.7845, 1.5942)
 #: Distance bins: as many to a factor of e.
 BINS = 24
 #: Tables of groups up to this many rows are broadcast; more are joined by a shuffle.
@@ -129,23 +132,19 @@ def _factor(groups: DataFrame) -> DataFrame:
 
 
 def _medians(rows: DataFrame) -> DataFrame:
-    """A first estimate per group: medians and scaled quartile distances, from fixed-width bins."""
+    """A first estimate per group: medians, from fixed-width bins, and no scatter but the floors."""
     long = rows.select("grp", F.explode(F.array(*(F.struct(F.lit(a).alias("dim"), F.floor(F.col(a) / (FLOOR[a] / 8)).alias("bin")) for a in DIMS))).alias("x"))
     binned = long.groupBy("grp", "x.dim", "x.bin").count()
     order = Window.partitionBy("grp", "dim").orderBy("bin")
     share = binned.withColumn("upto", F.sum("count").over(order) / F.sum("count").over(Window.partitionBy("grp", "dim")))
-    at = lambda q: F.min(F.when(F.col("upto") >= q, F.col("bin")))
-    q = share.groupBy("grp", "dim").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
+    q = share.groupBy("grp", "dim").agg(F.min(F.when(F.col("upto") >= 0.5, F.col("bin"))).alias("mid"))
     pick = lambda a, c: F.max(F.when(F.col("dim") == a, c))
-    wide = q.groupBy("grp").agg(
-        *(pick(a, (F.col("mid") + 0.5) * (FLOOR[a] / 8)).alias(f"m_{a}") for a in DIMS),
-        *(pick(a, F.pow((F.col("hi") - F.col("lo")) * (FLOOR[a] / 8 / 1.35), 2)).alias(f"s_{a}{a}") for a in DIMS),
-    )
-    return wide.withColumns({f"s_{a}{b}": F.lit(0.0) for a, b in PAIRS if a != b})
+    wide = q.groupBy("grp").agg(*(pick(a, (F.col("mid") + 0.5) * (FLOOR[a] / 8)).alias(f"m_{a}") for a in DIMS))
+    return wide.withColumns({f"s_{a}{b}": F.lit(0.0) for a, b in PAIRS})
 
 
 def _estimate(rows: DataFrame, groups: DataFrame, reliable: bool) -> DataFrame:
-    """The next (grp, m_*, s_*): from the nearest H of each group, or from all reliable rows."""
+    """The next (grp, m_*, s_*): from the nearest half of each group, or from all reliable rows."""
     full = _distance(rows.join(_sized(groups), "grp"))
     sums = [F.count("*").alias("n"), *(F.sum(a).alias(f"t_{a}") for a in DIMS), *(F.sum(F.col(a) * F.col(b)).alias(f"p_{a}{b}") for a, b in PAIRS)]
     if reliable:
@@ -154,9 +153,11 @@ def _estimate(rows: DataFrame, groups: DataFrame, reliable: bool) -> DataFrame:
         binned = full.withColumn("bin", F.floor(F.log1p("d2") * BINS)).groupBy("grp", "bin").agg(*sums)
         order = Window.partitionBy("grp").orderBy("bin")
         before = F.sum("n").over(order) - F.col("n")
-        near = binned.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy("grp"))).where(F.col("before") < F.col("all") * H)
-        got = near.groupBy("grp").agg(*(F.sum(c).alias(c) for c in ("n", *(f"t_{a}" for a in DIMS), *(f"p_{a}{b}" for a, b in PAIRS))))
-        factor = CONSISTENCY
+        counted = binned.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy("grp")))
+        half = F.floor((F.col("all") + len(DIMS) + 1) / 2)
+        near = counted.withColumn("part", F.least(F.lit(1.0), (half - F.col("before")) / F.col("n"))).where("part > 0")
+        got = near.groupBy("grp").agg(F.first("all").alias("all"), *(F.sum(F.col(c) * F.col("part")).alias(c) for c in ("n", *(f"t_{a}" for a in DIMS), *(f"p_{a}{b}" for a, b in PAIRS))))
+        factor = CONSISTENCY[0] - (CONSISTENCY[0] - CONSISTENCY[1]) * (F.col("n") / F.col("all") - 0.5) / 0.1
     mean = {a: F.col(f"t_{a}") / F.col("n") for a in DIMS}
     return got.select("grp", *(mean[a].alias(f"m_{a}") for a in DIMS), *((factor * (F.col(f"p_{a}{b}") / F.col("n") - mean[a] * mean[b])).alias(f"s_{a}{b}") for a, b in PAIRS))
 

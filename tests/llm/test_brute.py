@@ -13,6 +13,7 @@ import pytest
 from conftest import SMALL, duck, rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from slotmill.llm import decontaminate, language_id, near_dedup, packing, quality, quality_rules, queries, secrets, toxicity, url_filter
@@ -217,6 +218,20 @@ def test_estimates_resist_a_minority_and_keep_the_rest(spark):
     assert np.allclose(np.sort(mine), np.sort(d2), rtol=1e-6) and (d2 > quality_rules.CUTOFF).sum() == 500
 
 
+@pytest.mark.parametrize("share", [1 / 3, 0.45])
+@pytest.mark.parametrize("copies", [False, True])
+def test_estimates_resist_large_groups_of_bad_rows(spark, share, copies):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 6)) * [0.8, 0.3, 0.1, 0.05, 0.05, 0.02]
+    bad = round(share * len(x))
+    x[:bad, 2] = rng.normal(3, 0.1, bad)  # about a symbol a word
+    if copies:
+        x[:bad] = x[0]
+    df = spark.createDataFrame([(i, "g", *map(float, r)) for i, r in enumerate(x)], "i long, grp string, " + ", ".join(f"{d} double" for d in quality_rules.DIMS))
+    far = quality_rules._distance(df.join(quality_rules.robust_estimates(df.drop("i")), "grp")).where(F.col("d2") > quality_rules.CUTOFF)
+    assert sorted(r.i for r in far.select("i").collect()) == list(range(bad))
+
+
 def test_quality_rules_keep_clean_documents(spark):
     rows = quality_rules.quality_rules(table(spark, "documents", MEDIUM)).join(table(spark, "labels", MEDIUM), "doc_id").collect()
     clean = [r for r in rows if r.quality == 1 and not r.base_failed]
