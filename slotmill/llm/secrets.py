@@ -37,6 +37,17 @@ class Rule:
     least: int = 1
 
 
+#: A private key: its header through its END line, else through the lines of base64 after it.
+#: Line breaks may be spelled \n, lines quoted or indented. Without END the lines are at most 256
+#: (16 KB), as Java's expressions go a stack frame deeper with each.
+_GAP = r"""[\x20\t\r\n\\>|*#"',;+-]+(?:r\\+)?"""
+_LONG = "[A-Za-z0-9+/]" * 20 + "*"  # twenty at least, spelled out: DuckDB has no counts of more than 1000 in all
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[\x20\t\r\n]|\\[rn]){1,4}[A-Za-z]+-[A-Za-z]+:[^\r\n\\]*){0,8}"
+    r"(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}{_LONG}={{0,2}}){{1,256}}(?:{_GAP}[A-Za-z0-9+/]{{1,19}}={{0,2}})?)?"
+)
+
 BASE = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
@@ -48,7 +59,7 @@ MORE = (
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("login", r"[a-z][a-z0-9+.-]*://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
 )
 RULES = BASE + MORE

@@ -180,6 +180,38 @@ def test_redaction(spark):
     assert got == {1: ('x [SECRET]" y', 13), 2: ("clean", 5)}
 
 
+def test_redaction_leaves_nothing_of_a_private_key(spark):
+    rng = random.Random(10)
+    lines = ["".join(rng.choice("ABCDwxyz0189+/") for _ in range(n)) for n in (*[64] * 24, 18)]
+    lines[-1] += "=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    info = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    body = "\n".join(lines)
+    keys = [
+        f"{begin}\n{body}\n{end}",
+        f"{begin}\r\n" + "\r\n".join(lines) + f"\r\n{end}",
+        f"{begin}\n{info}{body}\n{end}",
+        f"{begin}\n{body}",
+        f"{begin}\n{info}{body}",
+        f"{begin}\\n" + "\\n".join(lines) + f"\\n{end}",
+        f"{begin}\\r\\n" + "\\r\\n".join(lines),
+        f"-{begin}\n-" + "\n-".join(lines) + f"\n-{end}",
+        f"    {begin}\n    " + "\n    ".join(lines) + f"\n    {end}",
+    ]
+    texts = [f"Before.\n{k}\n\n(After.)" for k in keys] + [f"Before. {begin} (After.)", "\n".join(keys[:4]) + "\n(After.)"]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in got.items():
+        assert "[SECRET]" in text and "(After.)" in text and not any(x in text for x in lines), (i, text)
+    assert got[0] == "Before.\n[SECRET]\n\n(After.)" and got[3] == "Before.\n[SECRET]\n\n(After.)"
+    # The same spans in every engine.
+    found = secrets.digest(secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).toPandas()
+    con = duck(SMALL)
+    con.execute("CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in enumerate(texts)) + ") v(doc_id, text)")
+    assert rows_of(found) == rows_of(con.execute(queries.ORACLE_SQL["op8_secrets"]).df())
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert spans == {i: model_spans(t) for i, t in enumerate(texts)}
+
+
 def model_statistics(text: str):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen = collections.Counter(zip(words, words[1:], words[2:], strict=False))
