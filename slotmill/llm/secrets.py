@@ -60,7 +60,7 @@ MORE = (
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", PEM),
-    Rule("login", r"[a-z][a-z0-9+.-]*://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
+    Rule("login", r"[a-z][a-z0-9+.-]*://[^\s/:@]*:[^\s/:@]+@"),
 )
 RULES = BASE + MORE
 

@@ -212,6 +212,15 @@ def test_redaction_leaves_nothing_of_a_private_key(spark):
     assert spans == {i: model_spans(t) for i, t in enumerate(texts)}
 
 
+def test_long_tokens_and_empty_user_names_are_logins(spark):
+    logins = ["https://oauth2:" + "t0" * 33 + "@host", "redis://:hunter2@host", "ftp://" + "u" * 70 + ":pw@host"]
+    plain = ["https://host/a:b@c", "https://host:80/x", "see http://: @ there"]
+    docs = spark.createDataFrame(list(enumerate(logins + plain)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert [got[i] for i in range(6)] == ["[SECRET]host"] * 3 + plain
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(docs).collect()} == {i: model_spans(t) for i, t in enumerate(logins + plain)}
+
+
 def model_statistics(text: str):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen = collections.Counter(zip(words, words[1:], words[2:], strict=False))
