@@ -1,7 +1,8 @@
 """License scans (operator 5): a trained paragraph classifier with template confirmation.
 
-A paragraph ends at a line break or at a sentence's end, so that a notice counts wherever it
-stands. Its features are the distinct word n-grams (one to three words) that
+A paragraph ends at a blank line or at a sentence's end. It is classified line by line, so that a
+notice counts wherever it stands, and as a whole with its line breaks as blanks, so that a wrapped
+notice counts, too. Its features are the distinct word n-grams (one to three words) that
 are in the vocabulary: the n-grams of the licence templates below. A multinomial logistic
 regression, fitted on the driver to varied templates and to a bounded sample of paragraphs of
 the corpus, gives weights for every family and for the class `unknown`; small weights are
@@ -20,7 +21,7 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -64,8 +65,9 @@ VARIANTS, EPOCHS, STEP, DECAY, LEAST_WEIGHT, CONFIRM = 14, 250, 0.1, 2e-3, 0.05,
 #: Paragraphs that stand in for the background where the corpus has none.
 PLAIN = ("the weather was fine and the people of the village went to the market", "a short note about the work of the week and what is to be done")
 
-#: Paragraphs end at line breaks and at sentence ends.
+#: Lines end at line breaks and at sentence ends; paragraphs at blank lines (of comments, too) and at sentence ends.
 _BREAK = r"\n|(?<=[.!?])[ \t]+"
+_PARAGRAPH = r"(?<=[.!?])\s+|\n[ \t\r*#/]*\n\s*"
 _SPLIT = r"[^a-z0-9\u0080-￿]+"
 
 
@@ -181,15 +183,20 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None) -> Data
     """(key, paragraph, family, score, similarity, confirmed) for every paragraph of `docs`
     (doc_id, text, any others) that is predicted as a licence family.
 
-    `key` is the hash of the row's id and text, `paragraph` its place from 0. Repeated rows
-    give one result. Null and empty texts have no paragraph of a licence.
+    `key` is the hash of the row's id and text, `paragraph` its place from 0. Each line of a
+    paragraph counts for itself; where the whole paragraph confirms a family that no line of
+    it does, it counts once, in place of its lines of that family. Repeated rows give one
+    result. Null and empty texts have no paragraph of a licence.
     """
     model = model or train(docs)
     spark = docs.sparkSession
     need = F.array(*map(F.lit, model.needed))
     live = [(g, *map(float, w)) for g, w in zip(VOCABULARY, model.weights, strict=True) if w.any()]
     vocabulary = F.broadcast(spark.createDataFrame(live, "gram string, " + ", ".join(f"w{i} double" for i in range(len(CLASSES)))))  # the templates' n-grams at most
-    rows = docs.where(F.arrays_overlap(_words(F.col("text")), need)).select(F.xxhash64("doc_id", "text").alias("key"), F.posexplode(F.split("text", _BREAK, -1)).alias("paragraph", "line"))
+    rows = docs.where(F.arrays_overlap(_words(F.col("text")), need)).select(F.xxhash64("doc_id", "text").alias("key"), F.posexplode(F.split("text", _PARAGRAPH, -1)).alias("paragraph", "whole"))
+    rows = rows.where(F.arrays_overlap(_words(F.col("whole")), need)).withColumn("parts", F.split("whole", "\n", -1))
+    # The whole is at place 0, its lines from 1; a single line is no whole.
+    rows = rows.select("key", "paragraph", F.posexplode(F.concat(F.array(F.when(F.size("parts") > 1, F.col("whole"))), F.col("parts"))).alias("at", "line"))
     lines = cut(rows.where(F.arrays_overlap(_words(F.col("line")), need)), "lines")
     # Each different paragraph is scored once, however many documents share it.
     words = lines.select("line").distinct().select("line", F.explode(F.array(_words(F.col("line")))).alias("words"))
@@ -204,8 +211,10 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None) -> Data
     templates = F.broadcast(spark.createDataFrame([(f, grams(t)) for f, t in TEMPLATES], "family string, template array<string>"))  # as many rows as templates
     share = F.size(F.array_intersect("grams", "template")) / F.size("template")
     best = found.join(templates, "family").groupBy("line", "family", "score").agg(F.max(share).alias("similarity"))
-    hits = lines.select("key", "paragraph", "line").distinct().join(best, "line").drop("line")
-    return hits.withColumn("confirmed", F.col("similarity") >= CONFIRM)
+    hits = lines.select("key", "paragraph", "at", "line").distinct().join(best, "line").drop("line").withColumn("confirmed", F.col("similarity") >= CONFIRM)
+    whole, here = F.col("at") == 0, Window.partitionBy("key", "paragraph", "family")
+    wrapped = F.max(F.col("confirmed") & whole).over(here) & ~F.max(F.col("confirmed") & ~whole).over(here)
+    return hits.withColumn("wrapped", wrapped).where(F.col("wrapped") == whole).drop("at", "wrapped")
 
 
 def license_scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:

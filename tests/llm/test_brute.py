@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from slotmill.llm import decontaminate, language_id, near_dedup, packing, quality, quality_rules, queries, secrets, toxicity, url_filter
+from slotmill.llm import decontaminate, language_id, licenses, near_dedup, packing, quality, quality_rules, queries, secrets, toxicity, url_filter
 from slotmill.llm.common import WORDS, WordIds, mix, shingles
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -221,6 +221,26 @@ def test_long_tokens_and_empty_user_names_are_logins(spark):
     assert {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(docs).collect()} == {i: model_spans(t) for i, t in enumerate(logins + plain)}
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+}
+
+
+def test_wrapped_licence_notices(spark):
+    texts = {f: t for f, t in WRAPPED.items()}
+    texts |= {f"{f} crlf": t.replace("\n", "\r\n") for f, t in WRAPPED.items()}
+    texts |= {f"{f} comment": "/*\n * Some file.\n *\n * " + t.replace("\n", "\n * ") + "\n *\n * More.\n */" for f, t in WRAPPED.items()}
+    texts["lines"] = "Released under the MIT License\nLicensed under CC BY-NC 4.0\nplain words"
+    texts["all"] = "\n\n".join(WRAPPED.values())
+    texts[""] = "The weather was fine\nand the people of the village\nwent to the market."
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string"), licenses.Classifier([])).collect()}
+    for name, r in got.items():
+        want = {"lines": "cc-by-nc,mit", "all": "bsd,gpl,mit"}.get(name, name.split(" ")[0])
+        assert (r.families, r.n_paragraphs) == (want, len(list(filter(None, want.split(","))))), (name, r)
+
+
 def model_statistics(text: str):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen = collections.Counter(zip(words, words[1:], words[2:], strict=False))
