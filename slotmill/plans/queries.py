@@ -160,10 +160,10 @@ def batch_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("notes", F.array_join("notes", "; "))
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _entries(spark: SparkSession, sf_dir: str, k: int = 16) -> DataFrame:
     """A catalog row a turn, under the id of its conversation: ids repeat."""
     c = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), "turn", F.concat_ws("-", "conv_id", "turn").alias("program_id"))
-    p = _prints(turns(spark, sf_dir), k=16).join(c, "program_id")
+    p = _prints(turns(spark, sf_dir), k=k).join(c, "program_id")
     return p.select(F.col("id").alias("program_id"), F.col("program_id").alias("source_path"), "ngram_count", "normalized_len", "simhash", "minhash", F.col("ngrams").alias("ngram_sample"), "turn")
 
 
@@ -192,6 +192,19 @@ def compare_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_against_live(e.where("turn = 0"), live).withColumn("notes", F.array_join("notes", "; "))
 
 
+def catalog_merge_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns: even ones as the primary, odd ones as the secondary catalog, under the id of their pair."""
+    e = _entries(spark, sf_dir, K).withColumn("program_id", F.concat_ws("-", "program_id", F.floor(F.col("turn") / 2)))
+    return _listed(catalog.merge(e.where("turn % 2 = 0").drop("turn"), e.where("turn % 2 = 1").drop("turn")))
+
+
+def compare_stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as stored against the next one of its conversation as it is now, by full signatures."""
+    e = _entries(spark, sf_dir, K)
+    live = e.select(F.concat_ws("-", "program_id", F.col("turn") - 1).alias("program_id"), "ngram_count", "minhash", "simhash", F.col("ngram_sample").alias("ngrams"))
+    return stored_against_live(e.withColumn("program_id", F.col("source_path")), live).withColumn("notes", F.array_join("notes", "; "))
+
+
 def basket_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sets of parts."""
     sets = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("items"))

@@ -37,6 +37,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q.catalog_merge,
         q.catalog_lookup,
         q.compare_stored,
+        q.catalog_merge_turns,
+        q.compare_stored_turns,
         q.basket_jaccard,
     )
 }

@@ -44,6 +44,34 @@ def test_queries_equal_sql(spark, name):
     assert rows_of(got) == rows_of(want)
 
 
+@pytest.fixture(scope="module")
+def turns(spark):
+    """Model n-grams of the turns that have any, by conversation and turn."""
+    rows = spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "text").collect()
+    sets = {(r.conv_id, r.turn): model.ngrams(model.normalize((r.text or "").encode())[0]) for r in rows}
+    assert max(t for _, t in sets) > 1
+    return {k: s for k, s in sets.items() if s}
+
+
+def test_every_turn_is_compared(spark, turns):
+    got = {r.a: r for r in entry.queries()["compare_stored_turns"](spark, SMALL).collect()}
+    pairs = {f"{c}-{t}": (turns[c, t], turns[c, t + 1]) for c, t in turns if (c, t + 1) in turns}
+    assert set(got) == set(pairs) and all(r.b == a and r.notes == "" for a, r in got.items())
+    for a, (x, y) in pairs.items():
+        r = got[a]
+        assert r.jaccard_estimate == model.estimate(model.minhash(x, 128), model.minhash(y, 128))
+        assert r.jaccard_exact == pytest.approx(len(x & y) / len(x | y)) and (r.ngram_count_a, r.ngram_count_b) == (len(x), len(y))
+        assert r.hamming_distance == (model.simhash(x) ^ model.simhash(y)).bit_count()
+
+
+def test_every_turn_is_merged(spark, turns):
+    got = {r.program_id: (r.source_path, r.ngram_count) for r in entry.queries()["catalog_merge_turns"](spark, SMALL).collect()}
+    want: dict = {}
+    for c, t in sorted(turns):
+        want[f"{c}-{t // 2}"] = (f"{c}-{t}", len(turns[c, t]))
+    assert got == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
