@@ -121,6 +121,23 @@ def estimate_pairs(classes: DataFrame, threshold: float, k: int) -> DataFrame:
     return full.select("a", "b", "size_a", "size_b", estimate(F.col("m_a"), F.col("m_b")).alias("jaccard_estimate")).where(F.col("jaccard_estimate") >= threshold)
 
 
+def search(prints: DataFrame, queries: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(query_id, program_id, score) at `threshold` (> 0) or more: every match, a query itself included.
+
+    Lossless by blocks of positions as in `estimate_pairs`; equal signatures are compared once.
+    """
+    need = max(1, math.ceil(threshold * k - 1e-9))
+    if threshold <= 0 or need > k:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    ends = [i * k // (k - need + 1) for i in range(k - need + 2)]
+    blocks = F.array(*(F.xxhash64(F.lit(i), F.slice("minhash", a + 1, b - a)) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))))
+    some = lambda df, s: df.select("minhash").distinct().select(F.col("minhash").alias(s), F.explode(blocks).alias("block"))
+    pairs = some(queries, "m_q").join(some(prints, "m_p"), "block").select("m_q", "m_p").distinct()
+    near = pairs.withColumn("score", estimate(F.col("m_q"), F.col("m_p"))).where(F.col("score") >= threshold)
+    side = lambda df, s, m: df.select(F.col("program_id").alias(s), F.col("minhash").alias(m))
+    return near.join(side(queries, "query_id", "m_q"), "m_q").join(side(prints, "program_id", "m_p"), "m_p").select("query_id", "program_id", "score")
+
+
 def set_classes(sets: DataFrame, key: str, items: str) -> DataFrame:
     """(class_id, items, size): equal sets, named by the least key; empty sets are left out."""
     ordered = sets.where(F.size(items) > 0).select(F.col(key).alias("k"), F.array_sort(items).alias("items"))

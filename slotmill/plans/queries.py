@@ -15,7 +15,7 @@ from ..operators import catalog, lsh
 from ..operators.cluster import cluster_members, clusters
 from ..operators.fingerprint import feature_sets, features, fingerprints, ngram_total, normalized, slots
 from ..operators.similarity import compare_stored as stored_against_live
-from ..operators.similarity import compared, estimate_pairs, exact_pairs, one_against_all, set_classes, signature_classes, signature_text
+from ..operators.similarity import compared, estimate_pairs, exact_pairs, one_against_all, search, set_classes, signature_classes, signature_text
 from ..sources.files import text_programs
 from .durable import cut, spread
 
@@ -145,6 +145,12 @@ def lsh_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh.search(prints, _queried(prints), lsh.LshConfig.of(K, lsh.CLI_BANDS), 0.6)
 
 
+def exact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `lsh_query` looks for, without its loss: every turn at 0.6 or more."""
+    prints = _prints(turns(spark, sf_dir))
+    return search(prints, _queried(prints), 0.6, K)
+
+
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = clusters(_prints(turns(spark, sf_dir), config=None), 0.5, K)
     return found.withColumn("members", F.array_join("members", ","))

@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q.lsh_buckets,
         q.lsh_candidates,
         q.lsh_query,
+        q.exact_query,
         q.cluster_summary,
         q.cluster_documents,
         q.batch_compare,

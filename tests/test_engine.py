@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import model
 import pytest
@@ -15,7 +16,7 @@ from slotmill.operators.cluster import cluster_members, clusters
 from slotmill.operators.components import components
 from slotmill.operators.fingerprint import features, fingerprints, ngram_total
 from slotmill.operators.hashing import feature_hash, minhash_long, permuted_hash, simhash_long
-from slotmill.operators.similarity import compared, estimate_pairs, exact_pairs, set_classes, signature_classes
+from slotmill.operators.similarity import compared, estimate_pairs, exact_pairs, search, set_classes, signature_classes
 from slotmill.plans import registry
 from slotmill.sources.elf import LoadError, text_section
 from slotmill.sources.files import load_paths, read_store, scan_directory, with_ids
@@ -166,6 +167,25 @@ def test_lsh_equals_brute_force(spark, documents):
         lsh.buckets(prints, lsh.LshConfig.of(64, 8)).collect()
 
 
+def test_exact_search_finds_what_bands_miss(spark):
+    rng = random.Random(11)
+    rows = [("0", [rng.randrange(2**40) for _ in range(128)])]
+    for i in range(1, 200):  # at similarities from 0.5 to 1
+        same = rng.randrange(64, 129)
+        at = set(rng.sample(range(128), same))
+        rows.append((str(i), [x if j in at else rng.randrange(2**40) for j, x in enumerate(rows[0][1])]))
+    prints = spark.createDataFrame([*rows, ("twin", rows[0][1])], "program_id string, minhash array<long>")
+    query = prints.where("program_id = '0'")
+    want = {r.program_id: model.estimate(rows[0][1], r.minhash) for r in prints.collect() if model.estimate(rows[0][1], r.minhash) >= 0.6}
+    got = search(prints, query, 0.6, 128).collect()
+    assert {r.program_id: r.score for r in got} == want and len(got) == len(want)  # recall 1
+    banded = lsh.search(prints, query, lsh.LshConfig.of(128, lsh.CLI_BANDS), 0.6).count()
+    print("recall of 8 bands:", banded, "of", len(want))
+    assert banded < 0.9 * len(want)
+    with pytest.raises(ValueError):
+        search(prints, query, 0.0, 128)
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(300, 340)] + [(5, 5)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long"), "t").collect()}
