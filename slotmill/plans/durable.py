@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,10 +18,15 @@ _local: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; only where it is unset, a new local one
-    that goes with the process."""
+    """The shared folder of `spark.checkpoint.dir`.
+
+    Only where it is unset and driver and executors are one process, a new local folder that
+    goes with the process; on a cluster an unset folder is an error, as others can't see a local one.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if "dir" not in _local:
             _local["dir"] = tempfile.mkdtemp(prefix="slotmill-")
             atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
@@ -27,50 +34,67 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
-#: Rows that go to a Python worker at a time while a cut is written: rows hold whole texts.
-BATCH_ROWS = 2_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows, and bytes of them, that go to a Python worker at a time while a cut is written: rows hold whole texts.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4_000_000
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Within it, an action sends `rows` rows to Python at a time, or fewer if the session
-    says so; afterwards the session's own setting holds again."""
-    was = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(rows, int(was)) if int(was) > 0 else rows))
+    """Within it, an action sends `rows` rows and about BATCH_BYTES to Python at a time, or
+    fewer if the session says so; afterwards the session's own settings hold again. Actions
+    that run meanwhile in other threads of the session get small batches, too: slower, not wrong."""
+    least = {_ROWS: rows, _BYTES: BATCH_BYTES}
+    was = {k: spark.conf.get(k) for k in least}
+    for k, n in least.items():
+        number = int(was[k].lower().removesuffix("b")) if was[k].lower().removesuffix("b").lstrip("-").isdigit() else n
+        spark.conf.set(k, str(min(n, number) if number > 0 else n))
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, was)
+        for k, x in was.items():
+            spark.conf.set(k, x)
 
 
-def _written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> str:
-    path = f"{checkpoint_dir(df.sparkSession)}/slotmill-{name}-{uuid.uuid4().hex}"
-    with small_batches(df.sparkSession, rows):
-        df.write.parquet(path)
-    return path
+_open = threading.local()
+
 
+def _scopes() -> list[Scratch]:
+    if not hasattr(_open, "scopes"):
+        _open.scopes = []
+    return _open.scopes
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+
+def cut(df: DataFrame, name: str, rows: int = BATCH_ROWS, result: bool = False) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it back.
 
     This ends the lineage in a table that every executor sees, so a lost executor costs
-    only its running tasks, and later reads get column pruning.
+    only its running tasks, and later reads get column pruning. `rows` go to a Python worker at
+    a time. Within a `Scratch` the table goes at its end; a `result` outlives the innermost
+    one, and belongs to the one around it, if any.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name))
+    path = f"{checkpoint_dir(df.sparkSession)}/slotmill-{name}-{uuid.uuid4().hex}"
+    around = _scopes()[: -1 if result else None]
+    if around:
+        around[-1].paths.append((df.sparkSession, path))
+    with small_batches(df.sparkSession, rows):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
-    """Cuts that go together, once what was made of them is durable itself."""
+    """`with Scratch():` cuts made within it go at its end, also if something fails."""
 
     def __init__(self) -> None:
         self.paths: list[tuple[SparkSession, str]] = []
 
-    def cut(self, df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
-        """`rows` go to a Python worker at a time: few where each holds much."""
-        path = _written(df, name, rows)
-        self.paths.append((df.sparkSession, path))
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+    def __enter__(self) -> Scratch:
+        _scopes().append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scopes().remove(self)
+        self.drop()
 
     def drop(self) -> None:
         while self.paths:
