@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,8 +22,9 @@ from ..plans.durable import spread
 
 #: Distinct words a worker remembers before it starts afresh; only memory depends on it.
 WORD_CACHE = 200_000
-#: Rows of an Arrow batch that are unpacked to Python objects at a time.
-SLICE_ROWS = 256
+#: Rows of an Arrow batch, and bytes of them, that are unpacked to Python objects at a time; a
+#: longer row goes alone.
+SLICE_ROWS, SLICE_BYTES = 256, 1_000_000
 
 WORDS = re.compile(r"\w+").findall
 
@@ -77,7 +79,51 @@ def shingles(ids: np.ndarray, width: int) -> np.ndarray:
     return mix(out + np.uint64(width))
 
 
+def _bounds(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, int]]:
+    """(start, rows) of the slices of a batch."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + batch.num_rows + 1]) if batch.num_rows else 0
+    start, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > start and (i - start >= rows or held + n > SLICE_BYTES):
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    if batch.num_rows > start:
+        yield start, batch.num_rows - start
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and about SLICE_BYTES. A worker gives
+    freed memory back when its task's batches end: it may wait long for its next task."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        for start, n in _bounds(batch, rows):
+            yield batch.slice(start, n)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+_TOP = 2**63 - 1
+
+
+def sample(rows: DataFrame, n: int, total: int, seed: int, *columns: str) -> DataFrame:
+    """At most `n` of the `total` rows of `rows`: those least by a hash of `columns`.
+
+    All of them if there are no more; else a share that is expected to be a fifth larger than
+    `n` goes on (by 63 bits, so that no table is too large), and of that exactly the first `n`.
+    The bound holds whatever repeats: rows alike in all columns are taken up to it, too.
+    """
+    at = F.xxhash64(*columns, F.lit(seed)).bitwiseAND(F.lit(_TOP))
+    share = (1.2 * n + 50) / max(1, total)
+    some = rows.where(at < F.lit(int(share * _TOP))) if share < 1 else rows
+    return some.orderBy(at, *columns).limit(n)

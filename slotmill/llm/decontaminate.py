@@ -9,7 +9,8 @@ applies the positional and length bounds (the window must fit between the docume
 the place the shingle dictates) and verifies the words exactly.
 
 The benchmark side is sent to the workers in blocks of at most BLOCK windows, whatever its
-size; with more than one block the hits are united by row content.
+size. One pass over the corpus counts the shingles of many blocks; then a block at a time is
+matched, into a table, and leaves the workers. Hits are united by row content.
 """
 
 from __future__ import annotations
@@ -23,9 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, WordIds, cut, shingles, slices, small_batches
+from .common import Scratch, WordIds, cut, maybe_in, shingles, slices, small_batches
 
 WINDOW, WIDTH, BLOCK = 10, 3, 200_000
+#: Shingles that one pass over the corpus counts.
+COUNTED = 4_000_000
+#: Rows with hits up to this many are broadcast; more are joined by a shuffle.
+BROADCAST_HITS = 100_000
 
 #: Lower-cases A-Z and blanks every ASCII byte that is neither digit nor letter.
 _BYTES = bytes(
@@ -171,50 +176,63 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), part.column("key")], ["doc_id", "n_words", "key"])
 
 
-def _clean(sent):
-    """A filter column: whether no window of the block occurs in a text. Only the text leaves
-    the JVM, and one boolean a row returns."""
+def _tainted(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Ids and text hashes of the rows with hits."""
+    matcher = Matcher(sent.value)
+    for part in slices(batches):
+        hit = pa.array([bool(matcher.find(words_of(t))[0]) for t in part.column("text").cast(pa.binary()).to_pylist()], pa.bool_())
+        yield pa.RecordBatch.from_arrays([part.column(c).filter(hit) for c in ("doc_id", "th")], ["doc_id", "th"])
 
-    @F.arrow_udf("boolean")
-    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(sent.value)
-        for text in parts:
-            raw = text.cast(pa.binary())
-            ok = [not matcher.find(words_of(t))[0] for at in range(0, len(raw), SLICE_ROWS) for t in raw.slice(at, SLICE_ROWS).to_pylist()]
-            yield pa.array(ok, pa.bool_())
 
-    return clean
+class Blocks:
+    """The windows of a benchmark in `count` blocks, as inputs of a Matcher."""
 
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, block: int) -> None:
+        self.docs, self.block = docs, block
+        self.windows = cut(benchmark.select("item_id", "text").mapInArrow(_item_windows, "item string, window binary").distinct(), "windows")
+        self.count = -(-self.windows.count() // block) or 1
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, block: int) -> list:
-    """A broadcast matcher input for each block of the benchmark's windows."""
-    spark = docs.sparkSession
-    windows = cut(benchmark.select("item_id", "text").mapInArrow(_item_windows, "item string, window binary").distinct(), "windows")
-    n = windows.count()
-    k = -(-n // block) or 1
-    out = []
-    for i in range(k):
+    def _items(self, i: int) -> dict[bytes, list[str]]:
         items: dict[bytes, list[str]] = defaultdict(list)
-        for w, item in windows.where(F.pmod(F.xxhash64("window"), F.lit(k)) == i).select("window", "item").toLocalIterator():
+        for w, item in self.windows.where(F.pmod(F.xxhash64("window"), F.lit(self.count)) == i).select("window", "item").toLocalIterator():
             items[bytes(w)].extend([] if item is None else [item])
-        of = _prefixes(list(items))
-        wanted = np.unique(np.array([h for x in of.values() for h, _ in x], np.uint64))
-        counts: dict[int, int] = {}
-        if len(wanted):
-            sent = spark.sparkContext.broadcast((wanted, _widths(list(items))))
-            found = docs.select("text").mapInArrow(partial(_count, sent=sent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-            with small_batches(spark):
-                counts = {r["shingle"] % 2**64: r["n"] for r in found.collect()}  # at most the block's shingles
-        places: dict[int, set] = defaultdict(set)
-        live: dict[bytes, list[str]] = {}
-        for w, choices in of.items():
-            rarest, offset = min(choices, key=lambda x: (counts.get(x[0], 0), x))
-            if counts.get(rarest, 0):
-                places[rarest].add((offset, w.count(b" ") + 1))
-                live[w] = items[w]
-        prefixes = np.sort(np.array(list(places), np.uint64))
-        out.append(spark.sparkContext.broadcast((prefixes, dict(places), live, _widths(list(live)))))
-    return out
+        return items
+
+    def _rarity(self, wanted: np.ndarray, widths: list[int]) -> dict[int, int]:
+        """How often each of these shingles occurs in the corpus; those that don't are left out."""
+        if not len(wanted):
+            return {}
+        sent = self.docs.sparkSession.sparkContext.broadcast((wanted, widths))
+        found = self.docs.select("text").mapInArrow(partial(_count, sent=sent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        with small_batches(self.docs.sparkSession):
+            counts = {r["shingle"] % 2**64: r["n"] for r in found.collect()}  # as many as were sent at most
+        sent.unpersist()
+        return counts
+
+    def __iter__(self) -> Iterator:
+        """Broadcast matcher inputs, one after the other; the user ends each."""
+        at_once = max(1, COUNTED // (self.block * (WINDOW - WIDTH + 1)))
+        for first in range(0, self.count, at_once):
+            some = range(first, min(self.count, first + at_once))
+            shingles_of, widths = [np.empty(0, np.uint64)], set()
+            for i in some:
+                windows = list(self._items(i))
+                widths.update(_widths(windows))
+                shingles_of.append(np.array([h for x in _prefixes(windows).values() for h, _ in x], np.uint64))
+            counts = self._rarity(np.unique(np.concatenate(shingles_of)), sorted(widths))
+            for i in some:
+                yield self.docs.sparkSession.sparkContext.broadcast(_matcher_input(self._items(i), counts))
+
+
+def _matcher_input(items: dict[bytes, list[str]], counts: dict[int, int]) -> tuple:
+    places: dict[int, set] = defaultdict(set)
+    live: dict[bytes, list[str]] = {}
+    for w, choices in _prefixes(list(items)).items():
+        rarest, offset = min(choices, key=lambda x: (counts.get(x[0], 0), x))
+        if counts.get(rarest, 0):
+            places[rarest].add((offset, w.count(b" ") + 1))
+            live[w] = items[w]
+    return np.sort(np.array(list(places), np.uint64)), dict(places), live, _widths(list(live))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -225,16 +243,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
     windows. An item without an id makes hits but isn't listed; repeated items count once.
     Empty tables on either side give no hits or no rows.
     """
-    sent = _blocks(docs, benchmark, block)
+    blocks = Blocks(docs, benchmark, block)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    if len(sent) == 1:
-        return docs.select("doc_id", "text").mapInArrow(partial(_found, sent=sent[0]), f"doc_id {kind}, {FOUND}")
+    if blocks.count == 1:
+        (sent,) = blocks
+        return docs.select("doc_id", "text").mapInArrow(partial(_found, sent=sent), f"doc_id {kind}, {FOUND}")
     rows = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
     of = "key string, block int, spans array<struct<start:long,length:long>>, items array<string>"
-    each = [rows.select("key", "text").mapInArrow(partial(_hits, sent=s, block=i), of) for i, s in enumerate(sent)]
-    union = each[0]
-    for x in each[1:]:
-        union = union.unionByName(x)
+    union = None
+    for i, sent in enumerate(blocks):
+        hits = cut(rows.select("key", "text").mapInArrow(partial(_hits, sent=sent, block=i), of), "hits")
+        sent.unpersist()
+        union = hits if union is None else union.unionByName(hits)
     # One row a block and text at most, so a text gathers as many rows as there are blocks.
     once = union.groupBy("key", "block").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
     merged = once.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
@@ -258,9 +278,27 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of `docs` without any occurrence of a benchmark window, all columns as they are."""
-    for sent in _blocks(docs, benchmark, block):
-        docs = docs.where(_clean(sent)(F.col("text")))
-    return docs
-
+    """The rows of `docs` without any occurrence of a benchmark window, all columns as they are.
 
+    Null and empty texts have no words and stay; null and word-less items have no windows;
+    repeated rows share their fate; empty tables on either side drop no row. A row is known by
+    its id and the hash of its text.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    with Scratch():
+        hits = None
+        for sent in Blocks(docs, benchmark, block):
+            found = cut(rows.mapInArrow(partial(_tainted, sent=sent), f"doc_id {kind}, th long").distinct(), "hits")
+            sent.unpersist()
+            hits = found if hits is None else hits.union(found)
+        hits = cut(hits.distinct().select(F.col("doc_id").alias("_slotmill_id"), F.col("th").alias("_slotmill_th")), "tainted", result=True)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def clean(some: DataFrame, bad: DataFrame) -> DataFrame:
+        return some.join(bad, some["doc_id"].eqNullSafe(F.col("_slotmill_id")) & (F.xxhash64(some["text"]) == F.col("_slotmill_th")), "left_anti").select(*columns)
+
+    if hits.count() <= BROADCAST_HITS:
+        return clean(docs, F.broadcast(hits))
+    maybe, surely = maybe_in(docs, F.xxhash64("doc_id", F.xxhash64("text")), hits.select(F.xxhash64("_slotmill_id", "_slotmill_th").alias("hash")))
+    return surely.unionByName(clean(maybe, hits))

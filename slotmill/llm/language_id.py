@@ -10,27 +10,31 @@ learned language well, though the nearest one is still named.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_fold, slices
 
 FOLDS, HELD_OUT = 3, 1
-#: Training texts a language and altogether (expected), hash space, centroids a language, k-means rounds.
+#: Training texts a language and altogether at most, hash space, centroids a language, k-means rounds.
+#: There are as many languages as texts at most: of more, the most frequent ones.
 PER_LANGUAGE, TOTAL, DIMS, CLUSTERS, ROUNDS = 600, 4_000, 4096, 4, 15
 #: Share of training texts that lie farther than the rejection distance; sharpness of the score.
 REJECT, SHARPNESS = 0.002, 25.0
 
-_LETTER = re.compile(r"[^\W\d_]").search
 _FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the general category L occurs, as in Java's \\p{L}."""
+    return any(map(str.isalpha, text))
+
+
 def counts_of(text: str) -> np.ndarray:
     b = np.frombuffer(b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()) + b" ", np.uint8).astype(np.uint32)
     two = b[:-1] * np.uint32(257) + b[1:]
@@ -85,7 +89,7 @@ class Centroids:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         lang, score, far = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        at = [i for i, t in enumerate(texts) if t and _LETTER(t)]
+        at = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if at:
             c = self.cosines(self.vectors(np.stack([counts_of(texts[i]) for i in at])))
             e = np.exp(SHARPNESS * (c - c.max(axis=1, keepdims=True)))
@@ -104,16 +108,22 @@ def _predicted(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBat
         )
 
 
-def train(docs: DataFrame) -> Centroids | None:
-    """Learn from the documents outside the held-out fold, on a sample of bounded expected size."""
+def train(docs: DataFrame, each: int = PER_LANGUAGE, total: int = TOTAL) -> Centroids | None:
+    """Learn from the documents outside the held-out fold: at most `each` texts a language and
+    `total` altogether, taken by a hash of id and text."""
     plain = docs.select("doc_id", "text", "lang").where((crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["count"] for r in plain.groupBy("lang").count().collect()}  # a row a language
+    sizes = {r["lang"]: r["count"] for r in plain.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(total).collect()}
     if not sizes:
         return None
-    each = min(PER_LANGUAGE, max(1, TOTAL // len(sizes)))
-    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, int(1_000_000 * min(1.0, each / n)) + 1)))
-    some = plain.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < share[F.col("lang")])
-    rows = some.select("lang", "text").mapInArrow(_vectors, "lang string, counts binary").collect()
+    n = min(each, max(1, total // len(sizes)))
+    # By 63 bits, so that no language is too large; a fifth more than needed goes on to be ranked.
+    top = 2**63 - 1
+    share = docs.sparkSession.createDataFrame([(k, min(top, int((1.2 * n + 50) / x * top))) for k, x in sizes.items()], "lang string, below long")
+    at = F.xxhash64("doc_id", "text", F.lit(7)).bitwiseAND(F.lit(top))
+    some = plain.withColumn("at", at).join(F.broadcast(share), "lang").where("at <= below")  # a row a language, `total` at most
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id", "text"))
+    rows = some.withColumn("place", place).where(F.col("place") <= n).select("lang", "text").mapInArrow(_vectors, "lang string, counts binary").collect()
+    rows.sort()
     return Centroids([r[0] for r in rows], np.stack([np.frombuffer(r[1], "<f4") for r in rows])) if rows else None
 
 
@@ -121,7 +131,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row of `docs` (doc_id, text, lang, any others).
 
     Null, empty and letterless texts are `und` with score 0. Without any learnable row every
-    text is `und`. Repeated rows get the same answer.
+    text is `und`. Repeated rows get the same answer; an empty table gives no rows. Ties go to
+    the first language by name.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
     rows = docs.select("doc_id", "text", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))

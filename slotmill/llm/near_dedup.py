@@ -34,8 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, Scratch, WordIds, components, maybe_in, mix, shingles, slices
-from .common import cut as durable_cut
+from .common import WORDS, Scratch, WordIds, components, cut, maybe_in, mix, shingles, slices
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 #: Members up to which a mixed bucket's pairs are listed.
@@ -215,11 +214,13 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
-def _across(fit: DataFrame, bags: DataFrame, cut) -> DataFrame:
+def _across(fit: DataFrame, bags: DataFrame) -> DataFrame:
     """Links (a, b) between components of the same bucket of `fit` (key, digest, n, label).
 
     Each bucket's largest component is its major side. Both sides are dealt into chunks of
     bounded size; minor chunks meet major chunks and each other, and only links leave a meeting.
+    Meetings are listed as numbers first and get their chunks after, so that those of a large
+    bucket are spread over tasks.
     """
     sizes = fit.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("mass"))
     major = sizes.groupBy("key").agg(F.max(F.struct("rows", "label", "mass")).alias("m"), F.sum("rows").alias("rows"), F.sum("mass").alias("mass"))
@@ -229,14 +230,16 @@ def _across(fit: DataFrame, bags: DataFrame, cut) -> DataFrame:
     mass = F.when(F.col("major"), F.col("m.mass")).otherwise(F.col("mass") - F.col("m.mass"))
     parts = F.greatest(F.ceil(count / CHUNK_ROWS), F.ceil(mass / CHUNK_MASS))
     dealt = rows.select("key", "digest", "label", "major", F.pmod(F.xxhash64("digest"), parts).alias("chunk")).join(bags, "digest")
-    chunks = cut(dealt.groupBy("key", "major", "chunk").agg(F.collect_list(F.struct("digest", "label", "bag")).alias("members")), "chunks")
-    minor = chunks.where(~F.col("major")).select("key", F.col("chunk").alias("c"), F.col("members").alias("p"))
-    other = chunks.select("key", "major", "chunk", F.col("members").alias("q"))
-    met = minor.join(other, "key").where(F.col("major") | (F.col("chunk") >= F.col("c")))
-    return met.select("p", "q").mapInArrow(_cross, "a binary, b binary").distinct()
+    named = dealt.withColumn("id", F.xxhash64("key", "major", "chunk")).groupBy("key", "major", "chunk", "id")
+    chunks = cut(named.agg(F.collect_list(F.struct("digest", "label", "bag")).alias("members")), "chunks")
+    minor = chunks.where(~F.col("major")).select("key", F.col("chunk").alias("c"), F.col("id").alias("id_p"))
+    other = chunks.select("key", "major", "chunk", F.col("id").alias("id_q"))
+    met = cut(minor.join(other, "key").where(F.col("major") | (F.col("chunk") >= F.col("c"))).select("id_p", "id_q"), "meetings")
+    full = met.join(chunks.select(F.col("id").alias("id_p"), F.col("members").alias("p")), "id_p").join(chunks.select(F.col("id").alias("id_q"), F.col("members").alias("q")), "id_q")
+    return full.select("p", "q").mapInArrow(_cross, "a binary, b binary").distinct()
 
 
-def _checked(pairs: DataFrame, bags: DataFrame, name: str, cut) -> DataFrame:
+def _checked(pairs: DataFrame, bags: DataFrame, name: str) -> DataFrame:
     """`pairs` (a, b) with whether they reach the threshold."""
     full = pairs.join(bags.select(F.col("digest").alias("a"), F.col("bag").alias("bag_a")), "a").join(
         bags.select(F.col("digest").alias("b"), F.col("bag").alias("bag_b")), "b"
@@ -255,8 +258,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     (null, empty, punctuation only) has no shingle and is never a duplicate: its class is its
     own id. Repeated rows are equal texts and share a class. An empty table gives no rows.
     """
-    scratch = Scratch()
-    cut = scratch.cut
+    with Scratch():
+        return _classes(docs)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     rows = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_sketch, f"{_id(docs)}, th long, digest binary, n long, bands array<long>"), "sketch")
     own = rows.where("digest is not null").groupBy("digest")
     texts = cut(own.agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
@@ -286,9 +292,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     votes = star("lo").union(star("hi")).groupBy("digest", "lead").count()
     best = votes.groupBy("digest").agg(F.max(F.struct("count", "lead")).alias("m"))
-    one = _checked(best.select(*_ordered(F.col("digest"), F.col("m.lead"))).distinct(), bags, "round1", cut)
+    one = _checked(best.select(*_ordered(F.col("digest"), F.col("m.lead"))).distinct(), bags, "round1")
     links = one.where("ok").select("a", "b")
-    label = components(links, "cc1", cut)
+    label = components(links, "cc1")
 
     # Buckets whose members are in more than one component so far.
     at = buckets.join(label, buckets.digest == label.node, "left").select("key", "digest", "n", F.coalesce("label", "digest").alias("label"))
@@ -318,22 +324,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leads = fit.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("n"), "digest", "n", "shared", "label")).alias("l"))
     star2 = fit.join(leads, "key").where((F.col("label") != F.col("l.label")) & _within(F.least("shared", "l.shared"), F.col("n"), F.col("l.n")))
     star2 = star2.select(*_ordered(F.col("digest"), F.col("l.digest")))
-    two = _checked(pairs.union(star2).distinct().join(one.select("a", "b"), ["a", "b"], "left_anti"), bags, "round2", cut)
+    two = _checked(pairs.union(star2).distinct().join(one.select("a", "b"), ["a", "b"], "left_anti"), bags, "round2")
     if not two.where("ok").isEmpty():
         links = links.union(two.where("ok").select("a", "b"))
-        label = components(links, "cc2", cut)
+        label = components(links, "cc2")
         many = many.drop("label").join(label, many.digest == label.node, "left").select("key", "digest", "n", "shared", F.coalesce("label", "digest").alias("label"))
         fit = cut(able(many), "fit")
-    three = cut(_across(fit, bags, cut), "round3", 4)
+    three = cut(_across(fit, bags), "round3", 4)
     if not three.isEmpty():
-        label = components(links.union(three), "cc3", cut)
+        label = components(links.union(three), "cc3")
 
     ids = texts.select("digest", "least_id").join(label, texts.digest == label.node, "left").select("digest", "least_id", F.coalesce("label", "digest").alias("label"))
     least = ids.groupBy("label").agg(F.min("least_id").alias("class_id"))
     of = ids.join(least, "label").select("digest", "class_id")
-    result = durable_cut(rows.join(of, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").alias("n_shingles")), "classes")
-    scratch.drop()
-    return result
+    return cut(rows.join(of, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").alias("n_shingles")), "classes", result=True)
 
 
 def _id(docs: DataFrame) -> str:
@@ -347,7 +351,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     with a null doc_id all stay, and so do texts without words.
     """
     near = near_duplicates(docs)
-    marks = durable_cut(near.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("class_id")).cast("int")).alias("_slotmill_stays"), F.count("*").alias("_slotmill_rows")), "kept")
+    marks = cut(near.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("class_id")).cast("int")).alias("_slotmill_stays"), F.count("*").alias("_slotmill_rows")), "kept")
     # Most rows stay and are told by a bitmap that they do: they aren't shuffled.
     odd = marks.where("doc_id is not null and (_slotmill_stays = 0 or _slotmill_rows > 1)").withColumnRenamed("doc_id", "_slotmill_id")
     maybe, surely = maybe_in(docs, F.xxhash64("doc_id"), odd.select(F.xxhash64("_slotmill_id").alias("hash")))

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, WordIds, crc_fold, cut, slices
+from .common import WordIds, crc_fold, cut, give_back, sample, slices
 
 FOLDS = 5
-#: Labelled documents to fit on (expected), ridge, Newton rounds.
+#: Labelled documents to fit on at most, ridge, Newton rounds.
 LABELLED, RIDGE, ROUNDS = 6_000, 1.0, 25
 #: Least and largest weight of the level above, in documents.
 WEIGHT = (5.0, 1000.0)
@@ -93,29 +93,28 @@ def _evidence(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "host", "path")), pa.array(odds, pa.float64())], ["doc_id", "host", "path", "odds"])
 
 
-def _good(sent):
-    """A filter column: whether the log-odds of a text and `shifted` reach KEEP. Only the text
-    leaves the JVM, and one boolean a row returns."""
+def _odds(sent):
+    """The log-odds of a text as a column: only the text leaves the JVM, and one number a row returns."""
 
-    @F.arrow_udf("boolean")
-    def good(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    @F.arrow_udf("double")
+    def odds(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache, model = WordIds(), sent.value
-        for text, shifted in parts:
-            ok = [np.empty(0, bool)]
-            for at in range(0, len(text), SLICE_ROWS):
-                odds = log_odds(model, text.slice(at, SLICE_ROWS).to_pylist(), cache)
-                ok.append(odds + shifted.slice(at, SLICE_ROWS).to_numpy(zero_copy_only=False) >= LEAST_ODDS)
-            yield pa.array(np.concatenate(ok))
+        for text in texts:
+            got = [log_odds(model, part.column(0).to_pylist(), cache) for part in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]))]
+            yield pa.array(np.concatenate([np.empty(0), *got]), pa.float64())
+        give_back()
 
-    return good
+    return odds
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED):
-    """The document classifier, from labelled rows outside fold 0; None if there is but one class."""
-    known = labels.where(F.col("quality").isin(0, 1) & (crc_fold(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = int(1_000_000 * min(1.0, labelled / max(1, known.count()))) + 1
-    few = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share)  # about `labelled` rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("quality", "text").mapInArrow(_features, "quality int, x array<double>").collect()
+    """The document classifier, from at most `labelled` labelled rows outside fold 0, taken by a
+    hash of id and text; None if there is but one class. Labels that contradict each other
+    count as the lower quality; null ids are never learnt from."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    few = sample(known, labelled, known.count(), 5, "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most `labelled` ids; an id may have many rows
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(labelled).select("quality", "text").mapInArrow(_features, "quality int, x array<double>").collect()
     y = np.array([r[0] for r in rows], float)
     return fit_logistic(np.array([r[1] for r in rows]), y) if len(set(y.tolist())) == 2 else None
 
@@ -178,11 +177,16 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """The rows of `docs` that `quality` keeps, all columns as they are; the text isn't shuffled
-    unless there are more than BROADCAST_SITES sites."""
+    """The rows of `docs` that `quality` keeps, all columns as they are.
+
+    Texts are scored once, into a table of the rows with their evidence; the rest is a filter on
+    it, which shuffles nothing unless there are more than BROADCAST_SITES sites. Null and empty
+    texts are texts without words; null hosts and paths are sites of their own; repeated rows
+    are judged alike, each; an empty table gives none.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    of = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, path string, odds double"
-    sites, shift = site_posteriors(_rows(docs, F.col(host), F.col(path)).mapInArrow(partial(_evidence, sent=sent), of))
+    scored = cut(docs.withColumn("_slotmill_odds", _odds(sent)(F.col("text"))), "scored")
+    sites, shift = site_posteriors(scored.select(scored[host].cast("string").alias("host"), scored[path].cast("string").alias("path"), F.col("_slotmill_odds").alias("odds")))
     s = _sized(sites.select(F.col("host").alias("_slotmill_h"), F.col("path").alias("_slotmill_q"), F.col("prior").alias("_slotmill_prior")))
-    full = docs.join(s, docs[host].cast("string").eqNullSafe(F.col("_slotmill_h")) & docs[path].cast("string").eqNullSafe(F.col("_slotmill_q")))
-    return full.where(_good(sent)(F.col("text"), F.col("_slotmill_prior") - F.lit(shift))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    full = scored.join(s, scored[host].cast("string").eqNullSafe(F.col("_slotmill_h")) & scored[path].cast("string").eqNullSafe(F.col("_slotmill_q")))
+    return full.where(F.col("_slotmill_odds") + F.col("_slotmill_prior") - F.lit(shift) >= LEAST_ODDS).select(*(F.col(f"`{c}`") for c in docs.columns))

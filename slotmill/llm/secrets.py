@@ -1,11 +1,12 @@
 """Secret scans (operator 8): a trigram inverted index in front of regular expressions.
 
 Every rule is a regular expression. From its syntax tree comes a Boolean query over trigrams
-that any match must contain, brought to a disjunction of trigram sets. Postings (trigram,
-document) are built for the trigrams of the queries, intersected per set by a grouped OR of
-bits, and the documents found are verified by the expression itself. A rule without mandatory
-trigrams is run over all documents. Texts are indexed in lower case, which can only add
-candidates.
+that any match must contain, brought to a disjunction of trigram sets. Of the trigrams in the
+queries the index keeps the postings as bit columns: a row's bit in the column of a trigram says
+that the trigram occurs in its text. A query intersects the columns of each of its sets and unites
+the sets; only rows that remain are verified by the expression itself. A rule without mandatory
+trigrams is run over all rows. Texts are indexed in lower case, which can only add candidates.
+The columns stand beside the rows, so that no text moves: nothing here shuffles.
 
 Native: DataFrame functions only. Offsets of matches are running sums of the lengths of the
 matches and of what lies between them.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 MAX_SETS = 32
 #: Characters a class may have to be spelled out.
 MAX_CLASS = 8
+#: Trigrams in a column of posting bits.
+BITS = 62
 
 
 @dataclass(frozen=True)
@@ -130,18 +133,30 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
-def candidates(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(key, mask): for `docs` (key, body), bit i of the mask says that rule i may match."""
-    queries = [(i, j, s) for i, r in enumerate(rules) for j, s in enumerate(trigram_query(r.regex)) if s]
-    terms = sorted({t for _, _, s in queries for t in s})
-    rows = [(t, i, j, 1 << sorted(s).index(t), (1 << len(s)) - 1) for i, j, s in queries for t in sorted(s)]
-    spark = docs.sparkSession
-    of = F.broadcast(spark.createDataFrame(rows, "term string, rule int, alternative int, bit long, need long"))  # a row a trigram of the rules
-    low = docs.select("key", F.lower("body").alias("low"))
-    present = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in terms)))
-    postings = low.select("key", F.explode(present).alias("term"))
-    met = postings.join(of, "term").groupBy("key", "rule", "alternative").agg(F.bit_or("bit").alias("have"), F.first("need").alias("need")).where("have = need")
-    return met.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("mask"))
+def postings(text: Column, terms: Sequence[str]) -> list[Column]:
+    """The index of a text column (lower case) for `terms`, BITS of them to a column of bits."""
+    out = []
+    for at in range(0, len(terms), BITS):
+        bits = [F.when(F.contains(text, F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, t in enumerate(terms[at : at + BITS])]
+        while len(bits) > 1:
+            bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2], strict=False)] + bits[len(bits) // 2 * 2 :]
+        out.append(bits[0])
+    return out
+
+
+def may_match(regex: str, index: Sequence[Column], terms: Sequence[str]) -> Column:
+    """Whether a row of the index fulfils the trigram query of `regex`; true where it has none."""
+    sets = trigram_query(regex)
+    if not all(sets):
+        return F.lit(True)
+    any_set = F.lit(False)
+    for s in sets:
+        every = F.lit(True)
+        for k, have in enumerate(index):
+            if need := sum(1 << i for i, t in enumerate(terms[k * BITS : (k + 1) * BITS]) if t in s):
+                every = every & (have.bitwiseAND(F.lit(need)) == F.lit(need))
+        any_set = any_set | every
+    return any_set
 
 
 def _labelled(place: int, kind: str):
@@ -154,13 +169,14 @@ def _is(kind: str):
 
 def _marked(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """All columns of `docs` in a struct `row`, its text as `body` (null: empty) and `spans`, by start and rule."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("body"), F.xxhash64(docs["doc_id"], docs["text"]).alias("key"))
-    found = candidates(rows, rules)
-    full = rows.join(found, "key", "left")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("body"))
+    terms = sorted({t for r in rules for s in trigram_query(r.regex) for t in s})
+    index = [p.alias(f"p{k}") for k, p in enumerate(postings(F.col("low"), terms))]
+    full = rows.withColumn("low", F.lower("body")).select("row", "body", *index)
+    columns = [F.col(f"p{k}") for k in range(len(index))]
     parts = []
     for i, rule in enumerate(rules):
-        may = F.expr(f"(coalesce(mask, 0L) & {1 << i}L) <> 0") if any(trigram_query(rule.regex)) else F.lit(True)
-        hit = F.when(may & F.col("body").rlike(rule.regex), _spans(F.col("body"), rule))
+        hit = F.when(may_match(rule.regex, columns, terms) & F.col("body").rlike(rule.regex), _spans(F.col("body"), rule))
         parts.append(F.transform(hit, _labelled(i, rule.kind)))
     return full.select("row", "body", F.array_sort(F.flatten(F.array_compact(F.array(*parts)))).alias("spans"))
 
@@ -179,7 +195,8 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[SECRET]
     """`docs` with every secret replaced by `mark`, overlapping ones by one; all rows stay.
 
     Only `text` changes, and `n_chars` with it where the table has that column. Rows without a
-    secret stay as they are, null texts null.
+    secret stay as they are, null texts null, empty ones empty; repeated rows change alike; an
+    empty table gives no rows.
     """
     marked = _marked(docs, rules)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, crc_fold, slices
+from .common import WORD_CACHE, crc_fold, sample, slices
 
-#: Bounds of the training sample: documents expected.
+#: Documents of the training sample at most.
 POSITIVES, UNLABELLED = 2_000, 5_000
 #: Standard errors of a frequency difference for a feature to take part, and to do so freely.
 LEAST_Z, FULL_Z = 3.0, 6.0
@@ -60,7 +60,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(cache) > WORD_CACHE:
                 cache.clear()
             f, n = np.unique(np.concatenate([cache[w] for w in words]) if words else np.empty(0, np.int32), return_counts=True)
-            ids.append(f.astype("<i4").tobytes()), counts.append(np.minimum(n, 255).astype("u1").tobytes()), size.append(len(words))
+            ids.append(f.astype("<i4").tobytes()), counts.append(n.astype("<i4").tobytes()), size.append(len(words))
         yield pa.RecordBatch.from_arrays([part.column("positive"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary()), pa.array(size, pa.int64())], ["positive", "ids", "counts", "size"])
 
 
@@ -142,27 +142,25 @@ def _scored(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Learn from the rows whose crc32 fold isn't 0, on samples of bounded expected size."""
+    """Learn from the rows whose crc32 fold isn't 0: at most `positives` confirmed toxic documents
+    and `unlabelled` others, each taken by a hash of id and text. Null ids are never learnt from."""
     known = labels.where((crc_fold(F.col("doc_id"), FOLDS) != 0) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
-    total = docs.where(crc_fold(F.col("doc_id"), FOLDS) != 0).count()
-
-    def some(share: float):
-        return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, share)))
-
-    ids = known.where((F.col("toxic") == 1) & some(positives / max(1, toxic))).select("doc_id").distinct()
     plain = docs.select("doc_id", "text").where(crc_fold(F.col("doc_id"), FOLDS) != 0)
-    confirmed = plain.join(F.broadcast(ids), "doc_id", "left_semi").withColumn("positive", F.lit(True))  # about `positives` ids at most
-    rest = plain.where(some(unlabelled / max(1, total))).withColumn("positive", F.lit(False))
+    ids = sample(known.where(F.col("toxic") == 1).select("doc_id").distinct(), positives, toxic, 11, "doc_id")
+    confirmed = plain.join(F.broadcast(ids), "doc_id", "left_semi")  # at most `positives` ids; an id may have many rows
+    confirmed = confirmed.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(positives).withColumn("positive", F.lit(True))
+    rest = sample(plain, unlabelled, plain.count(), 11, "doc_id", "text").withColumn("positive", F.lit(False))
     rows = confirmed.union(rest).select("positive", "text").mapInArrow(_vectors, "positive boolean, ids binary, counts binary, size long").collect()
-    return fit_nnpu([(r[0], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "u1"), r[3]) for r in rows], toxic / max(1, n))
+    return fit_nnpu([(r[0], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<i4"), r[3]) for r in rows], toxic / max(1, n))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of `docs` (doc_id, text, any others).
 
     `labels` has doc_id and toxic (1, 0 or null). Null and empty texts score by the bias alone.
-    Without toxic labels every text scores near 0. Repeated rows score alike.
+    Without toxic labels, without any that isn't, or without learnable documents nothing can be
+    learnt: every text gets one score below 1/2. Repeated rows score alike; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     rows = docs.select("doc_id", "text", (crc_fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"))
