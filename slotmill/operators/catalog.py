@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +38,25 @@ def upsert(rows: DataFrame, order: str) -> DataFrame:
     return last.select("program_id", order, *(F.col(f"r.`{c}`").alias(c) for c in rest)).select(*rows.columns)
 
 
-def merge(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Rows of both; where an id is in both, the secondary's row."""
-    return primary.join(secondary, "program_id", "left_anti").unionByName(secondary)
+def merge(primary: DataFrame, secondary: DataFrame, order: str | None = None) -> DataFrame:
+    """Rows of both, one an id: the secondary's where both have it, of several the last.
+
+    `order` is a number column of both (in catalogs without one, ids are expected to be unique).
+    In the result it keeps the primary's order, new ids after it by their first place in the
+    secondary. A primary that repeats an id is an error.
+    """
+    if order is None:
+        return primary.join(secondary, "program_id", "left_anti").unionByName(secondary)
+    last = upsert(secondary, order)
+    first = secondary.groupBy("program_id").agg(F.min(order).alias("_slotmill_first"))
+    old = primary.groupBy("program_id").agg(F.max(order).alias("_slotmill_old"), F.count("*").alias("_slotmill_times"))
+    checked = F.when(F.col("_slotmill_times") == 1, F.col("_slotmill_old")).otherwise(F.raise_error(F.concat(F.lit("the primary catalog repeats "), "program_id")).cast("long"))
+    old = old.select("program_id", checked.alias("_slotmill_old"))
+    end = primary.agg(F.coalesce(F.max(order), F.lit(-1)).alias("_slotmill_end"))  # one row
+    new = last.join(first, "program_id").join(old, "program_id", "left").join(F.broadcast(end), F.lit(True))
+    place = F.coalesce("_slotmill_old", F.col("_slotmill_end") + 1 + F.col("_slotmill_first")).alias(order)
+    kept = primary.join(secondary, "program_id", "left_anti").join(old, "program_id").withColumn(order, F.col("_slotmill_old"))
+    return kept.select(*primary.columns).unionByName(new.select(*(place if c == order else c for c in primary.columns)))
 
 
 def find(catalog: DataFrame, program_id: str) -> DataFrame:
@@ -73,9 +90,8 @@ def entry_of_file(spark: SparkSession, path: str, program_id: str | None = None,
 
 
 def load_json(spark: SparkSession, path: str) -> DataFrame:
-    """Reads one catalog object; missing fields are an error, the version isn't judged."""
-    raw = spark.read.schema(_JSON).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    rows = raw.select(F.inline("entries"))
+    """The entries of one catalog object; missing fields are an error, the version isn't judged."""
+    rows = _object(spark, path).select(F.inline("entries"))
     full = [F.col(c).isNotNull() for c in rows.columns]
     ok = full[0]
     for c in full[1:]:
@@ -87,7 +103,11 @@ def load_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def save_json(catalog: DataFrame, path: str) -> int:
+def _object(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_JSON).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def save_json(catalog: DataFrame, path: str, version: int = VERSION) -> int:
     """Writes one pretty JSON object through the driver, row by row; returns the entries.
 
     For exchange of catalogs that fit in a file; large ones stay Parquet.
@@ -95,7 +115,7 @@ def save_json(catalog: DataFrame, path: str) -> int:
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     n = 0
     with open(path, "w") as f:
-        f.write(f'{{\n  "version": {VERSION},\n  "entries": [')
+        f.write(f'{{\n  "version": {version},\n  "entries": [')
         for r in catalog.orderBy("source_path").toLocalIterator():
             u = lambda x: x % 2**64
             entry = {"program_id": r.program_id, "source_path": r.source_path, "ngram_count": r.ngram_count, "simhash": u(r.simhash)}
@@ -105,3 +125,34 @@ def save_json(catalog: DataFrame, path: str) -> int:
         f.write("\n  ]\n}\n")
     return n
 
+
+@dataclass(frozen=True)
+class Catalog:
+    """Entries and the version of their format, as they stand in one file."""
+
+    rows: DataFrame
+    version: int = VERSION
+
+    @classmethod
+    def new(cls, spark: SparkSession) -> Catalog:
+        return cls(empty(spark))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Catalog:
+        found = _object(spark, path).select("version").first()
+        if found is None or found[0] is None:
+            raise ValueError("a catalog lacks its version")
+        return cls(load_json(spark, path), found[0])
+
+    def save(self, path: str) -> int:
+        return save_json(self.rows, path, self.version)
+
+    def merged(self, other: Catalog, order: str | None = None) -> Catalog:
+        """With the entries of `other`, under the version of this one."""
+        return Catalog(merge(self.rows, other.rows, order), self.version)
+
+    def size(self) -> int:
+        return self.rows.count()
+
+    def is_empty(self) -> bool:
+        return self.rows.isEmpty()

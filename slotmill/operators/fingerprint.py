@@ -131,3 +131,13 @@ def fingerprints(programs: DataFrame, n: int = NGRAM, k: int = HASHES, config: N
         checked = F.when(F.col("ngram_count") > 0, F.col("ngram_count")).otherwise(F.raise_error(F.lit(NO_NGRAMS)).cast("long"))
         return out.withColumn("ngram_count", checked)
     return out.where("ngram_count > 0")
+
+
+def rejections(programs: DataFrame, n: int = NGRAM, config: NormalizeConfig | None = DEFAULT) -> DataFrame:
+    """(program_id, error) of the streams that `fingerprints` fails on with `empty="error"`."""
+    return feature_sets(programs, n, config).where(F.size("ngrams") == 0).select("program_id", F.lit(NO_NGRAMS).alias("error"))
+
+
+def looked_up(remap: Column, register: Column) -> Column:
+    """The new number of a register in `normalized`'s register_remap; itself if it has none."""
+    return F.coalesce(F.get(F.filter(remap, lambda r: r["old"] == register), 0)["new"], register)

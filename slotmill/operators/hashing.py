@@ -13,22 +13,22 @@ from ..functions.u64 import from_hex16, hex16, ordered, signed
 from .kernels import EMPTY, HASHES
 
 
-def _swapped(digits: Column, n: int) -> Column:
+def swapped(digits: Column, n: int) -> Column:
     """`n` hexadecimal digits with their bytes in reverse order."""
     return F.concat(*(F.substring(digits, at, 2) for at in range(n - 1, 0, -2)))
 
 
 def _first8(message: Column) -> Column:
     """The first eight bytes of the SHA-256 of a hexadecimal message, little-endian."""
-    return from_hex16(_swapped(F.sha2(F.unhex(message), 256), 16))
+    return from_hex16(swapped(F.sha2(F.unhex(message), 256), 16))
 
 
 def feature_hash(feature: Column) -> Column:
-    return _first8(_swapped(hex16(feature), 16))
+    return _first8(swapped(hex16(feature), 16))
 
 
 def permuted_hash(feature: Column, seed: Column) -> Column:
-    return _first8(F.concat(_swapped(hex16(feature), 16), _swapped(F.lpad(F.lower(F.hex(seed)), 8, "0"), 8)))
+    return _first8(F.concat(swapped(hex16(feature), 16), swapped(F.lpad(F.lower(F.hex(seed)), 8, "0"), 8)))
 
 
 def minhash_long(features: DataFrame, k: int = HASHES) -> DataFrame:

@@ -67,6 +67,38 @@ def search(prints: DataFrame, queries: DataFrame, config: LshConfig, least: floa
     return scored.where(F.col("score") >= least).orderBy("query_id", F.desc("score"), "program_id")
 
 
-def index_directory(spark: SparkSession, directory: str, bands: int = DEFAULT_BANDS, n: int = NGRAM, k: int = HASHES) -> DataFrame:
-    """`buckets` of all programs below a folder."""
-    return buckets(scan(spark, directory, n, k), LshConfig.of(k, bands))
+@dataclass(frozen=True)
+class LshIndex:
+    """Signatures (program_id, minhash) and their buckets under one configuration."""
+
+    config: LshConfig
+    signatures: DataFrame
+
+    @classmethod
+    def new(cls, spark: SparkSession, bands: int = DEFAULT_BANDS, k: int = HASHES) -> LshIndex:
+        return cls(LshConfig.of(k, bands), spark.createDataFrame([], "program_id string, minhash array<long>"))
+
+    @classmethod
+    def of(cls, catalog: DataFrame, bands: int = DEFAULT_BANDS) -> LshIndex:
+        """Of a catalog with unique ids; the length of its signatures is that of any entry, HASHES if there is none."""
+        length = (catalog.select(F.size("minhash")).first() or [HASHES])[0]
+        return cls(LshConfig.of(length, bands), catalog.select("program_id", "minhash"))
+
+    def buckets(self) -> DataFrame:
+        return buckets(self.signatures, self.config)
+
+    def insert(self, prints: DataFrame) -> LshIndex:
+        """With the rows of `prints` (unique ids) in place of those of their ids; no old bucket stays."""
+        kept = self.signatures.join(prints, "program_id", "left_anti")
+        return LshIndex(self.config, kept.unionByName(prints.select("program_id", "minhash")))
+
+    def size(self) -> int:
+        return self.signatures.count()
+
+    def is_empty(self) -> bool:
+        return self.signatures.isEmpty()
+
+
+def index_directory(spark: SparkSession, directory: str, bands: int = DEFAULT_BANDS, n: int = NGRAM, k: int = HASHES, strict: bool = True) -> DataFrame:
+    """`buckets` of all programs below a folder; `strict` as in a catalog's scan."""
+    return buckets(scan(spark, directory, n, k, strict), LshConfig.of(k, bands))

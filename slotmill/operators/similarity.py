@@ -83,6 +83,15 @@ def one_against_all(prints: DataFrame, query_id: str, least: float = 0.0) -> Dat
     return reported(full).where(F.col("jaccard_estimate") >= least).orderBy(F.desc("jaccard_estimate"), "b")
 
 
+def batch_against_all(prints: DataFrame, queries: DataFrame, least: float, k: int) -> DataFrame:
+    """Reports (query as `a`) of each of `queries` against all others of `prints` at `least` (> 0) or more.
+
+    Lossless, by `search`: only pairs that reach `least` get a report.
+    """
+    found = search(prints, queries, least, k).where("query_id <> program_id")
+    return compared(found.select(F.col("query_id").alias("a"), F.col("program_id").alias("b")), prints)
+
+
 def compare_stored(stored: DataFrame, live: DataFrame) -> DataFrame:
     """Stored catalog rows against live fingerprints of the same id.
 

@@ -82,6 +82,15 @@ def cut(df: DataFrame, name: str, rows: int = BATCH_ROWS, result: bool = False)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files that driver and executors open by path: below the shared folder, which
+    must be mounted under one path everywhere. Within a `Scratch` it goes at its end."""
+    path = f"{checkpoint_dir(spark)}/slotmill-{name}-{uuid.uuid4().hex}"
+    if _scopes():
+        _scopes()[-1].paths += [(spark, path), (spark, f"{path}-out")]
+    return re.sub(r"^file:/*", "/", path)
+
+
 class Scratch:
     """`with Scratch():` cuts made within it go at its end, also if something fails."""
 

@@ -3,7 +3,21 @@
 from __future__ import annotations
 
 _DOCS = "prog AS (SELECT CAST(doc_id AS VARCHAR) AS program_id, hex(encode(coalesce(text, ''))) AS t FROM documents)"
-_TURNS = "prog AS (SELECT conv_id || '-' || turn AS program_id, hex(encode(coalesce(text, ''))) AS t FROM conversations)"
+_EDIT = "substr(t, 1, 16 * (length(t) // 32)) || '5858585858585858' || substr(t, 16 * (length(t) // 32) + 17)"
+_PLAIN = "plain AS (SELECT conv_id, turn, conv_id || '-' || turn AS id, hex(encode(coalesce(text, ''))) AS t FROM conversations)"
+#: Turns with their copies, with a slot overwritten, and with half of them repeated a byte out of step.
+_TURNS = f"""{_PLAIN},
+prog AS (SELECT id AS program_id, t FROM plain UNION ALL SELECT id || '~copy', t FROM plain UNION ALL SELECT id || '~edit', {_EDIT} FROM plain
+         UNION ALL SELECT id || '~more', t || substr(t, 3, 16 * (length(t) // 32)) FROM plain)"""
+#: The files that turns are saved as; every fifth conversation is no program.
+_FILES = f"""{_PLAIN},
+fil AS (SELECT conv_id, turn, 'd' || (conv_id % 10) || '/' || CASE turn % 4 WHEN 0 THEN 'p' || conv_id || '_' || turn || '.so' WHEN 1 THEN '_p' || conv_id || '_' || turn || '.so'
+               WHEN 2 THEN '.p' || conv_id || '_' || turn || '.so' ELSE 'p' || conv_id || '.' || turn END AS path,
+               CASE turn % 4 WHEN 0 THEN 'p' || conv_id || '_' || turn WHEN 1 THEN '_p' || conv_id || '_' || turn WHEN 2 THEN '.p' || conv_id || '_' || turn ELSE 'p' || conv_id END AS id, t FROM plain
+        UNION ALL SELECT conv_id, turn, 'e/' || conv_id || '_' || turn || '.tar.so', conv_id || '_' || turn || '.tar', {_EDIT} FROM plain)"""
+_FILE_PROGRAMS = f"{_FILES}, prog AS (SELECT path AS program_id, t FROM fil WHERE conv_id % 5 <> 4)"
+#: Of files with one id the last by path.
+_FILE_IDS = f"{_FILES}, pick AS (SELECT id, arg_max(path, path) AS path, arg_max(t, path) AS t FROM fil WHERE conv_id % 5 <> 4 GROUP BY id), prog AS (SELECT id AS program_id, t FROM pick)"
 _USERS = """
 ev AS (SELECT user_id, event_id,
          list_extract(['18', 'B7', '18', '07', 'B7'], CAST(event_id * 7 % 5 + 1 AS BIGINT)) ||
@@ -97,7 +111,7 @@ rep AS (
 
 
 _NEXT = """
-pr AS (SELECT conv_id || '-' || turn AS a, conv_id || '-' || (turn + 1) AS b, conv_id || '-' || (turn + 1) AS b2 FROM conversations)"""
+pr AS (SELECT a, b, b AS b2 FROM (SELECT conv_id || '-' || turn AS a, unnest([conv_id || '-' || (turn + 1), conv_id || '-' || turn || '~copy', conv_id || '-' || turn || '~edit', conv_id || '-' || turn || '~more']) AS b FROM conversations))"""
 _TURN_GRAMS = (_TURNS, _SLOTS, _NORMAL, _NTOK, _GRAMS)
 
 
@@ -117,7 +131,7 @@ cd AS (SELECT query_id, bu.program_id, min(bu.band) AS band, arg_min(bu.bucket_k
 
 _CATALOG = """
 ent AS (SELECT CAST(conv_id AS VARCHAR) AS program_id, conv_id || '-' || turn AS source_path, turn, n AS ngram_count, nl.len AS normalized_len, {hex} AS simhash
-        FROM conversations c JOIN cnt ON cnt.program_id = conv_id || '-' || turn JOIN sh ON sh.program_id = cnt.program_id
+        FROM plain c JOIN cnt ON cnt.program_id = conv_id || '-' || turn JOIN sh ON sh.program_id = cnt.program_id
         JOIN (SELECT program_id, 8 * count(*) AS len FROM kept GROUP BY program_id) nl ON nl.program_id = cnt.program_id)""".format(hex=_hex("simhash"))
 _LIST = "SELECT program_id, source_path, ngram_count, normalized_len, simhash FROM"
 
@@ -166,6 +180,31 @@ ids AS (SELECT DISTINCT program_id FROM mh),
 reach(a, b) AS (SELECT program_id, program_id FROM ids UNION SELECT reach.a, est.b FROM reach JOIN est ON est.a = reach.b AND e >= 0.5),
 lab AS (SELECT a AS program_id, min(b) AS label FROM reach GROUP BY a)"""
 
+_LENGTHS = "len8 AS (SELECT program_id, 8 * count(*) AS len FROM kept GROUP BY program_id)"
+_SIGNATURES = "sig AS (SELECT program_id, string_agg(v, ',' ORDER BY i) AS minhash FROM mh GROUP BY program_id)"
+_FILE_GRAMS = (_FILE_PROGRAMS, _SLOTS, _NORMAL, _NTOK, _GRAMS, _minhash(128), _SIM, _COUNTS)
+_ID_GRAMS = (_FILE_IDS, _SLOTS, _NORMAL, _NTOK, _GRAMS, _minhash(128), _SIM, _COUNTS)
+_SCANNED = f"""
+db AS (SELECT c.program_id, pick.path AS source_path, c.n AS ngram_count, len AS normalized_len, {_hex("simhash")} AS simhash, minhash FROM cnt c
+       JOIN pick ON pick.id = c.program_id JOIN len8 USING (program_id) JOIN sh USING (program_id) JOIN sig USING (program_id))"""
+_METRICS = """'jaccard_estimate: ' || printf('%.4f', jaccard_estimate) || chr(10) || {p}'jaccard_exact:    ' || printf('%.4f', jaccard_exact) || chr(10)
+|| {p}'simhash_similarity: ' || printf('%.4f', simhash_similarity) || chr(10) || {p}'hamming_distance: ' || hamming_distance"""
+_FILE_PAIRS = """
+pr AS (SELECT x.path AS a, y.path AS b, y.path AS b2 FROM fil x JOIN fil y ON x.conv_id = y.conv_id AND x.turn = y.turn AND starts_with(x.path, 'd') AND starts_with(y.path, 'e'))"""
+_GROUPS = """,
+grp AS (SELECT label, string_agg(program_id, ',' ORDER BY program_id) AS members, count(*) AS size FROM lab GROUP BY label),
+sim AS (SELECT l.label, sum(e) / 2 AS s FROM est JOIN lab l ON l.program_id = a JOIN lab r ON r.program_id = b AND r.label = l.label GROUP BY l.label),
+clu AS (SELECT row_number() OVER (ORDER BY size DESC, grp.label) - 1 AS cluster_id, grp.label, size,
+        CASE WHEN size = 1 THEN 1.0::DOUBLE ELSE CAST(coalesce(s, 0) / (size * (size - 1) / 2) AS DOUBLE) END AS avg_similarity
+        FROM grp LEFT JOIN sim ON sim.label = grp.label),
+clm AS (SELECT cluster_id, program_id, size, avg_similarity FROM lab JOIN clu USING (label))"""
+
+
+def _lines(parts: str) -> str:
+    """(line_no, line) of the rows (o1, o2, line) in `parts`, by their order."""
+    return f" SELECT row_number() OVER (ORDER BY o1, o2) - 1 AS line_no, line FROM ({parts})"
+
+
 ORACLE_SQL = {
     "slots_decode": _with(_DOCS, _SLOTS) + " SELECT program_id, CAST(i AS INTEGER) AS i, opcode, dst, src, CAST(opcode * 65536 + dst * 256 + src AS INTEGER) AS token FROM dec",
     "ngram_total_count": _with(_DOCS) + " SELECT program_id, CAST(greatest(0, length(t) // 16 - 2) AS BIGINT) AS n_grams FROM prog",
@@ -191,22 +230,80 @@ JOIN sh ON sh.program_id = c.program_id
     "tier_counts": _with(*_TURN_GRAMS, _minhash(128), _SIM, _COUNTS, _NEXT, _report(128)) + " SELECT tier, count(*) AS n FROM rep GROUP BY tier",
     "lsh_buckets": _with(*_TURN_GRAMS, _minhash(128), _bands(8)) + " SELECT program_id, band, bucket_key FROM bu",
     "lsh_candidates": _with(*_TURN_GRAMS, _minhash(128), _bands(16), _QUERIES) + " SELECT query_id, program_id, band, bucket_key FROM cd",
+    "exact_query": _with(*_TURN_GRAMS, _minhash(128)) + """
+SELECT x.program_id AS query_id, y.program_id, CAST(count(*) / 128.0 AS DOUBLE) AS score FROM mh x JOIN mh y ON x.i = y.i AND x.v = y.v
+WHERE CAST(split_part(x.program_id, '-', 1) AS BIGINT) % 50 = 0 GROUP BY x.program_id, y.program_id HAVING count(*) / 128.0 >= 0.6
+""",
     "lsh_query": _with(*_TURN_GRAMS, _minhash(128), _bands(8), _QUERIES) + """
 SELECT query_id, cd.program_id, CAST(count(*) / 128.0 AS DOUBLE) AS score, any_value(band) AS band FROM cd JOIN mh x ON x.program_id = query_id JOIN mh y ON y.program_id = cd.program_id AND x.i = y.i AND x.v = y.v
 GROUP BY query_id, cd.program_id HAVING count(*) / 128.0 >= 0.6
 """,
-    "cluster_summary": _with(_TURNS, _SLOTS, _RAW, _GRAMS, _minhash(128)) + _REACH + """,
-grp AS (SELECT label, string_agg(program_id, ',' ORDER BY program_id) AS members, count(*) AS size FROM lab GROUP BY label),
-sim AS (SELECT l.label, sum(e) / 2 AS s FROM est JOIN lab l ON l.program_id = a JOIN lab r ON r.program_id = b AND r.label = l.label GROUP BY l.label)
-SELECT row_number() OVER (ORDER BY size DESC, grp.label) - 1 AS cluster_id, members, size,
-       CASE WHEN size = 1 THEN 1.0::DOUBLE ELSE CAST(coalesce(s, 0) / (size * (size - 1) / 2) AS DOUBLE) END AS avg_similarity
-FROM grp LEFT JOIN sim ON sim.label = grp.label
+    "cluster_summary": _with(_TURNS, _SLOTS, _RAW, _GRAMS, _minhash(128)) + _REACH + _GROUPS + " SELECT * FROM clm",
+    "batch_compare": _with(*_TURN_GRAMS, _minhash(128), _SIM, _COUNTS, " pr AS (SELECT x.program_id AS a, y.program_id AS b, y.program_id AS b2 FROM prog x JOIN prog y ON x.program_id <> y.program_id WHERE CAST(split_part(x.program_id, '-', 1) AS BIGINT) % 50 = 0)", _report(128))
+    + " SELECT * FROM rep WHERE jaccard_estimate >= 0.1",
+    "one_against_every": _with(*_TURN_GRAMS, _minhash(128), _SIM, _COUNTS, " pr AS (SELECT q.a, program_id AS b, program_id AS b2 FROM prog, (SELECT min(program_id) AS a FROM cnt) q WHERE program_id <> q.a)", _report(128)) + " SELECT * FROM rep",
+    "register_lookup": _with(_USERS, _SLOTS, _NORMAL) + " SELECT p.program_id, CAST(r.reg AS INTEGER) AS register, CAST(coalesce(m.new, r.reg) AS INTEGER) AS new FROM prog p, range(0, 16) r(reg) LEFT JOIN map m ON m.program_id = p.program_id AND m.reg = r.reg",
+    "empty_programs": _with(*_DOC_GRAMS) + " SELECT program_id, 'no opcode n-grams extracted from bytecode' AS error FROM prog WHERE program_id NOT IN (SELECT program_id FROM gram)",
+    "elf_sections": """
+SELECT CAST(doc_id AS VARCHAR) AS program_id, CASE WHEN doc_id % 5 < 2 THEN octet_length(encode(x)) ELSE -1 END AS n_bytes, CASE WHEN doc_id % 5 < 2 THEN sha256(encode(x)) END AS sha256,
+       CASE WHEN doc_id % 5 < 2 THEN 0::BIGINT ELSE -1 END AS entry_offset,
+       CASE doc_id % 5 WHEN 2 THEN 'not a valid elf: bad magic' WHEN 3 THEN 'not a valid elf: text section exceeds file bounds' WHEN 4 THEN 'no executable text section found' END AS load_error
+FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)
+""",
+    "scan_programs": _with(_FILES) + " SELECT path, id AS program_id, CASE WHEN conv_id % 5 <> 4 THEN sha256(unhex(t)) END AS sha256, CASE WHEN conv_id % 5 = 4 THEN 'not a valid elf: bad magic' END AS load_error FROM fil",
+    "scan_catalog": _with(*_ID_GRAMS, _LENGTHS, _SIGNATURES, _SCANNED) + " SELECT * FROM db",
+    "catalog_json": _with(*_ID_GRAMS, _LENGTHS, _SIGNATURES, _SCANNED) + " SELECT *, ngram_count AS n_sample, 3 AS version, count(*) OVER () AS entries FROM db",
+    "index_programs": _with(*_ID_GRAMS, _bands(16)) + " SELECT program_id, band, bucket_key FROM bu",
+    "scan_clusters": _with(_FILE_PROGRAMS, _SLOTS, _RAW, _GRAMS, _minhash(128)) + _REACH + _GROUPS + " SELECT * FROM clm",
+    "file_fingerprints": _with(*_FILE_GRAMS) + f""",
+val AS (SELECT program_id, string_agg(CASE WHEN i % 4 = 0 THEN chr(10) ELSE '' END || ' ' || v, '' ORDER BY i) AS vs FROM mh GROUP BY program_id)
+SELECT program_id, 'file: ' || program_id || chr(10) || 'ngram_count: ' || n || chr(10) || 'simhash: ' || {_hex("simhash")} || chr(10) || 'minhash_signature:' || vs AS text
+FROM cnt JOIN sh USING (program_id) JOIN val USING (program_id)
+""",
+    "file_comparisons": _with(*_FILE_GRAMS, _FILE_PAIRS, _report(128)) + " SELECT a, b, 'file_a: ' || a || chr(10) || 'file_b: ' || b || chr(10) || " + _METRICS.format(p="") + " AS text FROM rep",
+    "file_reports": _with(*_FILE_GRAMS, _FILE_PAIRS, _report(128)) + " SELECT a, b, 'similarity report' || chr(10) || '  a: ' || a || chr(10) || '  b: ' || b || chr(10) || '  tier: ' || tier || chr(10) || '  ' || "
+    + _METRICS.format(p="'  ' || ") + " || chr(10) || '  ngrams: ' || ngram_count_a || ' vs ' || ngram_count_b || CASE WHEN notes = '' THEN '' ELSE chr(10) || '  note: ' || replace(notes, '; sim', chr(10) || '  note: sim') END AS text FROM rep",
+    "batch_lines": _with(*_TURN_GRAMS, _minhash(128), _SIM, _COUNTS, " pr AS (SELECT x.program_id AS a, y.program_id AS b, y.program_id AS b2 FROM prog x JOIN prog y ON x.program_id <> y.program_id WHERE CAST(split_part(x.program_id, '-', 1) AS BIGINT) % 50 = 0)", _report(128))
+    + """,
+rk AS (SELECT a, b, jaccard_estimate, tier, count(*) OVER (PARTITION BY a) AS matches, row_number() OVER (PARTITION BY a ORDER BY jaccard_estimate DESC, b) - 1 AS i FROM rep WHERE jaccard_estimate >= 0.4)
+SELECT a, b, 'batch similarity for ' || a || chr(10) || 'matches: ' || matches || chr(10) || '  [' || i || '] ' || b || ' jaccard=' || printf('%.4f', jaccard_estimate) || ' tier='
+       || CASE tier WHEN 'identical' THEN 'Identical' WHEN 'near_duplicate' THEN 'NearDuplicate' WHEN 'related' THEN 'Related' ELSE 'Distinct' END AS text FROM rk
+""",
+    "cli_cluster": _with(_FILE_PROGRAMS, _SLOTS, _RAW, _GRAMS, _minhash(128)) + _REACH + _GROUPS
+    + _lines("""SELECT -4 AS o1, '' AS o2, 'directory: ' AS line UNION ALL SELECT -3, '', 'threshold: 0.50' UNION ALL SELECT -2, '', 'clusters: ' || count(*) FROM clu UNION ALL SELECT -1, '', ''
+UNION ALL SELECT cluster_id, '', 'cluster ' || cluster_id || ' (' || size || ' members, avg_similarity ' || printf('%.4f', avg_similarity) || ')' FROM clu
+UNION ALL SELECT cluster_id, program_id, '  ' || program_id FROM clm UNION ALL SELECT cluster_id, '~', '' FROM clu WHERE cluster_id < (SELECT max(cluster_id) FROM clu)"""),
+    "cli_index": _with(_FILES) + _lines("SELECT 0 AS o1, '' AS o2, 'indexed ' || count(DISTINCT id) || ' programs' AS line FROM fil WHERE length(t) >= 128 AND conv_id % 5 <> 4 UNION ALL SELECT 1, '', 'catalog: out/db.json'"),
+    "cli_query": _with(*_ID_GRAMS, _bands(8)) + """,
+src AS (SELECT * FROM fil WHERE path = 'd0/p0_0.so'),
+hit AS (SELECT y.program_id, count(*) / 128.0 AS e FROM mh x JOIN mh y ON x.i = y.i AND x.v = y.v WHERE x.program_id = (SELECT id FROM src) AND y.program_id IN
+        (SELECT b.program_id FROM bu b JOIN bu q USING (band, bucket_key) WHERE q.program_id = (SELECT id FROM src)) GROUP BY y.program_id)"""
+    + _lines("SELECT 0 AS o1, '' AS o2, 'query: d0/p0_0.so' AS line UNION ALL SELECT 1, '', 'catalog: ' || count(*) || ' entries' FROM cnt UNION ALL SELECT 3 - e, program_id, '  ' || program_id || ' jaccard=' || printf('%.4f', e) FROM hit WHERE e >= 0.3"),
+    "catalog_summary": _with(*_ID_GRAMS, _LENGTHS, _SIGNATURES, _SCANNED)
+    + _lines("SELECT 0 AS o1, '' AS o2, 'fingerprint_db version=1 entries=' || count(*) AS line FROM db UNION ALL SELECT 1, source_path, '  ' || program_id || ' ngrams=' || ngram_count || ' simhash=' || simhash || ' path=' || source_path FROM db"),
+    "cli_errors": """
+SELECT * FROM (VALUES ('compare', 1, 'error: not a valid elf: bad magic'), ('fingerprint', 1, 'error: not a valid elf: bad magic'),
+  ('report', 1, 'error: no opcode n-grams extracted from bytecode'), ('index', 1, 'error: no opcode n-grams extracted from bytecode'), ('good', 0, '')) v(command, code, message)
+""",
+    "lsh_configs": """
+SELECT CAST(b AS INTEGER) AS bands, CASE WHEN b > 0 AND 128 % b = 0 THEN CAST(128 // b AS INTEGER) ELSE 0 END AS rows_per_band,
+       CASE WHEN b = 0 OR 128 % b <> 0 THEN 'signature length 128 must be divisible by bands ' || b ELSE '' END AS error FROM (SELECT range AS b FROM range(0, 33))
+""",
+    "stores": _with(*_TURN_GRAMS, _COUNTS) + """
+SELECT 'new index' AS store, 0::BIGINT AS size, true AS is_empty, 0 AS version UNION ALL SELECT 'index', count(*), count(*) = 0, 0 FROM cnt
+UNION ALL SELECT 'new catalog', 0, true, 1 UNION ALL SELECT 'catalog', count(*), count(*) = 0, 1 FROM cnt
 """,
-    "batch_compare": _with(*_TURN_GRAMS, _minhash(128), _SIM, _COUNTS, " pr AS (SELECT '0-0' AS a, program_id AS b, program_id AS b2 FROM prog WHERE program_id <> '0-0')", _report(128)) + " SELECT * FROM rep",
     "catalog_upsert": _with(*_TURN_GRAMS, _SIM, _COUNTS, _CATALOG) + f" {_LIST} ent QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY turn DESC) = 1",
-    "catalog_merge": _with(*_TURN_GRAMS, _SIM, _COUNTS, _CATALOG) + f" {_LIST} ent WHERE turn = 1 OR turn = 0 AND program_id NOT IN (SELECT program_id FROM ent WHERE turn = 1)",
+    "catalog_merge": _with(*_TURN_GRAMS, _SIM, _COUNTS, _CATALOG) + """,
+pl AS (SELECT *, CAST(program_id AS BIGINT) * 1000 + turn AS pos, turn = 0 AND CAST(program_id AS BIGINT) % 3 <> 0 AS mine FROM ent),
+las AS (SELECT program_id, arg_max(source_path, pos) AS source_path, arg_max(ngram_count, pos) AS ngram_count, arg_max(normalized_len, pos) AS normalized_len, arg_max(simhash, pos) AS simhash, min(pos) AS first FROM pl WHERE NOT mine GROUP BY program_id)
+SELECT program_id, source_path, ngram_count, normalized_len, simhash, pos AS place FROM pl WHERE mine AND program_id NOT IN (SELECT program_id FROM las)
+UNION ALL SELECT las.program_id, las.source_path, las.ngram_count, las.normalized_len, las.simhash, coalesce(o.pos, (SELECT coalesce(max(pos), -1) FROM pl WHERE mine) + 1 + las.first)
+FROM las LEFT JOIN pl o ON o.mine AND o.program_id = las.program_id
+""",
     "catalog_lookup": _with(*_TURN_GRAMS, _SIM, _COUNTS, _CATALOG) + f" {_LIST} ent WHERE program_id = '7' QUALIFY row_number() OVER (ORDER BY turn DESC) = 1",
-    "compare_stored": _with(*_TURN_GRAMS, _minhash(16), _SIM, _COUNTS, " pr AS (SELECT conv_id || '-0' AS a, conv_id || '-1' AS b, conv_id || '-0' AS b2 FROM conversations WHERE turn = 0)", _report(16))
-    + " SELECT split_part(a, '-', 1) AS a, b, jaccard_estimate, jaccard_exact, simhash_similarity, hamming_distance, ngram_count_a, ngram_count_b, tier, '' AS notes FROM rep",
+    "compare_stored": _with(*_TURN_GRAMS, _minhash(128), _SIM, _COUNTS, """
+pr AS (SELECT id AS a, CASE turn % 4 WHEN 0 THEN id || '~copy' WHEN 1 THEN id || '~edit' WHEN 2 THEN id || '~more' ELSE conv_id || '-' || (turn + 1) END AS b, 'db/' || id AS b2 FROM plain)""", _report(128))
+    + " SELECT a, b, jaccard_estimate, jaccard_exact, simhash_similarity, hamming_distance, ngram_count_a, ngram_count_b, tier, '' AS notes FROM rep",
     "basket_jaccard": _exact_sql("WITH it AS (SELECT DISTINCT l_orderkey AS key, l_partkey AS item FROM lineitem)"),
 }

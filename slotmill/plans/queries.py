@@ -1,21 +1,23 @@
 """Queries over the driver's tables.
 
 The tables hold no binaries, so texts stand in for streams: the UTF-8 bytes of `documents` and
-`conversations`. `events` gives streams rich in wide loads and no-ops: a user's events in order,
+`conversations`. Each turn of a conversation comes with three programs made of it: a copy, one
+with a slot overwritten, and one with half of it repeated out of step, so that there are near and
+far relatives. `events` gives streams rich in wide loads and no-ops: a user's events in order,
 each a slot spelled from its id. Unsigned values leave as 16 hexadecimal digits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.u64 import hex16
 from ..operators import catalog, lsh
-from ..operators.cluster import cluster_members, clusters
-from ..operators.fingerprint import feature_sets, features, fingerprints, ngram_total, normalized, slots
+from ..operators.cluster import cluster_members, cluster_table
+from ..operators.fingerprint import feature_sets, features, fingerprints, looked_up, ngram_total, normalized, rejections, slots
 from ..operators.similarity import compare_stored as stored_against_live
-from ..operators.similarity import compared, estimate_pairs, exact_pairs, one_against_all, search, set_classes, signature_classes, signature_text
+from ..operators.similarity import batch_against_all, compared, estimate_pairs, exact_pairs, one_against_all, search, set_classes, signature_classes, signature_text
 from ..sources.files import text_programs
 from .durable import cut, spread
 
@@ -30,8 +32,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_programs(_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
 
 
+def overwritten(text: Column) -> Column:
+    """A binary column with its middle slot overwritten."""
+    at = F.floor(F.octet_length(text) / 16).cast("int") * 8
+    return F.concat(F.substring(text, F.lit(1), at), F.encode(F.lit("X" * 8), "UTF-8"), F.substring(text, at + 9, F.octet_length(text)))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_programs(_table(spark, sf_dir, "conversations"), F.concat_ws("-", "conv_id", "turn"), F.col("text"))
+    """Turns and their relatives, by conversation and turn."""
+    c = _table(spark, sf_dir, "conversations")
+    plain = text_programs(c, F.concat_ws("-", "conv_id", "turn"), F.coalesce("text", F.lit("")))
+    text = F.col("text")
+    half = F.floor(F.octet_length(text) / 16).cast("int") * 8
+    made = (("", text), ("~copy", text), ("~edit", overwritten(text)), ("~more", F.concat(text, F.substring(text, F.lit(2), half))))
+    each = F.array(*(F.struct(F.concat("program_id", F.lit(k)).alias("program_id"), t.alias("text")) for k, t in made))
+    return plain.select(F.inline(each))
 
 
 def user_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,12 +125,15 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _next_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with the next one of its conversation and with its relatives."""
     c = _table(spark, sf_dir, "conversations")
-    return c.select(F.concat_ws("-", "conv_id", "turn").alias("a"), F.concat_ws("-", "conv_id", F.col("turn") + 1).alias("b"))
+    a = F.concat_ws("-", "conv_id", "turn")
+    others = F.array(F.concat_ws("-", "conv_id", F.col("turn") + 1), *(F.concat(a, F.lit(k)) for k in ("~copy", "~edit", "~more")))
+    return c.select(a.alias("a"), F.explode(others).alias("b"))
 
 
 def compare_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn of a conversation against the next one."""
+    """Each turn of a conversation against the next one and its relatives."""
     r = compared(_next_turns(spark, sf_dir), _prints(turns(spark, sf_dir)))
     return r.withColumn("notes", F.array_join("notes", "; "))
 
@@ -152,8 +170,7 @@ def exact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clusters(_prints(turns(spark, sf_dir), config=None), 0.5, K)
-    return found.withColumn("members", F.array_join("members", ","))
+    return cluster_table(_prints(turns(spark, sf_dir), config=None), 0.5, K)
 
 
 def cluster_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,20 +178,38 @@ def cluster_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first turn of all against every other turn."""
-    r = one_against_all(_prints(turns(spark, sf_dir)), "0-0", 0.0)
-    return r.withColumn("notes", F.array_join("notes", "; "))
+    """The query programs against all others, at 0.1 or more."""
+    prints = _prints(turns(spark, sf_dir))
+    return batch_against_all(prints, _queried(prints), 0.1, K).withColumn("notes", F.array_join("notes", "; "))
+
+
+def one_against_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn with the least name against every other program."""
+    prints = _prints(turns(spark, sf_dir))
+    least = prints.agg(F.min("program_id")).first()[0] or ""
+    return one_against_all(prints, least, 0.0).withColumn("notes", F.array_join("notes", "; "))
+
 
+def register_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the 16 registers became in each normalized stream."""
+    n = normalized(user_streams(spark, sf_dir)).select("program_id", "register_remap", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("register"))
+    return n.select("program_id", "register", looked_up(F.col("register_remap"), F.col("register")).alias("new"))
 
-def _entries(spark: SparkSession, sf_dir: str, k: int = 16) -> DataFrame:
+
+def empty_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejections(documents(spark, sf_dir))
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog row a turn, under the id of its conversation: ids repeat."""
-    c = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), "turn", F.concat_ws("-", "conv_id", "turn").alias("program_id"))
-    p = _prints(turns(spark, sf_dir), k=k).join(c, "program_id")
-    return p.select(F.col("id").alias("program_id"), F.col("program_id").alias("source_path"), "ngram_count", "normalized_len", "simhash", "minhash", F.col("ngrams").alias("ngram_sample"), "turn")
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("program_id"))
+    plain = turns(spark, sf_dir).where(~F.contains("program_id", F.lit("~")))
+    p = _prints(plain).join(c, "program_id")
+    return p.select(F.col("conv_id").cast("string").alias("program_id"), F.col("program_id").alias("source_path"), "ngram_count", "normalized_len", "simhash", "minhash", F.col("ngrams").alias("ngram_sample"), "turn")
 
 
-def _listed(rows: DataFrame) -> DataFrame:
-    return rows.select("program_id", "source_path", "ngram_count", "normalized_len", hex16(F.col("simhash")).alias("simhash"))
+def _listed(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("program_id", "source_path", "ngram_count", "normalized_len", hex16(F.col("simhash")).alias("simhash"), *more)
 
 
 def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,9 +217,11 @@ def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First turns as the primary, second turns as the secondary catalog."""
-    e = _entries(spark, sf_dir)
-    return _listed(catalog.merge(e.where("turn = 0").drop("turn"), e.where("turn = 1").drop("turn")))
+    """First turns of two conversations of three as the primary catalog; all other turns as the
+    secondary, whose ids repeat. Places follow conversations and turns."""
+    e = _entries(spark, sf_dir).withColumn("place", F.col("program_id").cast("long") * 1000 + F.col("turn"))
+    first = (F.col("turn") == 0) & (F.col("program_id").cast("long") % 3 != 0)
+    return _listed(catalog.merge(e.where(first).drop("turn"), e.where(~first).drop("turn"), "place"), "place")
 
 
 def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,23 +229,16 @@ def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First turns as stored against second turns as they are now, by conversation."""
-    e = _entries(spark, sf_dir)
-    live = e.where("turn = 1").select("program_id", "ngram_count", "minhash", "simhash", F.col("ngram_sample").alias("ngrams"))
-    return stored_against_live(e.where("turn = 0"), live).withColumn("notes", F.array_join("notes", "; "))
-
-
-def catalog_merge_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All turns: even ones as the primary, odd ones as the secondary catalog, under the id of their pair."""
-    e = _entries(spark, sf_dir, K).withColumn("program_id", F.concat_ws("-", "program_id", F.floor(F.col("turn") / 2)))
-    return _listed(catalog.merge(e.where("turn % 2 = 0").drop("turn"), e.where("turn % 2 = 1").drop("turn")))
-
-
-def compare_stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn as stored against the next one of its conversation as it is now, by full signatures."""
-    e = _entries(spark, sf_dir, K)
-    live = e.select(F.concat_ws("-", "program_id", F.col("turn") - 1).alias("program_id"), "ngram_count", "minhash", "simhash", F.col("ngram_sample").alias("ngrams"))
-    return stored_against_live(e.withColumn("program_id", F.col("source_path")), live).withColumn("notes", F.array_join("notes", "; "))
+    """Every turn as stored against the program that it is now: itself, overwritten, grown, or the next turn."""
+    prints = _prints(turns(spark, sf_dir))
+    stored = prints.where(~F.contains("program_id", F.lit("~")))
+    stored = stored.select("program_id", F.concat(F.lit("db/"), "program_id").alias("source_path"), "ngram_count", "minhash", "simhash", F.col("ngrams").alias("ngram_sample"))
+    name, kind = F.substring_index("program_id", "~", 1), F.substring_index("program_id", "~", -1)
+    conv, turn = F.substring_index(name, "-", 1), F.substring_index(name, "-", -1).cast("long")
+    now = F.element_at(F.array(F.lit("copy"), F.lit("edit"), F.lit("more"), F.lit("next")), (turn % 4 + 1).cast("int"))
+    same = prints.where(F.contains("program_id", F.lit("~")) & (kind == now)).withColumn("program_id", name)
+    later = prints.where(~F.contains("program_id", F.lit("~")) & (turn % 4 == 0) & (turn > 0)).withColumn("program_id", F.concat_ws("-", conv, turn - 1))
+    return stored_against_live(stored, same.unionByName(later)).withColumn("notes", F.array_join("notes", "; "))
 
 
 def basket_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import files
 from . import queries as q
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -34,12 +35,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q.cluster_summary,
         q.cluster_documents,
         q.batch_compare,
+        q.one_against_every,
+        q.register_lookup,
+        q.empty_programs,
         q.catalog_upsert,
         q.catalog_merge,
         q.catalog_lookup,
         q.compare_stored,
-        q.catalog_merge_turns,
-        q.compare_stored_turns,
         q.basket_jaccard,
     )
-}
+} | files.QUERIES

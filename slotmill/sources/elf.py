@@ -27,6 +27,8 @@ def text_section(data: bytes) -> bytes:
         else:
             (table,) = struct.unpack_from(f"{order}I", data, 32)
             size, count = struct.unpack_from(f"{order}HH", data, 46)
+        if not count and table:  # too many for the header: the first section's size counts them
+            (count,) = struct.unpack_from(f"{order}{'Q' if wide else 'I'}", data, table + (32 if wide else 20))
         for i in range(count):
             at = table + i * size
             kind = struct.unpack_from(f"{order}I", data, at + 4)[0]

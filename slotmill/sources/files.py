@@ -8,7 +8,8 @@ see. Stores that only Spark reads go through `read_store`.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,12 +20,14 @@ from .elf import LoadError, entry_offset, text_section
 SCHEMA = "path string, text binary, entry_offset long, load_error string"
 #: Paths a task reads.
 PATHS_A_TASK = 256
+#: Fixed value: the id of a program whose file name can't be read as text.
+UNKNOWN = "unknown"
 
 
-def list_files(directory: str) -> list[str]:
-    """Regular files below `directory`, by path; unreadable folders are passed over, links to
-    folders aren't followed."""
-    found = (os.path.join(top, name) for top, _, names in os.walk(directory) for name in names)
+def list_files(directory: str) -> list[bytes]:
+    """Regular files below `directory`, by path, as the system spells them; unreadable folders are
+    passed over, links to folders aren't followed."""
+    found = (os.path.join(top, name) for top, _, names in os.walk(os.fsencode(directory)) for name in names)
     return sorted(p for p in found if os.path.isfile(p))
 
 
@@ -38,7 +41,7 @@ def _program(path: str, read) -> tuple[str, bytes | None, int | None, str | None
         return path, None, None, str(e)
 
 
-def _bytes(path: str) -> bytes:
+def _bytes(path: bytes) -> bytes:
     with open(path, "rb") as f:
         return f.read()
 
@@ -50,8 +53,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path in batch.column("path").to_pylist():
-            yield _rows([_program(path, _bytes)])
+        for raw in batch.column("raw").to_pylist():
+            yield _rows([_program(raw.decode("utf-8", "replace"), lambda _, raw=raw: _bytes(raw))])
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,32 +63,57 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows([_program(path, lambda _, data=data: data)])
 
 
-def load_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, text, entry_offset, load_error) of files; a failure is a value, not an error."""
+def load_paths(spark: SparkSession, paths: Sequence[str | bytes]) -> DataFrame:
+    """(path, text, entry_offset, load_error) of files; a failure is a value, not an error. In a
+    path that isn't UTF-8 the odd bytes are shown as U+FFFD."""
     tasks = max(1, -(-len(paths) // PATHS_A_TASK))
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks)
+    listed = spark.createDataFrame([(bytearray(os.fsencode(p)),) for p in paths], "raw binary").repartition(tasks)
     return listed.mapInArrow(_read, SCHEMA)
 
 
+def parse_images(images: DataFrame) -> DataFrame:
+    """As `load_paths`, from rows that hold whole files (path, content, any others); null content
+    is an empty file."""
+    return images.select("path", F.coalesce("content", F.lit(b"")).alias("content")).mapInArrow(_parsed, SCHEMA)
+
+
+def _saved(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            where = os.path.join(folder, path)
+            os.makedirs(os.path.dirname(where), exist_ok=True)
+            with open(f"{where}.{os.getpid()}", "wb") as f:
+                f.write(content or b"")
+            os.replace(f.name, where)  # a task that is tried again leaves one whole file
+        yield pa.RecordBatch.from_arrays([batch.column("path")], ["path"])
+
+
+def save_images(images: DataFrame, folder: str) -> int:
+    """Writes each row of `images` (path, content) as a file below `folder`, which driver and
+    executors must share under that path; returns how many. Paths are expected to differ."""
+    return images.select("path", "content").mapInArrow(partial(_saved, folder=folder), "path string").count()
+
+
 def scan_directory(spark: SparkSession, directory: str) -> DataFrame:
     return load_paths(spark, list_files(directory))
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """As `scan_directory`, from any store that Spark reads; hidden and empty files are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return found.mapInArrow(_parsed, SCHEMA)
+    return parse_images(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
 
 
 def strict(programs: DataFrame) -> DataFrame:
     """`programs`, failing the query at the first load error."""
-    ok = F.when(F.col("load_error").isNull(), F.col("text")).otherwise(F.raise_error("load_error").cast("binary"))
+    ok = F.when(F.col("load_error").isNull(), F.col("text")).otherwise(F.raise_error(F.col("load_error")).cast("binary"))
     return programs.withColumn("text", ok)
 
 
 def default_id(path: Column) -> Column:
-    """The file name without its last extension; a leading dot begins no extension."""
-    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+    """The file name without its last extension; a leading dot begins no extension. `unknown` if
+    there is none or it isn't UTF-8."""
+    stem = F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+    return F.when((stem == "") | F.contains(stem, F.lit("\ufffd")), UNKNOWN).otherwise(stem)
 
 
 def with_ids(programs: DataFrame, by_path: bool = False) -> DataFrame:

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import json
+import os
 import random
+import shutil
+import subprocess
+import sys
 
 import model
 import pytest
-from conftest import SMALL, duck, rows_of
+from conftest import ROOT, SMALL, duck, rows_of
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -18,6 +22,7 @@ from slotmill.operators.fingerprint import features, fingerprints, ngram_total
 from slotmill.operators.hashing import feature_hash, minhash_long, permuted_hash, simhash_long
 from slotmill.operators.similarity import compared, estimate_pairs, exact_pairs, search, set_classes, signature_classes
 from slotmill.plans import registry
+from slotmill.plans.durable import Scratch, cut
 from slotmill.sources.elf import LoadError, text_section
 from slotmill.sources.files import load_paths, read_store, scan_directory, with_ids
 
@@ -54,23 +59,78 @@ def turns(spark):
     return {k: s for k, s in sets.items() if s}
 
 
-def test_every_turn_is_compared(spark, turns):
-    got = {r.a: r for r in entry.queries()["compare_stored_turns"](spark, SMALL).collect()}
-    pairs = {f"{c}-{t}": (turns[c, t], turns[c, t + 1]) for c, t in turns if (c, t + 1) in turns}
-    assert set(got) == set(pairs) and all(r.b == a and r.notes == "" for a, r in got.items())
-    for a, (x, y) in pairs.items():
+def test_stored_turns_are_compared(spark, turns):
+    got = {r.a: r for r in entry.queries()["compare_stored"](spark, SMALL).collect()}
+    nexts = {f"{c}-{t}": (turns[c, t], turns[c, t + 1]) for c, t in turns if t % 4 == 3 and (c, t + 1) in turns}
+    copies = {f"{c}-{t}": (turns[c, t], turns[c, t]) for c, t in turns if t % 4 == 0}
+    assert copies and {a for a in got if int(a.split("-")[1]) % 4 in (0, 3)} == set(nexts) | set(copies) and all(r.b == f"db/{a}" and r.notes == "" for a, r in got.items())
+    for a, (x, y) in (nexts | copies).items():
         r = got[a]
         assert r.jaccard_estimate == model.estimate(model.minhash(x, 128), model.minhash(y, 128))
         assert r.jaccard_exact == pytest.approx(len(x & y) / len(x | y)) and (r.ngram_count_a, r.ngram_count_b) == (len(x), len(y))
         assert r.hamming_distance == (model.simhash(x) ^ model.simhash(y)).bit_count()
 
 
-def test_every_turn_is_merged(spark, turns):
-    got = {r.program_id: (r.source_path, r.ngram_count) for r in entry.queries()["catalog_merge_turns"](spark, SMALL).collect()}
-    want: dict = {}
-    for c, t in sorted(turns):
-        want[f"{c}-{t // 2}"] = (f"{c}-{t}", len(turns[c, t]))
-    assert got == want
+def test_merge_takes_the_last_of_repeated_ids(spark):
+    of = catalog.SCHEMA + ", place long"
+    row = lambda i, path, place: (i, path, 1, 8, 0, [0], [0], place)
+    one = spark.createDataFrame([row("a", "1", 0), row("b", "2", 1), row("c", "3", 2)], of)
+    two = spark.createDataFrame([row("q", "4", 0), row("b", "5", 1), row("q", "6", 2), row("b", "7", 3), row("d", "8", 4)], of)
+    got = [(r.program_id, r.source_path) for r in catalog.merge(one, two, "place").orderBy("place").collect()]
+    assert got == [("a", "1"), ("b", "7"), ("c", "3"), ("q", "6"), ("d", "8")]
+    assert catalog.merge(one.where("false"), two, "place").count() == 3 and catalog.merge(one, two.where("false"), "place").count() == 3
+    with pytest.raises(Exception, match="repeats q"):
+        catalog.merge(two, one, "place").collect()
+
+
+def test_stores_know_their_size_and_version(spark, tmp_path):
+    new = catalog.Catalog.new(spark)
+    assert (new.size(), new.is_empty(), new.version) == (0, True, 1)
+    rows = spark.createDataFrame([("a", "p", 1, 8, -1, [1, -1], [5])], catalog.SCHEMA)
+    path = str(tmp_path / "db.json")
+    catalog.Catalog(rows, 4).save(path)
+    back = catalog.Catalog.load(spark, path)
+    assert (back.size(), back.version, back.merged(new).version, new.merged(back).size()) == (1, 4, 4, 1)
+    (tmp_path / "none.json").write_text('{"entries": []}')
+    with pytest.raises(ValueError, match="version"):
+        catalog.Catalog.load(spark, str(tmp_path / "none.json"))
+    index = lsh.LshIndex.new(spark, 8)
+    assert index.is_empty() and index.config.rows_per_band == 16 and lsh.LshIndex.of(new.rows).config.bands == lsh.DEFAULT_BANDS
+    some = spark.createDataFrame([("a", [1, 2]), ("b", [3, 4])], "program_id string, minhash array<long>")
+    index = lsh.LshIndex.of(some, 2).insert(spark.createDataFrame([("a", [9, 2])], some.schema))
+    assert index.size() == 2 and index.buckets().count() == 4
+
+
+def test_names_that_are_not_utf8(spark, tmp_path):
+    for name in (b"caf\xe9.so", "caf\u00e9.so".encode()):
+        with open(os.path.join(os.fsencode(tmp_path), name), "wb") as f:
+            f.write(model.elf(model.sample(3)))
+    rows = with_ids(scan_directory(spark, str(tmp_path))).collect()
+    assert sorted(r.program_id for r in rows) == ["caf\u00e9", "unknown"] and all(bytes(r.text) == model.sample(3) for r in rows)
+
+
+def test_works_without_the_corpus_operators(tmp_path):
+    """The rest of the tree imports and lists its queries where the corpus operators are deleted."""
+    tree = tmp_path / "tree"
+    shutil.copytree(ROOT, tree, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e; from slotmill.plans import registry; assert set(e.queries()) == set(registry.QUERIES); assert set(e.oracle_sql()) == set(registry.ORACLE_SQL); print(len(e.queries()))"
+    for gone in ((), ("corpus_pipeline.py",)):
+        for name in gone:
+            (tree / name).unlink()
+        said = subprocess.run([sys.executable, "-c", code], cwd=tree, env=os.environ | {"PYTHONPATH": str(tree)}, capture_output=True, text=True)
+        assert said.returncode == 0 and int(said.stdout) == len(registry.QUERIES), said.stderr
+
+
+def test_tables_of_a_scope_go_with_it(spark):
+    made = []
+    with pytest.raises(RuntimeError), Scratch():
+        with Scratch():
+            made.append(cut(spark.range(3), "t", result=True))
+            made.append(cut(spark.range(3), "t"))
+        assert made[0].count() == 3
+        paths = [f.removeprefix("file:").removeprefix("//") for df in made for f in df.inputFiles()]
+        raise RuntimeError
+    assert paths and not any(os.path.exists(p) for p in paths)
 
 
 def test_entry(spark):
