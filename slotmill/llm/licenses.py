@@ -24,16 +24,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sample
 
 #: Notices and leading sentences of licence families, as they are published.
 TEMPLATES = (
+    ("agpl", "This program is licensed under the GNU Affero General Public License, version 3"),
+    ("agpl", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("agpl", "SPDX-License-Identifier: AGPL-3.0"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "you may not use this file except in compliance with the License"),
     ("apache", "distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind"),
+    ("apache", "SPDX-License-Identifier: Apache-2.0"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd", "Licensed under the BSD 3-Clause License"),
     ("bsd", "Released under the BSD license"),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
@@ -42,21 +47,33 @@ TEMPLATES = (
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related rights to this work"),
     ("cc0", "This work is dedicated to the public domain under CC0 1.0 Universal"),
+    ("epl", "made available under the terms of the Eclipse Public License v2.0"),
+    ("epl", "SPDX-License-Identifier: EPL-2.0"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl", "SPDX-License-Identifier: GPL-3.0"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "Released under the ISC License"),
+    ("isc", "SPDX-License-Identifier: ISC"),
     ("lgpl", "licensed under the GNU Lesser General Public License, version 2.1"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1"),
+    ("mit", "MIT License"),
     ("mit", "Released under the MIT License"),
     ("mit", "Licensed under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "SPDX-License-Identifier: MIT"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("mpl", "Licensed under the Mozilla Public License, version 2.0"),
+    ("mpl", "SPDX-License-Identifier: MPL-2.0"),
     ("proprietary", "All rights reserved"),
     ("proprietary", "Unauthorized copying of this file, via any medium is strictly prohibited"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("unlicense", "SPDX-License-Identifier: Unlicense"),
 )
 FAMILIES = tuple(sorted({f for f, _ in TEMPLATES}))
 CLASSES = (*FAMILIES, "unknown")
 GRAMS = (1, 2, 3)
-#: Documents whose paragraphs serve as background (expected), and paragraphs kept of them at most.
+#: Documents whose paragraphs serve as background, and paragraphs kept of them, at most.
 BACKGROUND_DOCS, BACKGROUND = 200, 600
 #: Log-odds by which `unknown` leads where there is no evidence.
 HEAD_START = 3.0
@@ -72,7 +89,8 @@ _SPLIT = r"[^a-z0-9\u0080-
 
 
 def grams(text: str) -> list[str]:
-    words = [w for w in re.split(_SPLIT, text.lower()) if w]
+    """Distinct n-grams of the words that aren't numbers: families don't differ by version."""
+    words = [w for w in re.split(_SPLIT, text.lower()) if w.strip("0123456789")]
     return sorted({" ".join(words[i : i + n]) for n in GRAMS for i in range(len(words) - n + 1)})
 
 
@@ -155,15 +173,14 @@ class Classifier:
 
 
 def train(docs: DataFrame) -> Classifier:
-    """Fit on the templates and on paragraphs of about BACKGROUND_DOCS documents."""
-    share = int(1_000_000 * min(1.0, BACKGROUND_DOCS / max(1, docs.count()))) + 1
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share).select(F.explode(F.split("text", _BREAK, -1)).alias("p"))
+    """Fit on the templates and on paragraphs of at most BACKGROUND_DOCS documents, by a hash of id and text."""
+    some = sample(docs.select("doc_id", "text"), BACKGROUND_DOCS, docs.count(), 3, "doc_id", "text").select(F.explode(F.split("text", _BREAK, -1)).alias("p"))
     lines = [r["p"] for r in some.where("length(trim(p)) > 0").orderBy(F.xxhash64("p"), "p").limit(BACKGROUND).collect()]
     return Classifier(lines)
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _SPLIT, -1), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), _SPLIT, -1), lambda w: F.translate(w, "0123456789", "") != "")
 
 
 def _grams(words: Column) -> Column:

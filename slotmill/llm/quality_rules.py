@@ -2,11 +2,12 @@
 
 Each text becomes a vector of transformed statistics. Per language and source the minimum
 covariance determinant estimate gives a centre and a scatter that a minority of odd texts
-can't move: from coordinate-wise medians, scaled by the floors (which no rows can inflate),
-concentration steps take the (n + p + 1) / 2 of n rows in p coordinates that lie nearest by
-Mahalanobis distance and estimate anew from them; a last step takes all rows within
-the RELIABLE distance. Texts farther than CUTOFF are rejected, as are those that fail the base
-rules, which take no part in the estimates.
+can't move. It is sought from several starts (the coordinate-wise quartiles, scaled by the floors,
+which no rows can inflate): concentration steps take the (n + p + 1) / 2 of n rows in p coordinates
+that lie nearest by Mahalanobis distance and estimate anew from them. After a few steps each group
+goes on from the start whose scatter has the least determinant, until that falls no more; a last
+step takes all rows within the RELIABLE distance. Texts farther than CUTOFF are rejected, as
+are those that fail the base rules, which take no part in the estimates.
 
 Native: DataFrame functions only. One pass over the narrow table of statistics per step: rows
 are summed by group and distance bin (counts, sums, products), the bins are cut at that half (the
@@ -20,12 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch, cut
 
 #: Rows that a group needs for an estimate of its own; smaller ones are pooled by language, then altogether.
 LEAST_ROWS = 40
-#: Concentration steps, chi-square 0.975 of six coordinates, squared distance beyond which a text goes.
-STEPS, RELIABLE, CUTOFF = 3, 14.45, 80.0
+#: Starts: quantiles of each coordinate. Steps from all of them, then steps from the best one at most,
+#: and the fall of the logarithm of the determinant that counts as none.
+STARTS, STEPS, MORE_STEPS, NO_FALL = (0.5, 0.25, 0.75), 2, 10, 1e-3
+#: Chi-square 0.975 of six coordinates; squared distance beyond which a text goes. The vectors aren't
+#: Gaussian (counts that are mostly 0, few languages and lengths in a group), so the cut-off lies far
+#: beyond any chi-square quantile; README has the shares of good documents beyond each.
+RELIABLE, CUTOFF = 14.45, 80.0
 #: Consistency factor in six coordinates where an estimate rests on a half and on 0.6 of a group; linear between.
 CONSISTENCY = (1.7845, 1.5942)
 #: Distance bins: as many to a factor of e.
@@ -38,7 +44,8 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_LOW = (1 << 26) - 1
+#: Bits of a window's place beside those of its hash.
+PLACE_BITS = 26
 
 
 def _let(value: Column, body) -> Column:
@@ -50,30 +57,53 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
-def repeat_words(words: Column) -> Column:
+def repeat_words(words: Column, place_bits: int = PLACE_BITS) -> Column:
     """Words that lie in three-word windows found twice or more; linear but for sorts.
 
-    A window is known by 64 hash bits: sorted by 38 of them, with the position below, equal
-    windows are neighbours; neighbours are compared by all bits.
+    Windows are sorted as numbers, hash bits above and the place below. Only neighbours that
+    agree in the hash bits can be equal. If the words of all such neighbours are equal, too, their
+    places are those of the repeated windows; if not (hash bits that agree by chance could
+    part equal windows), or if places don't fit, the windows are sorted by their words.
     """
+    low = (1 << place_bits) - 1
+    none = F.expr("cast(array() as array<bigint>)")
 
-    def windows(w: Column) -> Column:
-        return F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    def alike(a: Column, b: Column) -> Column:
+        return F.shiftright(a, place_bits) == F.shiftright(b, place_bits)
 
-    def covered(t: Column) -> Column:
-        def flagged(p: Column) -> Column:
-            def same(a: Column, b: Column) -> Column:
-                return (F.shiftright(a, 26) == F.shiftright(b, 26)) & (t[a.bitwiseAND(_LOW).cast("int")] == t[b.bitwiseAND(_LOW).cast("int")])
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(low).cast("int")
 
-            before = lambda x, k: F.when(k > 0, same(p[k - 1], x)).otherwise(F.lit(False))
-            after = lambda x, k: F.when(k < F.size(p) - 1, same(p[k + 1], x)).otherwise(F.lit(False))
-            at = F.transform(F.filter(p, lambda x, k: before(x, k) | after(x, k)), lambda x: x.bitwiseAND(_LOW))
-            start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-            return F.aggregate(F.sort_array(at), start, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")), lambda a: a["n"])
+    def beside(p: Column, same):
+        """The elements of `p` with an equal neighbour."""
+        before = lambda x, k: F.when(k > 0, same(p[k - 1], x)).otherwise(F.lit(False))
+        after = lambda x, k: F.when(k < F.size(p) - 1, same(p[k + 1], x)).otherwise(F.lit(False))
+        return F.filter(p, lambda x, k: before(x, k) | after(x, k))
 
-        return _let(F.sort_array(F.transform(t, lambda h, i: h.bitwiseAND(~_LOW).bitwiseOR(i.cast("long")))), flagged)
+    def covered(places: Column) -> Column:
+        start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
+        return F.aggregate(F.sort_array(places), start, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n")), lambda a: a["n"])
 
-    return _let(_let(words, windows), covered)
+    def of(w: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(w) - 3)
+        numbers = F.when(F.size(w) >= 3, F.transform(places, lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]).bitwiseAND(~low).bitwiseOR(i.cast("long")))).otherwise(none)
+
+        def differ(a: Column, b: Column) -> Column:
+            i, j = place(a), place(b)
+            return (w[i] != w[j]) | (w[i + 1] != w[j + 1]) | (w[i + 2] != w[j + 2])
+
+        def by_words() -> Column:
+            same = lambda a, b: (a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"])
+            windows = F.transform(places, lambda i: F.struct(w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.cast("long").alias("i")))
+            return covered(_let(F.sort_array(windows), lambda p: F.transform(beside(p, same), lambda x: x["i"])))
+
+        def counted(near: Column) -> Column:
+            chance = F.filter(near, lambda x, k: F.when(k > 0, alike(near[k - 1], x) & differ(near[k - 1], x)).otherwise(F.lit(False)))
+            return F.when((F.size(w) > low) | (F.size(chance) > 0), by_words()).otherwise(covered(F.transform(near, lambda x: x.bitwiseAND(low))))
+
+        return _let(_let(F.sort_array(numbers), lambda p: beside(p, alike)), counted)
+
+    return _let(words, of)
 
 
 def base_statistics(text: Column) -> dict[str, Column]:
@@ -121,53 +151,69 @@ def _distance(rows: DataFrame) -> DataFrame:
 
 
 def _factor(groups: DataFrame) -> DataFrame:
-    """From (grp, m_*, s_*): (grp, m_*, l_*), the Cholesky factor of the scatter with the floors added."""
+    """From (grp, start, m_*, s_*): (grp, start, m_*, l_*, logdet), the Cholesky factor of the scatter
+    with the floors added, and the logarithm of its determinant."""
     for i, a in enumerate(DIMS):
         for j, b in enumerate(DIMS[: i + 1]):
             s = F.col(f"s_{a}{b}") + (FLOOR[a] ** 2 if a == b else 0.0)
             for c in DIMS[:j]:
                 s = s - F.col(f"l_{a}{c}") * F.col(f"l_{b}{c}")
             groups = groups.withColumn(f"l_{a}{b}", F.sqrt(F.greatest(s, F.lit(1e-9))) if a == b else s / F.col(f"l_{b}{b}"))
-    return groups.select("grp", *(f"m_{a}" for a in DIMS), *(f"l_{a}{b}" for a, b in PAIRS))
+    logdet = sum((2 * F.log(F.col(f"l_{a}{a}")) for a in DIMS), F.lit(0.0))
+    return groups.select("grp", "start", *(f"m_{a}" for a in DIMS), *(f"l_{a}{b}" for a, b in PAIRS), logdet.alias("logdet"))
 
 
-def _medians(rows: DataFrame) -> DataFrame:
-    """A first estimate per group: medians, from fixed-width bins, and no scatter but the floors."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """First estimates per group: quantiles, from fixed-width bins, and no scatter but the floors."""
     long = rows.select("grp", F.explode(F.array(*(F.struct(F.lit(a).alias("dim"), F.floor(F.col(a) / (FLOOR[a] / 8)).alias("bin")) for a in DIMS))).alias("x"))
     binned = long.groupBy("grp", "x.dim", "x.bin").count()
     order = Window.partitionBy("grp", "dim").orderBy("bin")
     share = binned.withColumn("upto", F.sum("count").over(order) / F.sum("count").over(Window.partitionBy("grp", "dim")))
-    q = share.groupBy("grp", "dim").agg(F.min(F.when(F.col("upto") >= 0.5, F.col("bin"))).alias("mid"))
+    q = share.groupBy("grp", "dim").agg(F.array(*(F.min(F.when(F.col("upto") >= x, F.col("bin"))) for x in STARTS)).alias("at"))
+    q = q.select("grp", "dim", F.posexplode("at").alias("start", "mid"))
     pick = lambda a, c: F.max(F.when(F.col("dim") == a, c))
-    wide = q.groupBy("grp").agg(*(pick(a, (F.col("mid") + 0.5) * (FLOOR[a] / 8)).alias(f"m_{a}") for a in DIMS))
+    wide = q.groupBy("grp", "start").agg(*(pick(a, (F.col("mid") + 0.5) * (FLOOR[a] / 8)).alias(f"m_{a}") for a in DIMS))
     return wide.withColumns({f"s_{a}{b}": F.lit(0.0) for a, b in PAIRS})
 
 
 def _estimate(rows: DataFrame, groups: DataFrame, reliable: bool) -> DataFrame:
-    """The next (grp, m_*, s_*): from the nearest half of each group, or from all reliable rows."""
-    full = _distance(rows.join(_sized(groups), "grp"))
+    """The next (grp, start, m_*, s_*): from the nearest half of each group, or from all reliable rows."""
+    full = _distance(rows.join(_sized(groups.drop("logdet")), "grp"))
     sums = [F.count("*").alias("n"), *(F.sum(a).alias(f"t_{a}") for a in DIMS), *(F.sum(F.col(a) * F.col(b)).alias(f"p_{a}{b}") for a, b in PAIRS)]
     if reliable:
-        got, factor = full.where(F.col("d2") <= RELIABLE).groupBy("grp").agg(*sums), 1.0
+        got, factor = full.where(F.col("d2") <= RELIABLE).groupBy("grp", "start").agg(*sums), 1.0
     else:
-        binned = full.withColumn("bin", F.floor(F.log1p("d2") * BINS)).groupBy("grp", "bin").agg(*sums)
-        order = Window.partitionBy("grp").orderBy("bin")
+        binned = full.withColumn("bin", F.floor(F.log1p("d2") * BINS)).groupBy("grp", "start", "bin").agg(*sums)
+        order = Window.partitionBy("grp", "start").orderBy("bin")
         before = F.sum("n").over(order) - F.col("n")
-        counted = binned.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy("grp")))
+        counted = binned.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy("grp", "start")))
         half = F.floor((F.col("all") + len(DIMS) + 1) / 2)
         near = counted.withColumn("part", F.least(F.lit(1.0), (half - F.col("before")) / F.col("n"))).where("part > 0")
-        got = near.groupBy("grp").agg(F.first("all").alias("all"), *(F.sum(F.col(c) * F.col("part")).alias(c) for c in ("n", *(f"t_{a}" for a in DIMS), *(f"p_{a}{b}" for a, b in PAIRS))))
+        got = near.groupBy("grp", "start").agg(F.first("all").alias("all"), *(F.sum(F.col(c) * F.col("part")).alias(c) for c in ("n", *(f"t_{a}" for a in DIMS), *(f"p_{a}{b}" for a, b in PAIRS))))
         factor = CONSISTENCY[0] - (CONSISTENCY[0] - CONSISTENCY[1]) * (F.col("n") / F.col("all") - 0.5) / 0.1
     mean = {a: F.col(f"t_{a}") / F.col("n") for a in DIMS}
-    return got.select("grp", *(mean[a].alias(f"m_{a}") for a in DIMS), *((factor * (F.col(f"p_{a}{b}") / F.col("n") - mean[a] * mean[b])).alias(f"s_{a}{b}") for a, b in PAIRS))
+    return got.select("grp", "start", *(mean[a].alias(f"m_{a}") for a in DIMS), *((factor * (F.col(f"p_{a}{b}") / F.col("n") - mean[a] * mean[b])).alias(f"s_{a}{b}") for a, b in PAIRS))
+
+
+def _least(groups: DataFrame) -> DataFrame:
+    """Of each group the estimate with the least determinant, ties by the first start."""
+    rest = [c for c in groups.columns if c not in ("grp", "start", "logdet")]
+    best = groups.groupBy("grp").agg(F.min(F.struct("logdet", "start", *rest)).alias("x"))
+    return best.select("grp", *(F.col(f"x.{c}").alias(c) for c in groups.columns if c != "grp"))
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
     """(grp, m_*, l_*) for `rows` (grp, v0..v5): centre and Cholesky factor of each group."""
-    groups = cut(_factor(_medians(rows)), "mcd")
-    for k in range(STEPS + 1):
-        groups = cut(_factor(_estimate(rows, groups, reliable=k == STEPS)), "mcd")
-    return groups
+    groups = cut(_factor(_starts(rows)), "mcd")
+    for _ in range(STEPS):
+        groups = cut(_factor(_estimate(rows, groups, reliable=False)), "mcd")
+    best = cut(_least(groups), "mcd")
+    for _ in range(MORE_STEPS):
+        was = best.select("grp", F.col("logdet").alias("was"))
+        best = cut(_factor(_estimate(rows, best, reliable=False)), "mcd")
+        if best.join(was, "grp").where(F.col("logdet") < F.col("was") - NO_FALL).isEmpty():
+            break
+    return cut(_factor(_estimate(rows, best, reliable=True)).drop("start", "logdet"), "mcd")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -178,6 +224,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     LEAST_ROWS are pooled; where even the last pool is smaller, only the base rules decide.
     Repeated rows are judged alike; an empty table gives no rows.
     """
+    with Scratch():
+        return cut(_judged(docs), "judged", result=True)
+
+
+def _judged(docs: DataFrame) -> DataFrame:
     plain = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("\0")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
     counted = plain.select("doc_id", "lang", "source", *(c.alias(k) for k, c in base_statistics(F.col("text")).items()))
     stats = cut(counted, "statistics")

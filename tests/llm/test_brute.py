@@ -241,6 +241,129 @@ def test_wrapped_licence_notices(spark):
         assert (r.families, r.n_paragraphs) == (want, len(list(filter(None, want.split(","))))), (name, r)
 
 
+#: Wordings that the classifier was not fitted to.
+UNSEEN = {
+    "The MIT License (MIT)": "mit",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "gpl",
+    "SPDX-License-Identifier: LGPL-3.0-only": "lgpl",
+    "# SPDX-License-Identifier: BSD-2-Clause": "bsd",
+    "Licensed under the BSD 2-Clause License.": "bsd",
+    "Licensed under CC BY 3.0.": "cc-by",
+    "The pictures are licensed under CC BY-SA 3.0 by their authors": "cc-by-sa",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3": "agpl",
+    "It is free: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2": "gpl",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that": "isc",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0": "epl",
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy it": "unlicense",
+    "This library is licensed under the GNU Lesser General Public License, version 3": "lgpl",
+    "The committee granted permission to use the hall for any purpose": "",
+    "I got a license for my car at the public library": "",
+    "He reserved the right to free software": "",
+    "The general public may modify nothing": "",
+}
+
+
+def model_licences(text: str, model) -> tuple[str, int, int]:
+    """Families, confirmed and unconfirmed paragraphs of a text, line by line in plain Python."""
+    found = []
+    for paragraph in re.split(licenses._PARAGRAPH, text):
+        parts = paragraph.split("\n")
+        hits = []
+        for whole, line in [(False, x) for x in parts] + [(True, paragraph)] * (len(parts) > 1):
+            family, _ = model.predict(line)
+            if family != "unknown":
+                have = set(licenses.grams(line))
+                share = max(len(have & set(licenses.grams(t))) / len(licenses.grams(t)) for f, t in licenses.TEMPLATES if f == family)
+                hits.append((family, whole, share >= licenses.CONFIRM))
+        for family in {f for f, _, _ in hits}:
+            wrapped = (family, True, True) in hits and (family, False, True) not in hits
+            found += [(f, ok) for f, whole, ok in hits if f == family and whole == wrapped]
+    return ",".join(sorted({f for f, ok in found if ok})), sum(ok for _, ok in found), sum(not ok for _, ok in found)
+
+
+def test_licences_equal_brute_force(spark):
+    model = licenses.train(table(spark, "documents"))
+    texts = [r.text or "" for r in table(spark, "documents").collect()] + list(UNSEEN) + list(WRAPPED.values()) + [" ".join(x.split()[:k]) for x in WRAPPED.values() for k in (3, 6, 9, 12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.n_paragraphs, r.n_unconfirmed) for r in licenses.license_scan(docs, model).collect()}
+    assert got == {i: model_licences(t, model) for i, t in enumerate(texts)}
+
+
+def test_unseen_licence_wordings(spark):
+    docs = spark.createDataFrame([(t, t) for t in UNSEEN], "doc_id string, text string")
+    for model in (licenses.Classifier([]), licenses.train(table(spark, "documents"))):
+        assert {r.doc_id: r.families for r in licenses.license_scan(docs, model).collect()} == UNSEEN
+
+
+@pytest.mark.parametrize("bits", [26, 40, 60, 4])
+def test_repeated_windows_are_exact(spark, bits):
+    """Also where hash bits of different windows agree, and where places don't fit beside them."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh"[: rng.randrange(2, 9)]) for _ in range(rng.randrange(60))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r.i: r.n for r in df.select("i", quality_rules.repeat_words(F.filter(F.split("t", " ", -1), lambda w: w != ""), bits).alias("n")).collect()}
+    assert got == {i: model_statistics(t)[4] for i, t in enumerate(texts)}
+
+
+def mcd(x: np.ndarray, floor: np.ndarray, starts: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of the half with the least determinant over many random starts, reweighted."""
+    rng, (n, p) = np.random.default_rng(13), x.shape
+    h, best = (n + p + 1) // 2, (np.inf, None)
+    distance = lambda m, s: np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(s), x - m)
+    of = lambda y, c: (y.mean(axis=0), c * np.cov(y.T, bias=True) + floor)
+    for _ in range(starts):
+        m, s = of(x[rng.choice(n, p + 1, replace=False)], 1.0)
+        for _ in range(15):
+            m, s = of(x[np.argsort(distance(m, s))[:h]], quality_rules.CONSISTENCY[0])
+        best = min(best, (np.linalg.slogdet(s)[1], (m, s)), key=lambda b: b[0])
+    m, s = best[1]
+    return of(x[distance(m, s) <= quality_rules.RELIABLE], 1.0)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.45])
+def test_estimates_are_those_of_the_least_determinant(spark, share):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(1200, 6)) @ (np.eye(6) * 0.4 + 0.1 * np.tri(6, k=-1))
+    bad = round(share * len(x))
+    x[:bad] = rng.normal(size=(bad, 6)) * 0.1 + 3
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"{d} double" for d in quality_rules.DIMS))
+    got = quality_rules.robust_estimates(df).first()
+    low = np.array([[got[f"l_{a}{b}"] if (a, b) in quality_rules.PAIRS else 0.0 for b in quality_rules.DIMS] for a in quality_rules.DIMS])
+    m, s = mcd(x, np.diag([quality_rules.FLOOR[d] ** 2 for d in quality_rules.DIMS]))
+    assert np.allclose([got[f"m_{d}"] for d in quality_rules.DIMS], m, atol=0.05)
+    assert abs(2 * np.log(np.diag(low)).sum() - np.linalg.slogdet(s)[1]) < 0.2
+
+
+def test_groups_and_pools(spark):
+    """Small groups are pooled by language, small pools altogether; a pool that is small itself rejects nobody."""
+    rng = random.Random(15)
+    text = lambda odd: " ".join(rng.choice(["river", "hill", "sea", "walk", "light", "evening", "people", "market"]) + rng.choice("abcdefghij") + "|#$" * odd for _ in range(rng.randrange(70, 120)))
+    rows = [("en", "a", 0)] * 60 + [("en", f"s{k % 9}", 0) for k in range(45)] + [("fr", "b", 0)] * 50 + [("de", "c", 0)] * 5 + [("en", "a", 1), ("en", "s1", 1), ("fr", "b", 1), ("de", "c", 1)]
+    docs = spark.createDataFrame([(i, text(odd), lang, source) for i, (lang, source, odd) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert {i for i, r in got.items() if not r.kept} == {160, 161, 162} and all(r.distance is None for i, r in got.items() if rows[i][0] == "de")
+
+
+def test_samples_are_bounded(spark):
+    from slotmill.llm.common import sample
+
+    same = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    none = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text"))
+    assert sample(same, 100, 5000, 1, "doc_id", "text").count() in (0, 100)
+    assert sample(none, 100, 5000, 1, "doc_id", "text").count() == 100 == sample(many, 100, 5000, 1, "doc_id", "text").count()
+    assert sample(many, 9000, 5000, 1, "doc_id", "text").count() == 5000 and sample(many.where("false"), 5, 0, 1, "doc_id").count() == 0
+    # As of a table of 1e11 rows: a share far below a millionth takes its rows all the same.
+    huge = spark.range(4_000_000).select(F.col("id").alias("doc_id"))
+    assert 150 < sample(huge, 5000, 10**11 // 1000, 1, "doc_id").count() < 350
+
+
+@pytest.mark.parametrize("text", ["\u00b2", "\u00bd \u2460", "\u2167", "12 3", "\u0301", "_"])
+def test_texts_without_letters_are_undetermined(spark, text):
+    c = language_id.train(table(spark, "documents", MEDIUM))
+    assert c.predict([text, "\u00aa", "\u01c5"])[0][0] == "und" and "und" not in c.predict(["\u00aa", "\u01c5"])[0]
+
+
 def model_statistics(text: str):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen = collections.Counter(zip(words, words[1:], words[2:], strict=False))
