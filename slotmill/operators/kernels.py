@@ -6,11 +6,15 @@ nibble source), two bytes of offset, four of immediate. A trailing partial slot
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 
+try:  # the interpreter's own: messages are short, and it is called without a detour
+    from _sha2 import sha256 as _sha256
+except ImportError:
+    from hashlib import sha256 as _sha256
+
 SLOT = 8
 #: The opcodes of the wide load and of the move that can be a no-op.
 WIDE_LOAD, MOVE = 0x18, 0xB7
@@ -119,15 +123,11 @@ def minhash(features: np.ndarray, k: int = HASHES) -> np.ndarray:
     out = np.full(k, EMPTY, np.uint64)
     if not k:
         return out
-    for at in range(0, len(features), 256):
-        rows = []
-        for f in features[at : at + 256].astype("<u8"):
-            start = hashlib.sha256(f.tobytes())
-            for seed in seeds:
-                h = start.copy()
-                h.update(seed)
-                rows.append(h.digest()[:8])
-        np.minimum(out, np.frombuffer(b"".join(rows), "<u8").reshape(-1, k).min(axis=0), out=out)
+    raw = features.astype("<u8").tobytes()
+    for at in range(0, len(raw), 8 * 256):
+        some = [raw[i : i + 8] for i in range(at, min(at + 8 * 256, len(raw)), 8)]
+        digests = b"".join([_sha256(f + seed).digest() for f in some for seed in seeds])
+        np.minimum(out, np.frombuffer(digests, "<u8").reshape(-1, k, 4)[:, :, 0].min(axis=0), out=out)
     return out
 
 
@@ -135,6 +135,6 @@ def simhash(features: np.ndarray) -> int:
     """Bit b is set iff more features' hashes have it than lack it."""
     if not len(features):
         return 0
-    raw = b"".join(hashlib.sha256(f.tobytes()).digest()[:8] for f in features.astype("<u8"))
+    raw = b"".join(_sha256(f.tobytes()).digest()[:8] for f in features.astype("<u8"))
     ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
     return int.from_bytes(np.packbits(2 * ones > len(features), bitorder="little").tobytes(), "little")
