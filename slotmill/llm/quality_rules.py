@@ -6,7 +6,7 @@ can't move. It is sought from several starts (the coordinate-wise quartiles, sca
 which no rows can inflate): concentration steps take the (n + p + 1) / 2 of n rows in p coordinates
 that lie nearest by Mahalanobis distance and estimate anew from them. After a few steps each group
 goes on from the start whose scatter has the least determinant, until that falls no more; a last
-step takes all rows within the RELIABLE distance. Texts farther than CUTOFF are rejected, as
+step takes all rows within the RELIABLE distance. Equal vectors count once in all of this. Texts farther than CUTOFF are rejected, as
 are those that fail the base rules, which take no part in the estimates.
 
 Native: DataFrame functions only. One pass over the narrow table of statistics per step: rows
@@ -203,7 +203,9 @@ def _least(groups: DataFrame) -> DataFrame:
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """(grp, m_*, l_*) for `rows` (grp, v0..v5): centre and Cholesky factor of each group."""
+    """(grp, m_*, l_*) for `rows` (grp, v0..v5): centre and Cholesky factor of each group. Equal
+    vectors of a group count once: a group of copies has no scatter, so it would win any determinant."""
+    rows = cut(rows.select("grp", *DIMS).distinct(), "vectors")
     groups = cut(_factor(_starts(rows)), "mcd")
     for _ in range(STEPS):
         groups = cut(_factor(_estimate(rows, groups, reliable=False)), "mcd")
