@@ -15,6 +15,8 @@ from .packing import pack, tokenizer_path
 from .quality import quality
 from .quality_rules import quality_rules
 from .secrets import BASE, RULES, digest, find_secrets
+from .token_counts import token_counts
+from .token_counts import tokenizer_path as byte_tokenizer_path
 from .toxicity import toxicity
 from .url_filter import GLOBS, judge_urls, regex_of
 
@@ -59,6 +61,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, spliced from overlapping chunks where it is long. Null and empty
+    texts have none, repeated rows are counted each, an empty table gives no rows."""
+    return token_counts(table(spark, sf_dir, "documents"), byte_tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secrets,
         op9_quality_rules,
         op10_decontamination,
+        op11_token_counts,
     )
 }
 
