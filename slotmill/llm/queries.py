@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate
 from .common import table
+from .filter_audit import filter_audit
 from .language_id import identify
 from .licenses import license_scan
 from .near_dedup import near_duplicates
@@ -67,6 +68,12 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), byte_tokenizer_path())
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all orders, by source. Null texts are empty, repeated rows count each, an
+    empty table gives no rows."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_decontamination,
         op11_token_counts,
+        op12_filter_audit,
     )
 }
 
@@ -147,5 +155,38 @@ it AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS a FROM
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(a, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
+""",
+    "op12_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+x AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails
+  FROM d JOIN f USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY ALL),
+k(a) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT p.a || q.a || r.a || s.a || u.a AS filter_order FROM k p, k q, k r, k s, k u
+      WHERE len(list_distinct([p.a, q.a, r.a, s.a, u.a])) = 5),
+os AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM o),
+e AS (
+  SELECT part, filter_order, step, n, good, toxic, fails[instr('ABCDE', substr(filter_order, step, 1))] AS here,
+         list_bool_or([false] || list_transform(range(1, step), lambda i: fails[instr('ABCDE', substr(filter_order, i, 1))])) AS earlier,
+         len(list_filter(fails, lambda b: b)) = 1 AS alone
+  FROM c, os),
+r AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter,
+         coalesce(sum(n) FILTER (WHERE NOT here AND NOT earlier), 0) AS kept, coalesce(sum(n) FILTER (WHERE here AND NOT earlier), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE here AND earlier), 0) AS redundant, coalesce(sum(n) FILTER (WHERE here AND alone), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE here AND NOT earlier), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE here AND NOT earlier), 0) AS toxic_lost
+  FROM e GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM r
 """,
 }
