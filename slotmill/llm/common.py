@@ -79,15 +79,16 @@ def shingles(ids: np.ndarray, width: int) -> np.ndarray:
     return mix(out + np.uint64(width))
 
 
-def _bounds(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, int]]:
+def _bounds(batch: pa.RecordBatch, rows: int, most: int) -> Iterator[tuple[int, int]]:
     """(start, rows) of the slices of a batch."""
     size = np.zeros(batch.num_rows, np.int64)
-    for column in batch.columns:
-        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
-            size += np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + batch.num_rows + 1]) if batch.num_rows else 0
+    for column in batch.columns if batch.num_rows else ():
+        wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+        if wide or pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += np.diff(np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + batch.num_rows + 1])
     start, held = 0, 0
     for i, n in enumerate(size.tolist()):
-        if i > start and (i - start >= rows or held + n > SLICE_BYTES):
+        if i > start and (i - start >= rows or held + n > most):
             yield start, i - start
             start, held = i, 0
         held += n
@@ -95,11 +96,11 @@ def _bounds(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, int]]:
         yield start, batch.num_rows - start
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most `rows` rows and about SLICE_BYTES. A worker gives
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and about `size` bytes. A worker gives
     freed memory back when its task's batches end: it may wait long for its next task."""
     for batch in batches:
-        for start, n in _bounds(batch, rows):
+        for start, n in _bounds(batch, rows, size):
             yield batch.slice(start, n)
     give_back()
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate
+from .alignment import alignment, tokenizer_paths
 from .common import table
 from .filter_audit import filter_audit
 from .language_id import identify
@@ -74,6 +75,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies aligned by bytes, with corpus-wide counts of id pairs. Null and
+    empty texts have zeros, repeated rows count each, an empty table gives no rows."""
+    return alignment(table(spark, sf_dir, "documents"), *tokenizer_paths())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decontamination,
         op11_token_counts,
         op12_filter_audit,
+        op13_cross_tokenizer,
     )
 }
 
