@@ -28,16 +28,28 @@ MAX_SETS = 32
 MAX_CLASS = 8
 #: Trigrams in a column of posting bits.
 BITS = 62
+#: Matches of a text whose offsets are added up together; only speed depends on it.
+RUN = 64
 
 
 @dataclass(frozen=True)
 class Rule:
-    """`group` must have `least` characters, or the match is dropped."""
+    """`group` must have `least` characters, or the match is dropped.
+
+    `regex` says what matches. Where a backtracking engine would try each character of a long run
+    as a start, `once` has the same matches but enters a run at its first character alone, and
+    doesn't give back what it took: a match begins where its run does, as the leftmost does.
+    """
 
     kind: str
     regex: str
     group: int = 0
     least: int = 1
+    once: str = ""
+
+    @property
+    def search(self) -> str:
+        return self.once or self.regex
 
 
 #: A private key: its header through its END line, else through the lines of base64 after it.
@@ -61,9 +73,13 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule(
+        "jwt",
+        r"[A-Za-z0-9_-]*eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+        once=r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?eyJ)[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
+    ),
     Rule("pem", PEM),
-    Rule("login", r"[a-z][a-z0-9+.-]*://[^\s/:@]*:[^\s/:@]+@"),
+    Rule("login", r"[a-z0-9+.-]+://[^\s/:@]*:[^\s/:@]+@", once=r"(?<![a-z0-9+.-])[a-z0-9+.-]++://[^\s/:@]*+:[^\s/:@]++@"),
 )
 RULES = BASE + MORE
 
@@ -116,21 +132,43 @@ def trigram_query(regex: str) -> Sets:
     return list(dict.fromkeys(_query(_parser.parse(regex))))
 
 
-def _spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start,end>> of the rule's matches, offsets in code points."""
-    between = F.split(text, rule.regex, -1)
-    whole = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    size = F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)), F.length)
-    parts = F.arrays_zip(F.transform(between, F.length).alias("skip"), F.transform(whole, F.length).alias("take"), size.alias("size"))
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+def _parts(text: Column, rule: Rule) -> Column:
+    """array<struct<skip,take,ok>>: each match of the rule, after what lies before it; at last what follows."""
+    whole = F.regexp_extract_all(text, F.lit(rule.search), F.lit(0))
+    size = F.transform(F.regexp_extract_all(text, F.lit(rule.search), F.lit(rule.group)), F.length)
+    parts = F.arrays_zip(F.transform(F.split(text, rule.search, -1), F.length).alias("skip"), F.transform(whole, F.length).alias("take"), size.alias("size"))
+    return F.transform(parts, lambda x: F.struct(x["skip"].alias("skip"), F.coalesce(x["take"], F.lit(0)).alias("take"), (x["size"] >= rule.least).alias("ok")))
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["skip"]
-        end = start + F.coalesce(x["take"], F.lit(0))
-        hit = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["size"] >= rule.least, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+def _added(some: Column, size) -> Column:
+    return F.aggregate(some, F.lit(0).cast("long"), lambda n, x: n + size(x))
+
+
+def _spans(parts: Column) -> Column:
+    """array<struct<start,end>> of `_parts`, offsets in code points.
+
+    A match begins after the parts before it in its run, and the runs before that. (A fold
+    that carries the spans would copy all of them at each step.)
+    """
+
+    def length(x: Column) -> Column:
+        return x["skip"] + x["take"]
+
+    def of_runs(runs: Column, sizes: Column) -> Column:
+        def of_run(run: Column, i: Column) -> Column:
+            before = _added(F.slice(sizes, F.lit(1), i), lambda n: n)
+            return F.transform(run, lambda x, j: F.struct((before + _added(F.slice(run, F.lit(1), j), length) + x["skip"]).alias("start"), x["take"].alias("take"), x["ok"].alias("ok")))
+
+        hits = F.filter(F.flatten(F.transform(runs, of_run)), lambda x: x["ok"])
+        return F.transform(hits, lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["take"]).alias("end")))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")), lambda k: F.slice(parts, k * RUN + 1, F.lit(RUN)))
+    return _let(runs, lambda r: _let(F.transform(r, lambda run: _added(run, length)), lambda sizes: of_runs(r, sizes)))
 
 
 def postings(text: Column, terms: Sequence[str]) -> list[Column]:
@@ -159,10 +197,6 @@ def may_match(regex: str, index: Sequence[Column], terms: Sequence[str]) -> Colu
     return any_set
 
 
-def _labelled(place: int, kind: str):
-    return lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("rule"), s["end"].alias("end"), F.lit(kind).alias("kind"))
-
-
 def _is(kind: str):
     return lambda s: s["kind"] == kind
 
@@ -174,11 +208,13 @@ def _marked(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     index = [p.alias(f"p{k}") for k, p in enumerate(postings(F.col("low"), terms))]
     full = rows.withColumn("low", F.lower("body")).select("row", "body", *index)
     columns = [F.col(f"p{k}") for k in range(len(index))]
-    parts = []
-    for i, rule in enumerate(rules):
-        hit = F.when(may_match(rule.regex, columns, terms) & F.col("body").rlike(rule.regex), _spans(F.col("body"), rule))
-        parts.append(F.transform(hit, _labelled(i, rule.kind)))
-    return full.select("row", "body", F.array_sort(F.flatten(F.array_compact(F.array(*parts)))).alias("spans"))
+    kinds = F.array(*(F.lit(r.kind) for r in rules))
+    found = F.array(*(F.when(may_match(r.regex, columns, terms) & F.col("body").rlike(r.search), _parts(F.col("body"), r)) for r in rules))
+
+    def labelled(parts: Column, i: Column) -> Column:
+        return F.when(parts.isNotNull(), F.transform(_spans(parts), lambda s: F.struct(s["start"].alias("start"), i.alias("rule"), s["end"].alias("end"), F.get(kinds, i).alias("kind"))))
+
+    return full.select("row", "body", F.array_sort(F.flatten(F.array_compact(F.transform(found, labelled)))).alias("spans"))
 
 
 def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import random
 import re
+import time
 import zlib
 
 import model
@@ -474,3 +475,41 @@ def test_pipeline(spark):
     hit = {r.doc_id for r in decontaminate.contamination(table(spark, "documents"), table(spark, "benchmark")).collect() if r.spans}
     assert kept and kept < docs and not kept & hit
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "packing"]
+
+
+#: A million characters of each rule's own class, with its trigrams; none of them ends in a match.
+RUNS = {
+    "assign": "token" + " " * 1_000_000 + "password",
+    "access": "AKI " + "AKIA" * 250_000 + "é",
+    "hex": "0123456789abcdef0123456 " * 40_000,
+    "github": "ghp_" * 250_000,
+    "slack": "xoxb" * 250_000 + " xoxb-",
+    "google": "AIza" * 250_000 + "é",
+    "stripe": "sk_live_" * 125_000,
+    "jwt": "eyJ" * 333_333 + " .eyJ",
+    "pem": "-----BEGIN RSA PRIVATE KEY-----" + " A-b:" * 200_000,
+    "pem header": "-----BEGIN " + "A " * 500_000,
+    "login": "a" * 1_000_000 + " ://",
+    "login mixed": "a.9+" * 250_000 + " ://" + ":" * 1000,
+    "login tail": "://" + "a" * 1_000_000,
+    "many logins": "a://b:c@" * 60_000,
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_long_runs_take_linear_time(spark, name):
+    docs = spark.createDataFrame([(0, RUNS[name]), (1, "https://me:pw@host eyJhbGciOiJI.eyJzdWIiOiIx.abc_DEF-123")], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(docs).collect()}
+    assert time.perf_counter() - start < 20
+    assert [s[3] for s in got[1]] == ["login", "jwt"]
+    if name in ("jwt", "login", "login mixed", "login tail"):
+        assert [k for *_, k in got[0] if k != "hex"] == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.lists(st.sampled_from(["eyJ", "a", "b" * 8, ".", "_", "-", "://", ":", "@", "9", "+", " ", "é", "/", "eyJaaaaaaaa.eyJbbbbbbbb.cccccccc"]), max_size=24).map("".join))
+def test_searches_that_enter_once_match_alike(text):
+    for r in secrets.RULES:
+        if r.once:
+            assert [m.span() for m in re.finditer(r.once, text, re.ASCII)] == [m.span() for m in re.finditer(r.regex, text, re.ASCII)]
