@@ -120,11 +120,20 @@ _TOP = 2**63 - 1
 def sample(rows: DataFrame, n: int, total: int, seed: int, *columns: str) -> DataFrame:
     """At most `n` of the `total` rows of `rows`: those least by a hash of `columns`.
 
-    All of them if there are no more; else a share that is expected to be a fifth larger than
-    `n` goes on (by 63 bits, so that no table is too large), and of that exactly the first `n`.
-    The bound holds whatever repeats: rows alike in all columns are taken up to it, too.
+    All of them if there are no more. Only hashes are ranked, those of a share that is expected
+    to be a fifth larger than `n` (by 63 bits, so that no table is too large); then rows are taken
+    up to the n-th hash where they lie, so that texts of any length meet in no task. The bound
+    holds whatever repeats: of rows alike in all columns as many are taken as it lets.
     """
     at = F.xxhash64(*columns, F.lit(seed)).bitwiseAND(F.lit(_TOP))
-    share = (1.2 * n + 50) / max(1, total)
+    if total <= n:
+        return rows
+    share = (1.2 * n + 50) / total
     some = rows.where(at < F.lit(int(share * _TOP))) if share < 1 else rows
-    return some.orderBy(at, *columns).limit(n)
+    least = [r[0] for r in some.select(at.alias("at")).orderBy("at").limit(n + 1).collect()]
+    if len(least) <= n:
+        return some
+    last, beyond = least[n - 1 :]
+    if last < beyond:
+        return some.where(at <= F.lit(last))
+    return some.where(at < F.lit(last)).union(some.where(at == F.lit(last)).limit(least[:n].count(last)))

@@ -196,11 +196,16 @@ def _run(words: Column, n: int):
     return lambda i: F.array_join(F.slice(words, i, n), " ")
 
 
+def _row_key() -> Column:
+    """128 bits of a row's id and text: at any number of rows no two different ones share it."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("x"), F.xxhash64(F.lit(1), "text", "doc_id").alias("y"))
+
+
 def license_paragraphs(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     """(key, paragraph, family, score, similarity, confirmed) for every paragraph of `docs`
     (doc_id, text, any others) that is predicted as a licence family.
 
-    `key` is the hash of the row's id and text, `paragraph` its place from 0. Each line of a
+    `key` is a hash (128 bits) of the row's id and text, `paragraph` its place from 0. Each line of a
     paragraph counts for itself; where the whole paragraph confirms a family that no line of
     it does, it counts once, in place of its lines of that family. Repeated rows give one
     result. Null and empty texts have no paragraph of a licence.
@@ -210,7 +215,7 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None) -> Data
     need = F.array(*map(F.lit, model.needed))
     live = [(g, *map(float, w)) for g, w in zip(VOCABULARY, model.weights, strict=True) if w.any()]
     vocabulary = F.broadcast(spark.createDataFrame(live, "gram string, " + ", ".join(f"w{i} double" for i in range(len(CLASSES)))))  # the templates' n-grams at most
-    rows = docs.where(F.arrays_overlap(_words(F.col("text")), need)).select(F.xxhash64("doc_id", "text").alias("key"), F.posexplode(F.split("text", _PARAGRAPH, -1)).alias("paragraph", "whole"))
+    rows = docs.where(F.arrays_overlap(_words(F.col("text")), need)).select(_row_key().alias("key"), F.posexplode(F.split("text", _PARAGRAPH, -1)).alias("paragraph", "whole"))
     rows = rows.where(F.arrays_overlap(_words(F.col("whole")), need)).withColumn("parts", F.split("whole", "\n", -1))
     # The whole is at place 0, its lines from 1; a single line is no whole.
     rows = rows.select("key", "paragraph", F.posexplode(F.concat(F.array(F.when(F.size("parts") > 1, F.col("whole"))), F.col("parts"))).alias("at", "line"))
@@ -248,6 +253,6 @@ def license_scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
         F.sum((~F.col("confirmed")).cast("long")).alias("n_unconfirmed"),
         F.max(F.when(F.col("confirmed"), F.col("score"))).alias("score"),
     )
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key")).join(hits, "key", "left")
+    rows = docs.select("doc_id", _row_key().alias("key")).join(hits, "key", "left")
     none = F.lit(0).cast("long")
     return rows.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_paragraphs", none).alias("n_paragraphs"), F.coalesce("n_unconfirmed", none).alias("n_unconfirmed"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -26,7 +26,10 @@ in one component needs no further pair, so no link between different classes is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import WORDS, Scratch, WordIds, components, cut, maybe_in, mix, shingles, slices
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
+#: Components of a signature at most, where bands are chosen for another threshold.
+MOST = 256
 #: Members up to which a mixed bucket's pairs are listed.
 SMALL = 8
 #: Texts and shingles that a chunk of a mixed bucket has on average.
@@ -46,6 +51,35 @@ _LEVEL = np.uint64(0xA24BAED4963EE407)
 _POINT = np.uint64(0x9FB21C651E98DF25)
 
 
+@dataclass(frozen=True)
+class Search:
+    """Which pairs are near: those at `threshold` or more. `bands` of `rows` components find them."""
+
+    threshold: float = THRESHOLD
+    bands: int = BANDS
+    rows: int = ROWS
+
+    @classmethod
+    def at(cls, threshold: float, miss: float = 1e-4) -> Search:
+        """The longest bands that miss a pair at the threshold with a probability of `miss` at most, within
+        MOST components; single components if even those miss more."""
+        if not 0 < threshold <= 1:
+            raise ValueError("a threshold of near-duplicates lies above 0 and is 1 at most")
+        for rows in range(MOST, 0, -1):
+            p = threshold**rows
+            bands = 1 if p >= 1 - miss else math.ceil(math.log(miss) / math.log1p(-p)) if p > 1e-9 else MOST + 1
+            if bands * rows <= MOST:
+                return cls(threshold, bands, rows)
+        return cls(threshold, MOST, 1)
+
+    def missed(self, similarity: float) -> float:
+        """The probability that a pair of this similarity shares no band."""
+        return (1 - similarity**self.rows) ** self.bands
+
+
+DEFAULT = Search()
+
+
 def bag(ids: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles, ascending, and their multiplicities."""
     return np.unique(shingles(ids, width), return_counts=True)
@@ -121,12 +155,12 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return key
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], search: Search) -> Iterator[pa.RecordBatch]:
     cache = WordIds()
     for part in slices(batches):
         ids = [cache.of(WORDS((t or "").lower())) for t in part.column("text").to_pylist()]
         at = [i for i, x in enumerate(ids) if len(x)]
-        keys = band_keys(bag_minhash([bag(ids[i]) for i in at])).view(np.int64)
+        keys = band_keys(bag_minhash([bag(ids[i]) for i in at], search.bands * search.rows), search.bands, search.rows).view(np.int64)
         where = dict(zip(at, range(len(at)), strict=True))
         yield pa.RecordBatch.from_arrays(
             [
@@ -157,9 +191,9 @@ def overlap(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        ok = [overlap(x, y) >= THRESHOLD for x, y in zip(part.column("bag_a").to_pylist(), part.column("bag_b").to_pylist(), strict=True)]
+        ok = [overlap(x, y) >= threshold for x, y in zip(part.column("bag_a").to_pylist(), part.column("bag_b").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
@@ -173,9 +207,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("digest").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(times).astype(np.int64))], ["digest", "shingle", "times"])
 
 
-def _within(shared: Column, n: Column, m: Column) -> Column:
+def _within(threshold: float, shared: Column, n: Column, m: Column) -> Column:
     """Whether texts of n and m shingles can reach the threshold if they share `shared` at most."""
-    return shared >= F.lit(THRESHOLD) * (n + m - shared)
+    return shared >= F.lit(threshold) * (n + m - shared)
 
 
 def _flat(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +224,7 @@ def _flat(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return value[order], owner[order], size
 
 
-def links_between(left: list[dict], right: list[dict]) -> list[tuple[bytes, bytes]]:
+def links_between(left: list[dict], right: list[dict], threshold: float = THRESHOLD) -> list[tuple[bytes, bytes]]:
     """One link for each two components with members (digest, label, bag) that reach the threshold."""
     value, owner, size = _flat(right)
     codes: dict[bytes, int] = {}
@@ -202,19 +236,19 @@ def links_between(left: list[dict], right: list[dict]) -> list[tuple[bytes, byte
         reach = hi - lo
         at = np.repeat(lo - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
         both = np.bincount(owner[at], minlength=len(right))
-        for j in np.nonzero((both >= THRESHOLD * (n + size - both)) & (label != codes.get(x["label"], -1)))[0]:
+        for j in np.nonzero((both >= threshold * (n + size - both)) & (label != codes.get(x["label"], -1)))[0]:
             pair = tuple(sorted((x["digest"], right[j]["digest"])))
             found.setdefault(tuple(sorted((x["label"], right[j]["label"]))), pair)
     return list(found.values())
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cross(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 1):
-        links = links_between(part.column("p").to_pylist()[0], part.column("q").to_pylist()[0])
+        links = links_between(part.column("p").to_pylist()[0], part.column("q").to_pylist()[0], threshold)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
-def _across(fit: DataFrame, bags: DataFrame) -> DataFrame:
+def _across(fit: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between components of the same bucket of `fit` (key, digest, n, label).
 
     Each bucket's largest component is its major side. Both sides are dealt into chunks of
@@ -236,34 +270,35 @@ def _across(fit: DataFrame, bags: DataFrame) -> DataFrame:
     other = chunks.select("key", "major", "chunk", F.col("id").alias("id_q"))
     met = cut(minor.join(other, "key").where(F.col("major") | (F.col("chunk") >= F.col("c"))).select("id_p", "id_q"), "meetings")
     full = met.join(chunks.select(F.col("id").alias("id_p"), F.col("members").alias("p")), "id_p").join(chunks.select(F.col("id").alias("id_q"), F.col("members").alias("q")), "id_q")
-    return full.select("p", "q").mapInArrow(_cross, "a binary, b binary").distinct()
+    return full.select("p", "q").mapInArrow(partial(_cross, threshold=threshold), "a binary, b binary").distinct()
 
 
-def _checked(pairs: DataFrame, bags: DataFrame, name: str) -> DataFrame:
+def _checked(pairs: DataFrame, bags: DataFrame, name: str, threshold: float) -> DataFrame:
     """`pairs` (a, b) with whether they reach the threshold."""
     full = pairs.join(bags.select(F.col("digest").alias("a"), F.col("bag").alias("bag_a")), "a").join(
         bags.select(F.col("digest").alias("b"), F.col("bag").alias("bag_b")), "b"
     )
-    return cut(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a binary, b binary, ok boolean"), name, 500)
+    return cut(full.select("a", "b", "bag_a", "bag_b").mapInArrow(partial(_verify, threshold=threshold), "a binary, b binary, ok boolean"), name, 500)
 
 
 def _ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, search: Search = DEFAULT) -> DataFrame:
     """(doc_id, class_id, n_shingles) for every row of `docs` (doc_id, text, any others).
 
     `class_id` is the least doc_id of the row's near-duplicate class. A text without words
     (null, empty, punctuation only) has no shingle and is never a duplicate: its class is its
-    own id. Repeated rows are equal texts and share a class. An empty table gives no rows.
+    own id. Repeated rows are equal texts and share a class. Very long texts are compared
+    whole. An empty table gives no rows. `search` sets the threshold: `Search.at(0.5)`.
     """
     with Scratch():
-        return _classes(docs)
+        return _classes(docs, search)
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    rows = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_sketch, f"{_id(docs)}, th long, digest binary, n long, bands array<long>"), "sketch")
+def _classes(docs: DataFrame, search: Search) -> DataFrame:
+    rows = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(partial(_sketch, search=search), f"{_id(docs)}, th long, digest binary, n long, bands array<long>"), "sketch")
     own = rows.where("digest is not null").groupBy("digest")
     texts = cut(own.agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "th")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
     # Keys alone are counted first; only members of shared keys go on.
@@ -275,7 +310,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     buckets = cut(member.join(ends, "key").select("key", "digest", "n", "lo", "hi"), "buckets")
 
     def close(n, m):
-        return F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m)
+        return F.least(n, m) >= F.lit(search.threshold) * F.greatest(n, m)
 
     # The texts of candidates are read again: far fewer than all. The bitmap lets a few others
     # through, whose shingles are made in vain.
@@ -292,7 +327,7 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     votes = star("lo").union(star("hi")).groupBy("digest", "lead").count()
     best = votes.groupBy("digest").agg(F.max(F.struct("count", "lead")).alias("m"))
-    one = _checked(best.select(*_ordered(F.col("digest"), F.col("m.lead"))).distinct(), bags, "round1")
+    one = _checked(best.select(*_ordered(F.col("digest"), F.col("m.lead"))).distinct(), bags, "round1", search.threshold)
     links = one.where("ok").select("a", "b")
     label = components(links, "cc1")
 
@@ -318,19 +353,19 @@ def _classes(docs: DataFrame) -> DataFrame:
     def able(o: DataFrame) -> DataFrame:
         """Rows that can reach the threshold with the shortest text of their bucket."""
         least = o.groupBy("key").agg(F.min("n").alias("n_min"))
-        return o.join(least, "key").where(_within(F.col("shared"), F.col("n"), F.greatest("n_min", "shared"))).drop("n_min")
+        return o.join(least, "key").where(_within(search.threshold, F.col("shared"), F.col("n"), F.greatest("n_min", "shared"))).drop("n_min")
 
     fit = cut(able(many), "fit")
     leads = fit.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("n"), "digest", "n", "shared", "label")).alias("l"))
-    star2 = fit.join(leads, "key").where((F.col("label") != F.col("l.label")) & _within(F.least("shared", "l.shared"), F.col("n"), F.col("l.n")))
+    star2 = fit.join(leads, "key").where((F.col("label") != F.col("l.label")) & _within(search.threshold, F.least("shared", "l.shared"), F.col("n"), F.col("l.n")))
     star2 = star2.select(*_ordered(F.col("digest"), F.col("l.digest")))
-    two = _checked(pairs.union(star2).distinct().join(one.select("a", "b"), ["a", "b"], "left_anti"), bags, "round2")
+    two = _checked(pairs.union(star2).distinct().join(one.select("a", "b"), ["a", "b"], "left_anti"), bags, "round2", search.threshold)
     if not two.where("ok").isEmpty():
         links = links.union(two.where("ok").select("a", "b"))
         label = components(links, "cc2")
         many = many.drop("label").join(label, many.digest == label.node, "left").select("key", "digest", "n", "shared", F.coalesce("label", "digest").alias("label"))
         fit = cut(able(many), "fit")
-    three = cut(_across(fit, bags), "round3", 4)
+    three = cut(_across(fit, bags, search.threshold), "round3", 4)
     if not three.isEmpty():
         label = components(links.union(three), "cc3")
 
@@ -344,13 +379,13 @@ def _id(docs: DataFrame) -> str:
     return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, search: Search = DEFAULT) -> DataFrame:
     """`docs` with one row of each near-duplicate class: the row whose doc_id is the class id.
 
     Rows that repeat an id stay apart if their texts differ; of equal ones one stays. Rows
     with a null doc_id all stay, and so do texts without words.
     """
-    near = near_duplicates(docs)
+    near = near_duplicates(docs, search)
     marks = cut(near.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("class_id")).cast("int")).alias("_slotmill_stays"), F.count("*").alias("_slotmill_rows")), "kept")
     # Most rows stay and are told by a bitmap that they do: they aren't shuffled.
     odd = marks.where("doc_id is not null and (_slotmill_stays = 0 or _slotmill_rows > 1)").withColumnRenamed("doc_id", "_slotmill_id")

@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED):
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = sample(known, labelled, known.count(), 5, "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most `labelled` ids; an id may have many rows
-    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(labelled).select("quality", "text").mapInArrow(_features, "quality int, x array<double>").collect()
+    rows = sample(rows, labelled, rows.count(), 6, "doc_id", "text").select("quality", "text").mapInArrow(_features, "quality int, x array<double>").collect()
     y = np.array([r[0] for r in rows], float)
     return fit_logistic(np.array([r[1] for r in rows]), y) if len(set(y.tolist())) == 2 else None
 
@@ -160,7 +160,8 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     `evidence` is the text's own probability of good quality, `prior` that of its path,
     `score` both combined; `kept` is score >= KEEP. Null and empty texts are scored as texts
     without words. Null hosts and paths are sites of their own. `labels` has doc_id and
-    quality (0, 1 or null); with fewer than two classes all evidence is 1/2.
+    quality (0, 1 or null); with fewer than two classes all evidence is 1/2. Repeated rows are
+    judged alike, very long texts whole; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     of = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, path string, odds double"

@@ -202,6 +202,13 @@ def _least(groups: DataFrame) -> DataFrame:
     return best.select("grp", *(F.col(f"x.{c}").alias(c) for c in groups.columns if c != "grp"))
 
 
+def falling(best: DataFrame, nearer: DataFrame) -> DataFrame:
+    """The estimates of `nearer` whose determinant is less than their group's in `best`: floors and
+    the consistency factor may let a step's rise, and such a step isn't taken."""
+    was = best.select("grp", F.col("logdet").alias("was"))
+    return cut(nearer.join(was, "grp").where(F.col("logdet") < F.col("was") - NO_FALL).drop("was"), "mcd")
+
+
 def robust_estimates(rows: DataFrame) -> DataFrame:
     """(grp, m_*, l_*) for `rows` (grp, v0..v5): centre and Cholesky factor of each group. Equal
     vectors of a group count once: a group of copies has no scatter, so it would win any determinant."""
@@ -211,10 +218,10 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
         groups = cut(_factor(_estimate(rows, groups, reliable=False)), "mcd")
     best = cut(_least(groups), "mcd")
     for _ in range(MORE_STEPS):
-        was = best.select("grp", F.col("logdet").alias("was"))
-        best = cut(_factor(_estimate(rows, best, reliable=False)), "mcd")
-        if best.join(was, "grp").where(F.col("logdet") < F.col("was") - NO_FALL).isEmpty():
+        nearer = falling(best, _factor(_estimate(rows, best, reliable=False)))
+        if nearer.isEmpty():
             break
+        best = cut(_least(best.unionByName(nearer)), "mcd")
     return cut(_factor(_estimate(rows, best, reliable=True)).drop("start", "logdet"), "mcd")
 
 

@@ -24,42 +24,62 @@ from .url_filter import GLOBS, judge_urls, regex_of
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents. Texts without words are classes of their own, repeated rows share
+    one, very long texts are compared whole; an empty table gives no rows."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document. Null and empty texts score by the bias alone, repeated rows alike, very long
+    texts whole; an empty table gives no rows."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document. Texts without a letter are `und`, repeated rows are judged alike, very long
+    texts whole; an empty table gives no rows."""
     return identify(table(spark, sf_dir, "documents"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences. Null and empty texts are the end id alone, repeated rows are packed
+    each, very long texts in pieces of a sequence; an empty table gives no rows."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document. Null and empty texts have none, repeated rows the same, very long
+    texts are scanned whole; an empty table gives no rows."""
     return license_scan(table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, with source and language as its site. Null and empty texts are texts without
+    words, repeated rows are judged alike, very long texts whole; an empty table gives no rows."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url. A null url has no host and no path, repeated rows are judged each, very
+    long urls whole; an empty table gives no rows."""
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. Null and empty texts have none, repeated rows are scanned each, very long texts
+    whole and in linear time; an empty table gives no rows."""
     return digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules on every document. Null texts have no words, repeated rows are judged alike, very long texts
+    are counted whole; an empty table gives no rows."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document. Null texts have no words, repeated rows share their result, very long
+    texts are searched whole; an empty table, on either side, gives no hits."""
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 

@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     plain = docs.select("doc_id", "text").where(crc_fold(F.col("doc_id"), FOLDS) != 0)
     ids = sample(known.where(F.col("toxic") == 1).select("doc_id").distinct(), positives, toxic, 11, "doc_id")
     confirmed = plain.join(F.broadcast(ids), "doc_id", "left_semi")  # at most `positives` ids; an id may have many rows
-    confirmed = confirmed.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(positives).withColumn("positive", F.lit(True))
+    confirmed = sample(confirmed, positives, confirmed.count(), 12, "doc_id", "text").withColumn("positive", F.lit(True))
     rest = sample(plain, unlabelled, plain.count(), 11, "doc_id", "text").withColumn("positive", F.lit(False))
     rows = confirmed.union(rest).select("positive", "text").mapInArrow(_vectors, "positive boolean, ids binary, counts binary, size long").collect()
     return fit_nnpu([(r[0], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<i4"), r[3]) for r in rows], toxic / max(1, n))

@@ -59,7 +59,8 @@ def jaccard(x, y):
     return both / (len(x) + len(y) - both)
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_near_duplicates_equal_brute_force(spark, threshold):
     rng = random.Random(2)
     texts = [r.text for r in table(spark, "documents").select("text").collect()]
     base = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]) + str(rng.randrange(40)) for _ in range(90)).split()
@@ -76,9 +77,21 @@ def test_near_duplicates_equal_brute_force(spark):
         for h in set(b.tolist()):
             holders[h].add(i)
     pairs = {(i, j) for s in holders.values() for i in s for j in s if i < j}
-    links = [(i, j) for i, j in pairs if jaccard(bags[i], bags[j]) >= near_dedup.THRESHOLD]
+    links = [(i, j) for i, j in pairs if jaccard(bags[i], bags[j]) >= threshold]
     want = model.components(range(len(texts)), links)
-    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == want
+    search = near_dedup.DEFAULT if threshold == near_dedup.THRESHOLD else near_dedup.Search.at(threshold)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, search).collect()} == want
+
+
+def test_bands_follow_from_the_threshold():
+    for t in (0.2, 0.5, 0.65, 0.8, 0.95, 1.0):
+        search = near_dedup.Search.at(t)
+        assert search.bands * search.rows <= near_dedup.MOST and search.missed(t) <= 1e-4
+        wider = search.rows + 1
+        assert wider > near_dedup.MOST or near_dedup.Search(t, near_dedup.MOST // wider, wider).missed(t) > 1e-4
+    assert near_dedup.DEFAULT.missed(0.8) < 1e-4 and near_dedup.Search.at(0.01).rows == 1
+    with pytest.raises(ValueError):
+        near_dedup.Search.at(0)
 
 
 def test_links_between_chunks():
@@ -321,6 +334,15 @@ def mcd(x: np.ndarray, floor: np.ndarray, starts: int = 60) -> tuple[np.ndarray,
     return of(x[distance(m, s) <= quality_rules.RELIABLE], 1.0)
 
 
+def test_determinants_never_rise(spark):
+    """A step that rises in one group isn't taken there, while another group's falls."""
+    cols = ["grp", "start", "logdet", "m_v0"]
+    was = spark.createDataFrame([("a", 0, -3.0, 1.0), ("b", 1, -5.0, 2.0), ("c", 0, -1.0, 3.0)], cols)
+    step = spark.createDataFrame([("a", 0, -2.0, 9.0), ("b", 1, -6.0, 8.0), ("c", 0, -1.0, 7.0)], cols)
+    nearer = quality_rules.falling(was, step)
+    assert {tuple(r) for r in quality_rules._least(was.unionByName(nearer)).select(*cols).collect()} == {("a", 0, -3.0, 1.0), ("b", 1, -6.0, 8.0), ("c", 0, -1.0, 3.0)}
+
+
 @pytest.mark.parametrize("share", [0.0, 0.3, 0.45])
 def test_estimates_are_those_of_the_least_determinant(spark, share):
     rng = np.random.default_rng(14)
@@ -352,6 +374,10 @@ def test_samples_are_bounded(spark):
     none = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
     many = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text"))
     assert sample(same, 100, 5000, 1, "doc_id", "text").count() in (0, 100)
+    assert sample(same, 100, 101, 1, "doc_id", "text").count() == 100 and sample(many, 4999, 5000, 1, "doc_id", "text").count() == 4999
+    # No text is carried to a single task: what limits rows, limits hashes.
+    plan = sample(many, 100, 5000, 1, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Limit" not in plan and "TakeOrdered" not in plan and "SinglePartition" not in plan
     assert sample(none, 100, 5000, 1, "doc_id", "text").count() == 100 == sample(many, 100, 5000, 1, "doc_id", "text").count()
     assert sample(many, 9000, 5000, 1, "doc_id", "text").count() == 5000 and sample(many.where("false"), 5, 0, 1, "doc_id").count() == 0
     # As of a table of 1e11 rows: a share far below a millionth takes its rows all the same.
