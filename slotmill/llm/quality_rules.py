@@ -206,7 +206,7 @@ def falling(best: DataFrame, nearer: DataFrame) -> DataFrame:
     """The estimates of `nearer` whose determinant is less than their group's in `best`: floors and
     the consistency factor may let a step's rise, and such a step isn't taken."""
     was = best.select("grp", F.col("logdet").alias("was"))
-    return cut(nearer.join(was, "grp").where(F.col("logdet") < F.col("was") - NO_FALL).drop("was"), "mcd")
+    return nearer.join(was, "grp").where(F.col("logdet") < F.col("was") - NO_FALL).drop("was")
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
@@ -218,7 +218,8 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
         groups = cut(_factor(_estimate(rows, groups, reliable=False)), "mcd")
     best = cut(_least(groups), "mcd")
     for _ in range(MORE_STEPS):
-        nearer = falling(best, _factor(_estimate(rows, best, reliable=False)))
+        # Written first: a filter on a determinant would spell out all factors it is made of.
+        nearer = falling(best, cut(_factor(_estimate(rows, best, reliable=False)), "mcd"))
         if nearer.isEmpty():
             break
         best = cut(_least(best.unionByName(nearer)), "mcd")
