@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.u64 import hex16
+from ..plans.durable import cut
+from .meetings import common_items, equal_positions, near_between, near_in
 
 #: Tier bounds, largest first, and the texts of a report's notes.
 TIERS = (("identical", 0.98), ("near_duplicate", 0.80), ("related", 0.40))
@@ -109,22 +111,54 @@ def signature_classes(prints: DataFrame) -> DataFrame:
     return prints.groupBy("minhash").agg(F.min("program_id").alias("class_id"), F.count("*").alias("size"))
 
 
+def _blocks(need: int, k: int) -> Column:
+    """Hashes of blocks of signature positions, about twice as many as two signatures with `need` equal
+    positions of k may differ in."""
+    n = min(k, 2 * (k - need + 1))
+    ends = [i * k // n for i in range(n + 1)]
+    return F.array(*(F.xxhash64(F.lit(i), F.slice("minhash", a + 1, b - a)) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))))
+
+
+def _rarest(rows: DataFrame, least: Column) -> DataFrame:
+    """(key, id, at, n) of `rows` (id, key, n): the keys of each id that it must share one of with any
+    other id that shares `least` of its n keys.
+
+    Keys rank by rarity. All but least - 1 of them make the prefix; keys of one id alone come first
+    and can't be shared, so they only shorten it. What many ids share comes last: it is
+    hardly ever in a prefix. `at` is the place of the key in its id's order.
+    """
+    rarity = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    order = Window.partitionBy("id").orderBy("df", "key")
+    ranked = rows.join(rarity, "key").withColumn("rank", F.row_number().over(order)).withColumn("shared", F.count("*").over(Window.partitionBy("id")))
+    return ranked.withColumn("at", F.col("rank") + F.col("n") - F.col("shared")).where(F.col("at") <= F.col("n") - least + 1).drop("df", "rank", "shared")
+
+
+def _need(threshold: float, k: int) -> int:
+    return max(1, math.ceil(threshold * k - 1e-9))
+
+
+def _block_rows(signatures: DataFrame, need: int, k: int) -> DataFrame:
+    """(id, key, n) of `signatures` (id, minhash)."""
+    return signatures.select("id", F.explode(_blocks(need, k)).alias("key")).withColumn("n", F.lit(min(k, 2 * (k - need + 1))))
+
+
 def estimate_pairs(classes: DataFrame, threshold: float, k: int) -> DataFrame:
     """(a, b, size_a, size_b, jaccard_estimate) of `signature_classes` at `threshold` (> 0) or more.
 
-    Lossless: two signatures with m equal positions of k differ in k - m at most, so of
-    k - m + 1 blocks of positions one is equal throughout. Only blocks are joined; the higher
-    the threshold, the longer and rarer they are.
+    Lossless: two signatures with m equal positions of k differ in k - m at most, so of n
+    blocks of positions n - (k - m) are equal throughout, and one of them is among the
+    k - m + 1 rarest of either. Only those are indexed. A block that very many signatures share
+    is met chunk by chunk. `classes` is read more than once: pass a table.
     """
     if threshold <= 0:
         raise ValueError("pairs without any equal position aren't listed: the threshold must be above 0")
-    need = max(1, math.ceil(threshold * k - 1e-9))
+    need = _need(threshold, k)
     if need > k:
         return classes.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.col("size").alias("size_a"), F.col("size").alias("size_b"), F.lit(0.0).alias("jaccard_estimate")).where("false")
-    ends = [i * k // (k - need + 1) for i in range(k - need + 2)]
-    blocks = F.array(*(F.xxhash64(F.lit(i), F.slice("minhash", a + 1, b - a)) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))))
-    some = classes.select("class_id", F.explode(blocks).alias("block"))
-    pairs = some.select(F.col("class_id").alias("a"), "block").join(some.select(F.col("class_id").alias("b"), "block"), "block").where("a < b").select("a", "b").distinct()
+    rows = _block_rows(classes.select(F.col("class_id").alias("id"), "minhash"), need, k)
+    index = _rarest(rows, F.col("n") - (k - need)).select("key", "id")
+    items = classes.select(F.col("class_id").alias("id"), F.col("minhash").alias("items"))
+    pairs = near_in(index, items, equal_positions, threshold)
     side = lambda s: classes.select(F.col("class_id").alias(s), F.col("minhash").alias(f"m_{s}"), F.col("size").alias(f"size_{s}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     return full.select("a", "b", "size_a", "size_b", estimate(F.col("m_a"), F.col("m_b")).alias("jaccard_estimate")).where(F.col("jaccard_estimate") >= threshold)
@@ -133,18 +167,22 @@ def estimate_pairs(classes: DataFrame, threshold: float, k: int) -> DataFrame:
 def search(prints: DataFrame, queries: DataFrame, threshold: float, k: int) -> DataFrame:
     """(query_id, program_id, score) at `threshold` (> 0) or more: every match, a query itself included.
 
-    Lossless by blocks of positions as in `estimate_pairs`; equal signatures are compared once.
+    Lossless by the rarest blocks of positions as in `estimate_pairs`; equal signatures are
+    compared once. Both are read more than once: pass tables.
     """
-    need = max(1, math.ceil(threshold * k - 1e-9))
+    need = _need(threshold, k)
     if threshold <= 0 or need > k:
         raise ValueError("the threshold must be above 0 and at most 1")
-    ends = [i * k // (k - need + 1) for i in range(k - need + 2)]
-    blocks = F.array(*(F.xxhash64(F.lit(i), F.slice("minhash", a + 1, b - a)) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))))
-    some = lambda df, s: df.select("minhash").distinct().select(F.col("minhash").alias(s), F.explode(blocks).alias("block"))
-    pairs = some(queries, "m_q").join(some(prints, "m_p"), "block").select("m_q", "m_p").distinct()
-    near = pairs.withColumn("score", estimate(F.col("m_q"), F.col("m_p"))).where(F.col("score") >= threshold)
-    side = lambda df, s, m: df.select(F.col("program_id").alias(s), F.col("minhash").alias(m))
-    return near.join(side(queries, "query_id", "m_q"), "m_q").join(side(prints, "program_id", "m_p"), "m_p").select("query_id", "program_id", "score")
+    named = lambda df: df.select("minhash").distinct().select(F.xxhash64("minhash").alias("id"), "minhash")
+    asked, every = cut(named(queries), "asked"), cut(named(queries).union(named(prints)).distinct(), "every")
+    index = cut(_rarest(_block_rows(every, need, k), F.col("n") - (k - need)).select("key", "id"), "blocks")
+    pairs = near_between(index.join(asked.select("id"), "id", "left_semi"), index, every.select("id", F.col("minhash").alias("items")), equal_positions, threshold)
+    # Every query signature meets itself, whatever blocks it has. Ids of 64 bits that collide bring candidates, not matches.
+    pairs = pairs.union(asked.select(F.col("id").alias("a"), F.col("id").alias("b"))).distinct()
+    side = lambda s, m: every.select(F.col("id").alias(s), F.col("minhash").alias(m))
+    near = pairs.join(side("a", "m_q"), "a").join(side("b", "m_p"), "b").select("m_q", "m_p", estimate(F.col("m_q"), F.col("m_p")).alias("score")).where(F.col("score") >= threshold)
+    of = lambda df, s, m: df.select(F.col("program_id").alias(s), F.col("minhash").alias(m))
+    return near.join(of(queries, "query_id", "m_q"), "m_q").join(of(prints, "program_id", "m_p"), "m_p").select("query_id", "program_id", "score")
 
 
 def set_classes(sets: DataFrame, key: str, items: str) -> DataFrame:
@@ -153,23 +191,42 @@ def set_classes(sets: DataFrame, key: str, items: str) -> DataFrame:
     return ordered.groupBy("items").agg(F.min("k").alias("class_id"), F.count("*").alias("size"))
 
 
+def exact_index(classes: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, n, at, bits) of `set_classes`: the rarest items that a set shares one of with any other at the
+    threshold, with their place in its order and 64 bits that its items hash to."""
+    powers = F.array(*(F.lit(1 << i if i < 63 else -(2**63)) for i in range(64)))
+    bits = F.aggregate("items", F.lit(0).cast("long"), lambda b, x: b.bitwiseOR(F.get(powers, F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+    rows = classes.select(F.col("class_id").alias("id"), F.size("items").alias("n"), bits.alias("bits"), F.explode("items").alias("key"))
+    return _rarest(rows, F.ceil(F.lit(threshold) * F.col("n") - 1e-9)).select("key", "id", "n", "at", "bits")
+
+
+def may_reach(threshold: float, a: str, b: str) -> Column:
+    """Whether two entries of `exact_index` with a common key may belong to sets at the threshold.
+
+    By length; by place: a common item leaves at most what follows it in either set, if it is
+    their first; by bits: a bit that only one set has stands for an item that the other lacks. The
+    first common item of two sets at the threshold passes all three.
+    """
+    x, y = (lambda c: F.col(f"{c}{a}")), (lambda c: F.col(f"{c}{b}"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (x("n") + y("n")) - 1e-9)
+    lacks = lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))
+    lengths = F.least(x("n"), y("n")) >= F.lit(threshold) * F.greatest(x("n"), y("n")) - 1e-9
+    places = F.least(x("n") - x("at"), y("n") - y("at")) + 1 >= need
+    return lengths & places & (F.least(x("n") - lacks(x("bits"), y("bits")), y("n") - lacks(y("bits"), x("bits"))) >= need)
+
+
 def exact_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, size_a, size_b, jaccard_exact) of `set_classes` at `threshold` (> 0) or more.
 
     Prefix-filtered: with items ordered by rarity, sets at the threshold share an item among
-    their rarest n - ceil(threshold * n) + 1; lengths differ by the threshold at most.
+    their rarest n - ceil(threshold * n) + 1. Pairs are bounded by length, place and bits
+    before they are listed; an item that very many prefixes hold is met chunk by chunk. `classes` is
+    read more than once: pass a table.
     """
     if threshold <= 0:
         raise ValueError("pairs without a common item aren't listed: the threshold must be above 0")
-    rows = classes.select("class_id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    rarity = rows.groupBy("item").agg(F.count("*").alias("df"))
-    placed = rows.join(rarity.where("df > 1"), "item")
-    # Items of one set only can't be shared; they come first in its order, so they shorten its prefix.
-    order = Window.partitionBy("class_id").orderBy("df", "item")
-    ranked = placed.withColumn("at", F.row_number().over(order)).withColumn("shared", F.count("*").over(Window.partitionBy("class_id")))
-    prefix = ranked.where(F.col("at") + F.col("n") - F.col("shared") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    p = lambda s: prefix.select("item", F.col("class_id").alias(s), F.col("n").alias(f"n_{s}"))
-    pairs = p("a").join(p("b"), "item").where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b").distinct()
+    items = classes.select(F.col("class_id").alias("id"), "items")
+    pairs = near_in(exact_index(classes, threshold), items, common_items, threshold, lambda a, b: may_reach(threshold, a, b))
     side = lambda s: classes.select(F.col("class_id").alias(s), F.col("items").alias(f"i_{s}"), F.col("size").alias(f"size_{s}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     return full.select("a", "b", "size_a", "size_b", exact(F.col("i_a"), F.col("i_b")).alias("jaccard_exact")).where(F.col("jaccard_exact") >= threshold)
