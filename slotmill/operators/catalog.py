@@ -1,4 +1,4 @@
-"""The fingerprint catalog: rows of stored fingerprints, kept as Parquet or exchanged as JSON.
+"""The fingerprint catalog: rows of fingerprints, kept in a folder (`stored`) or exchanged as JSON.
 
 Columns: program_id, source_path, ngram_count, normalized_len, simhash, minhash, ngram_sample
 (the full n-gram set). Ids are unique after `upsert`.
@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.u64 import from_decimal
+from ..functions.u64 import from_decimal, to_decimal
 from ..sources.files import load_paths, scan_directory, with_ids
 from ..sources.files import strict as load_checked
 from .fingerprint import NO_NGRAMS, fingerprints
@@ -38,15 +39,24 @@ def upsert(rows: DataFrame, order: str) -> DataFrame:
     return last.select("program_id", order, *(F.col(f"r.`{c}`").alias(c) for c in rest)).select(*rows.columns)
 
 
+def unique(rows: DataFrame) -> DataFrame:
+    """`rows`, whose ids must differ: one that repeats is an error."""
+    rest = [c for c in rows.columns if c != "program_id"]
+    one = rows.groupBy("program_id").agg(F.first(F.struct(*rest)).alias("r"), F.count("*").alias("n"))
+    checked = F.when(F.col("n") == 1, F.col("program_id")).otherwise(F.raise_error(F.concat(F.lit("a catalog repeats "), "program_id")).cast("string"))
+    return one.select(checked.alias("program_id"), *(F.col(f"r.`{c}`").alias(c) for c in rest)).select(*rows.columns)
+
+
 def merge(primary: DataFrame, secondary: DataFrame, order: str | None = None) -> DataFrame:
     """Rows of both, one an id: the secondary's where both have it, of several the last.
 
-    `order` is a number column of both (in catalogs without one, ids are expected to be unique).
+    `order` is a number column of both; in catalogs without one, a repeated id is an error.
     In the result it keeps the primary's order, new ids after it by their first place in the
     secondary. A primary that repeats an id is an error.
     """
     if order is None:
-        return primary.join(secondary, "program_id", "left_anti").unionByName(secondary)
+        secondary = unique(secondary)
+        return unique(primary).join(secondary, "program_id", "left_anti").unionByName(secondary)
     last = upsert(secondary, order)
     first = secondary.groupBy("program_id").agg(F.min(order).alias("_slotmill_first"))
     old = primary.groupBy("program_id").agg(F.max(order).alias("_slotmill_old"), F.count("*").alias("_slotmill_times"))
@@ -89,9 +99,17 @@ def entry_of_file(spark: SparkSession, path: str, program_id: str | None = None,
     return row.withColumn("program_id", F.lit(program_id)) if program_id else row
 
 
+#: What parts two entries of the pretty form.
+_BETWEEN = "\n    },\n    {"
+
+
 def load_json(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of one catalog object; missing fields are an error, the version isn't judged."""
-    rows = _object(spark, path).select(F.inline("entries"))
+    """The entries of one catalog object; missing fields are an error, the version isn't judged.
+
+    An object in the pretty form that catalogs are saved in is read in splits, entry by entry: a
+    file of any size, or a folder of parts of it by `save_parts`. Any other layout is read as a whole.
+    """
+    rows = _pretty(spark, path) if _head(spark, path) else _object(spark, path).select(F.inline("entries"))
     full = [F.col(c).isNotNull() for c in rows.columns]
     ok = full[0]
     for c in full[1:]:
@@ -103,24 +121,68 @@ def load_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _head(spark: SparkSession, path: str) -> str | None:
+    """The version that a catalog in the pretty form begins with; None for any other file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.isDirectory(where):
+        parts = sorted(s.getPath().toString() for s in files.listStatus(where) if s.getPath().getName().startswith("part-"))
+        if not parts:
+            return None
+        path = parts[0]
+    lines = [r[0] for r in spark.read.text(path).select(F.substring("value", 1, 80)).head(3)]
+    version = re.fullmatch(r' *"version": (\d+),', lines[1]) if len(lines) == 3 else None
+    return version[1] if version and lines[0] == "{" and lines[2].startswith('  "entries": [') else None
+
+
+def _pretty(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of the pretty form: the text between two of them has a raw line break, which no JSON
+    string has, so a file can be read from any of them on."""
+    raw = spark.read.text(path, lineSep=_BETWEEN).select(F.substring_index("value", '"entries": [', -1).alias("v"))
+    inner = F.btrim("v", F.lit(" \t\r\n,"))
+    fields = F.regexp_replace(F.regexp_replace(inner, r"^\{", ""), r"\}?(\s*\]\s*\})?$", "")
+    some = raw.select(F.btrim(F.regexp_replace(fields, r"^\]\s*$", ""), F.lit(" \t\r\n")).alias("v")).where("v <> ''")
+    entry = spark.read.schema(_JSON).json(spark.sparkContext.emptyRDD()).schema["entries"].dataType.elementType
+    return some.select(F.from_json(F.concat(F.lit("{"), "v", F.lit("}")), entry, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+
+
 def _object(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_JSON).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def save_parts(catalog: DataFrame, folder: str, version: int = VERSION) -> None:
+    """Writes a folder of text parts that in order make up one pretty JSON object, byte for byte what
+    `save_json` writes. Entries are sorted and written by Spark: none passes the driver. Ids must differ."""
+    wide = lambda c: F.concat(F.lit("[\n        "), F.array_join(F.transform(c, lambda x: to_decimal(x).cast("string")), ",\n        "), F.lit("\n      ]"))
+    many = lambda c: F.when(F.size(c) > 0, wide(c)).otherwise(F.lit("[]"))
+    text = lambda c: F.substring(F.to_json(F.struct(F.col(c).alias("x"))), F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6)
+    plain = lambda c: F.col(c).cast("string")
+    values = {
+        "program_id": text("program_id"), "source_path": text("source_path"), "ngram_count": plain("ngram_count"), "simhash": to_decimal(F.col("simhash")).cast("string"),
+        "minhash": many("minhash"), "ngram_sample": many("ngram_sample"), "normalized_len": plain("normalized_len"),
+    }
+    body = F.concat_ws(",\n", *(F.concat(F.lit(f'      "{k}": '), v) for k, v in values.items()))
+    place = F.struct("source_path", "program_id")
+    last = catalog.agg(F.max(place).alias("last"))  # one row
+    entries = catalog.join(F.broadcast(last), F.lit(True)).select(F.lit(1).alias("kind"), "source_path", "program_id", F.concat(F.lit("    {\n"), body, F.when(place == F.col("last"), "\n    }").otherwise("\n    },")).alias("value"))
+    ends = catalog.sparkSession.createDataFrame([(0, "", "", f'{{\n  "version": {version},\n  "entries": ['), (2, "", "", "  ]\n}")], entries.schema)
+    entries.union(ends).orderBy("kind", "source_path", "program_id").select("value").write.text(folder)
+
+
 def save_json(catalog: DataFrame, path: str, version: int = VERSION) -> int:
     """Writes one pretty JSON object through the driver, row by row; returns the entries.
 
-    For exchange of catalogs that fit in a file; large ones stay Parquet.
+    For exchange of catalogs that fit in a local file; `save_parts` writes larger ones in parts.
     """
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     n = 0
-    with open(path, "w") as f:
+    with open(path, "w", encoding="utf-8") as f:
         f.write(f'{{\n  "version": {version},\n  "entries": [')
         for r in catalog.orderBy("source_path").toLocalIterator():
             u = lambda x: x % 2**64
             entry = {"program_id": r.program_id, "source_path": r.source_path, "ngram_count": r.ngram_count, "simhash": u(r.simhash)}
             entry |= {"minhash": [u(x) for x in r.minhash], "ngram_sample": [u(x) for x in r.ngram_sample], "normalized_len": r.normalized_len}
-            f.write(("," if n else "") + "\n    " + json.dumps(entry, indent=2).replace("\n", "\n    "))
+            f.write(("," if n else "") + "\n    " + json.dumps(entry, indent=2, ensure_ascii=False).replace("\n", "\n    "))
             n += 1
         f.write("\n  ]\n}\n")
     return n
@@ -139,10 +201,13 @@ class Catalog:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Catalog:
-        found = _object(spark, path).select("version").first()
-        if found is None or found[0] is None:
-            raise ValueError("a catalog lacks its version")
-        return cls(load_json(spark, path), found[0])
+        version = _head(spark, path)
+        if version is None:
+            found = _object(spark, path).select("version").first()
+            if found is None or found[0] is None:
+                raise ValueError("a catalog lacks its version")
+            version = found[0]
+        return cls(load_json(spark, path), int(version))
 
     def save(self, path: str) -> int:
         return save_json(self.rows, path, self.version)
