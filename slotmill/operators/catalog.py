@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.u64 import from_decimal, to_decimal
 from ..sources.files import load_paths, scan_directory, with_ids
 from ..sources.files import strict as load_checked
-from .fingerprint import NO_NGRAMS, fingerprints
+from .fingerprint import fingerprints
 from .kernels import HASHES, NGRAM, NormalizeConfig
 
 VERSION = 1
@@ -73,6 +73,23 @@ def find(catalog: DataFrame, program_id: str) -> DataFrame:
     return catalog.where(F.col("program_id") == program_id).limit(1)
 
 
+#: Fixed value: what is said of a program without any n-gram, before its path.
+NO_ENTRY = "no ngrams extracted from "
+
+
+def file_entries(programs: DataFrame, n: int = NGRAM, k: int = HASHES) -> DataFrame:
+    """A row for each of `programs` (program_id, path, text, load_error; ids may repeat): its catalog
+    entry, or null columns and the error that keeps it from having one."""
+    rows = programs.select("program_id", "path", "text", "load_error", F.struct("program_id", "path").alias("at"))
+    loads = rows.where("load_error is null").select(F.to_json("at").alias("program_id"), "text")
+    prints = fingerprints(loads, n, k, NormalizeConfig(), "keep").withColumnRenamed("program_id", "name")
+    both = rows.drop("text").withColumn("name", F.to_json("at")).join(prints, "name", "left")
+    error = F.coalesce("load_error", F.when(F.col("ngram_count") == 0, F.concat(F.lit(NO_ENTRY), "path")))
+    columns = {"ngram_count": "ngram_count", "normalized_len": "normalized_len", "simhash": "simhash", "minhash": "minhash", "ngram_sample": "ngrams"}
+    full = both.withColumn("error", error)
+    return full.select("program_id", F.col("path").alias("source_path"), *(F.when(F.col("error").isNull(), F.col(c)).alias(x) for x, c in columns.items()), "error")
+
+
 def of_programs(programs: DataFrame, n: int = NGRAM, k: int = HASHES, strict: bool = True) -> DataFrame:
     """Catalog rows of `programs` (path, text, load_error); later paths win an id.
 
@@ -80,16 +97,21 @@ def of_programs(programs: DataFrame, n: int = NGRAM, k: int = HASHES, strict: bo
     query if `strict`, else it is left out, too.
     """
     good = upsert(with_ids(programs.where("load_error is null")).select("program_id", "path", "text"), "path")
-    prints = fingerprints(good, n, k, NormalizeConfig(), "error" if strict else "skip")
-    return prints.join(good.select("program_id", F.col("path").alias("source_path")), "program_id").select(
-        "program_id", "source_path", "ngram_count", "normalized_len", "simhash", "minhash", F.col("ngrams").alias("ngram_sample")
-    )
+    prints = fingerprints(good, n, k, NormalizeConfig(), "keep" if strict else "skip")
+    full = prints.join(good.select("program_id", F.col("path").alias("source_path")), "program_id")
+    checked = F.when(F.col("ngram_count") > 0, F.col("ngram_count")).otherwise(F.raise_error(F.concat(F.lit(NO_ENTRY), "source_path")).cast("long"))
+    return full.select("program_id", "source_path", checked.alias("ngram_count"), "normalized_len", "simhash", "minhash", F.col("ngrams").alias("ngram_sample"))
 
 
 def scan(spark: SparkSession, directory: str, n: int = NGRAM, k: int = HASHES, strict: bool = True) -> DataFrame:
+    """Catalog rows of all programs below a folder. If `strict`, programs without n-grams abort the
+    scan; the error names the first of them by path."""
     programs = scan_directory(spark, directory)
-    if strict and not fingerprints(with_ids(programs.where("load_error is null")), n, 0, empty="keep").where("ngram_count = 0").isEmpty():
-        raise ValueError(NO_NGRAMS)
+    if strict:
+        counts = fingerprints(with_ids(programs.where("load_error is null"), by_path=True), n, 0, empty="keep")
+        bare = counts.where("ngram_count = 0").agg(F.min("program_id")).first()[0]
+        if bare is not None:
+            raise ValueError(NO_ENTRY + bare)
     return of_programs(programs, n, k, strict)
 
 

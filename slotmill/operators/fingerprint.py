@@ -18,8 +18,8 @@ from .kernels import HASHES, NGRAM, NormalizeConfig, check_n, minhash, ngrams, n
 
 DEFAULT = NormalizeConfig()
 NO_NGRAMS = "no opcode n-grams extracted from bytecode"
-#: Rows unpacked at a time.
-ROWS = 64
+#: Rows, and bytes of streams, unpacked at a time; a longer stream goes alone.
+ROWS, BYTES = 64, 4_000_000
 
 
 def slots(programs: DataFrame) -> DataFrame:
@@ -45,9 +45,17 @@ def ngram_total(programs: DataFrame, n: int = NGRAM) -> DataFrame:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            yield part, [t or b"" for t in part.column("text").to_pylist()]
+        texts: list[bytes] = []
+        start = held = 0
+        for i, text in enumerate(batch.column("text")):
+            raw = text.as_py() or b""
+            if texts and (len(texts) == ROWS or held + len(raw) > BYTES):
+                yield batch.slice(start, len(texts)), texts
+                start, held, texts = i, 0, []
+            texts.append(raw)
+            held += len(raw)
+        if texts:
+            yield batch.slice(start), texts
 
 
 _REMAP = pa.list_(pa.struct([("old", pa.int32()), ("new", pa.int32())]))

@@ -82,9 +82,21 @@ def cut(df: DataFrame, name: str, rows: int = BATCH_ROWS, result: bool = False)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for tables, below the shared one. Within a `Scratch` it goes at its end."""
+    path = f"{checkpoint_dir(spark)}/slotmill-{name}-{uuid.uuid4().hex}"
+    if _scopes():
+        _scopes()[-1].paths.append((spark, path))
+    return path
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for files that driver and executors open by path: below the shared folder, which
-    must be mounted under one path everywhere. Within a `Scratch` it goes at its end."""
+    must be mounted under one path everywhere; in a store that isn't, that is an error. Within a
+    `Scratch` it goes at its end."""
+    scheme = re.match(r"([a-z][a-z0-9+.-]*):", checkpoint_dir(spark))
+    if scheme and scheme[1] != "file":
+        raise ValueError(f"files that are opened by path need a mounted spark.checkpoint.dir, not one in {scheme[1]}:")
     path = f"{checkpoint_dir(spark)}/slotmill-{name}-{uuid.uuid4().hex}"
     if _scopes():
         _scopes()[-1].paths += [(spark, path), (spark, f"{path}-out")]

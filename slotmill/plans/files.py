@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from .. import cli
 from ..functions.u64 import hex16
-from ..operators import catalog, lsh
+from ..operators import catalog, lsh, stored
 from ..operators.cluster import cluster_directory
 from ..operators.fingerprint import fingerprints
 from ..operators.hashing import swapped
 from ..operators.similarity import batch_against_all, compared, signature_text
 from ..sources.files import parse_images, save_images, scan_directory, with_ids
-from .durable import Scratch, cut, scratch_folder
-from .queries import K, _prints, _queried, _table, overwritten, turns
+from .durable import Scratch, cut, scratch_folder, scratch_path
+from .queries import K, _prints, _queried, _table, overwritten, turn_entries, turns
 
 #: An ELF header with two section headers after it: none, and one that holds the bytes after them.
 _HEADER = "7f454c46020101" + "00" * 9 + "0200f70001000000" + "00" * 16 + "4000000000000000" + "00000000" + "4000000000004000" + "0200" + "0000"
@@ -56,13 +56,13 @@ def _turn_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", "turn", "path", F.octet_length("text").alias("n"), F.when(F.col("conv_id") % 5 == 4, F.col("text")).otherwise(image(F.col("text"))).alias("content"))
 
 
-def _from_files(make: Callable[[SparkSession, str], DataFrame], where: str = "true") -> Callable[[SparkSession, str], DataFrame]:
+def _from_files(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """A query on the saved files; the result is a table, the files go."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         with Scratch():
             folder = scratch_folder(spark, "files")
-            save_images(_turn_images(spark, sf_dir).where(where), folder)
+            save_images(_turn_images(spark, sf_dir), folder)
             return cut(make(spark, folder), "from-files", result=True)
 
     return query
@@ -154,8 +154,22 @@ def _cluster_command(spark: SparkSession, folder: str) -> DataFrame:
     return _lines(spark, _said(spark, "cluster", folder, "--threshold", "0.5")[1], folder)
 
 
+def _entries(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of each file as an entry under an id of its own: the entry, or the error."""
+    programs = scan_directory(spark, folder).withColumn("program_id", F.concat(F.lit("as "), _relative(F.col("path"), folder)))
+    error = F.replace(F.coalesce("error", F.lit("")), F.lit(folder + "/"), F.lit(""))
+    rows = _listed(catalog.file_entries(programs), folder, F.size("ngram_sample").cast("long").alias("n_sample"), error.alias("error"))
+    return rows.withColumns({c: F.when(F.col("error") == "", F.col(c)).otherwise(-1) for c in ("ngram_count", "normalized_len", "n_sample")}).withColumns({c: F.coalesce(c, F.lit("")) for c in ("simhash", "minhash")})
+
+
+def _quick(spark: SparkSession, folder: str) -> DataFrame:
+    """The reports of all pairs of files, as columns."""
+    prints = _by_path(spark, folder)
+    return compared(_pairs(prints), prints).withColumn("notes", F.array_join("notes", "; "))
+
+
 def _index_command(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, _said(spark, "index", folder, "--output", f"{folder}/out/db.json")[1], folder)
+    return _lines(spark, _said(spark, "index", folder, "--output", f"{folder}-out/db.json")[1].replace(f"{folder}-out/", "out/"), folder)
 
 
 def _catalog_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,7 +196,7 @@ def cli_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         good, text, short = (f"{folder}/{p}" for p in ("good.so", "text.txt", "few/short.so"))
         commands = {"compare": ("compare", good, text), "fingerprint": ("fingerprint", text), "report": ("report", good, short), "index": ("index", f"{folder}/few", "--output", f"{folder}/db.json"), "good": ("compare", good, good)}
         got = [(name, *_said(spark, *args)) for name, args in commands.items()]
-        return spark.createDataFrame([(name, code, said.split("\n")[0] if code else "") for name, code, said in got], "command string, code int, message string")
+        return spark.createDataFrame([(name, code, said.split("\n")[0].replace(folder + "/", "") if code else "") for name, code, said in got], "command string, code int, message string")
 
 
 def lsh_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,6 +218,49 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, x.size(), x.is_empty(), getattr(x, "version", 0)) for k, x in kinds.items()], "store string, size long, is_empty boolean, version int")
 
 
+def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogs of `catalog_merge`, stored, merged in two snapshots and read again."""
+    with Scratch():
+        e = cut(turn_entries(spark, sf_dir).withColumn("place", F.col("program_id").cast("long") * 1000 + F.col("turn")).drop("turn"), "entries")
+        first = (F.col("place") % 1000 == 0) & (F.col("program_id").cast("long") % 3 != 0)
+        root = scratch_path(spark, "catalog")
+        made = stored.StoredCatalog.create(e.where(first).drop("place"), root)
+        for half in (0, 1):
+            made = made.merge(e.where(~first & (F.col("program_id").cast("long") % 2 == half)), "place")
+        rows = stored.StoredCatalog.open(spark, root).rows()
+        head = ("program_id", "source_path", "ngram_count", "normalized_len", hex16(F.col("simhash")).alias("simhash"))
+        return cut(rows.select(*head), "stored", result=True)
+
+
+def _stored_turns(spark: SparkSession, sf_dir: str, root: str) -> tuple[stored.StoredIndex, DataFrame]:
+    """An index of turns and grown turns, in which those of odd turns were replaced by overwritten ones and
+    those of each seventh conversation deleted; and the query programs."""
+    prints = _prints(turns(spark, sf_dir)).select("program_id", "minhash")
+    name, kind = F.substring_index("program_id", "~", 1), F.substring_index("program_id", "~", -1)
+    plain = ~F.contains("program_id", F.lit("~"))
+    odd = F.substring_index(name, "-", -1).cast("long") % 2 == 1
+    index = stored.StoredIndex.create(spark, root, lsh.LshConfig.of(K, lsh.CLI_BANDS))
+    index = index.insert(prints.where(plain)).insert(prints.where(~plain & (kind == "more")))
+    index = index.insert(prints.where(~plain & (kind == "edit") & odd).withColumn("program_id", name))
+    gone = prints.where((plain | (kind == "more")) & (F.substring_index(name, "-", 1).cast("long") % 7 == 3)).select("program_id")
+    index.delete(gone)
+    return stored.StoredIndex.open(spark, root), _queried(prints)
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket entries of a stored index after inserts, replacements and deletes."""
+    with Scratch():
+        index, _ = _stored_turns(spark, sf_dir, scratch_path(spark, "index"))
+        return cut(index.entries().select("program_id", "band", hex16(F.col("bucket_key")).alias("bucket_key")), "stored", result=True)
+
+
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query programs, searched in the stored index at 0.3 or more."""
+    with Scratch():
+        index, asked = _stored_turns(spark, sf_dir, scratch_path(spark, "index"))
+        return cut(index.search(asked, 0.3), "stored", result=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "elf_sections": elf_sections,
     "scan_programs": _from_files(_scan),
@@ -216,10 +273,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_reports": _from_files(_report_texts(cli.format_report)),
     "batch_lines": batch_lines,
     "cli_cluster": _from_files(_cluster_command),
-    "cli_index": _from_files(_index_command, "n >= 64 and conv_id % 5 <> 4"),
+    "cli_index": _from_files(_index_command),
+    "file_entries": _from_files(_entries),
+    "quick_comparisons": _from_files(_quick),
     "cli_query": _from_files(_query_command),
     "catalog_summary": _from_files(_catalog_summary),
     "cli_errors": cli_errors,
     "lsh_configs": lsh_configs,
     "stores": stores,
+    "stored_catalog": stored_catalog,
+    "stored_index": stored_index,
+    "stored_search": stored_search,
 }

@@ -133,6 +133,12 @@ _CATALOG = """
 ent AS (SELECT CAST(conv_id AS VARCHAR) AS program_id, conv_id || '-' || turn AS source_path, turn, n AS ngram_count, nl.len AS normalized_len, {hex} AS simhash
         FROM plain c JOIN cnt ON cnt.program_id = conv_id || '-' || turn JOIN sh ON sh.program_id = cnt.program_id
         JOIN (SELECT program_id, 8 * count(*) AS len FROM kept GROUP BY program_id) nl ON nl.program_id = cnt.program_id)""".format(hex=_hex("simhash"))
+#: Entries of the stored index: turns, grown ones, overwritten ones in place of odd turns; not those of each seventh conversation.
+_STORED = """
+sx AS (SELECT CASE WHEN program_id LIKE '%~edit' THEN split_part(program_id, '~', 1) ELSE program_id END AS program_id, program_id AS origin, band, bucket_key FROM bu
+       WHERE CAST(split_part(program_id, '-', 1) AS BIGINT) % 7 <> 3 AND (program_id LIKE '%~more'
+         OR (program_id NOT LIKE '%~%' AND (CAST(split_part(program_id, '-', 2) AS BIGINT) % 2 = 0 OR program_id || '~edit' NOT IN (SELECT program_id FROM sg)))
+         OR (program_id LIKE '%~edit' AND CAST(split_part(split_part(program_id, '~', 1), '-', 2) AS BIGINT) % 2 = 1)))"""
 _LIST = "SELECT program_id, source_path, ngram_count, normalized_len, simhash FROM"
 
 
@@ -273,7 +279,16 @@ SELECT a, b, 'batch similarity for ' || a || chr(10) || 'matches: ' || matches |
     + _lines("""SELECT -4 AS o1, '' AS o2, 'directory: ' AS line UNION ALL SELECT -3, '', 'threshold: 0.50' UNION ALL SELECT -2, '', 'clusters: ' || count(*) FROM clu UNION ALL SELECT -1, '', ''
 UNION ALL SELECT cluster_id, '', 'cluster ' || cluster_id || ' (' || size || ' members, avg_similarity ' || printf('%.4f', avg_similarity) || ')' FROM clu
 UNION ALL SELECT cluster_id, program_id, '  ' || program_id FROM clm UNION ALL SELECT cluster_id, '~', '' FROM clu WHERE cluster_id < (SELECT max(cluster_id) FROM clu)"""),
-    "cli_index": _with(_FILES) + _lines("SELECT 0 AS o1, '' AS o2, 'indexed ' || count(DISTINCT id) || ' programs' AS line FROM fil WHERE length(t) >= 128 AND conv_id % 5 <> 4 UNION ALL SELECT 1, '', 'catalog: out/db.json'"),
+    "cli_index": _with(*_FILE_GRAMS) + _lines("""SELECT 0 AS o1, '' AS o2, CASE WHEN bare IS NULL THEN 'indexed ' || n || ' programs' ELSE 'error: no ngrams extracted from ' || bare END AS line
+FROM (SELECT min(path) FILTER (WHERE path NOT IN (SELECT program_id FROM cnt)) AS bare, count(DISTINCT id) AS n FROM fil WHERE conv_id % 5 <> 4)
+UNION ALL SELECT 1, '', 'catalog: out/db.json' WHERE NOT EXISTS (SELECT 1 FROM fil WHERE conv_id % 5 <> 4 AND path NOT IN (SELECT program_id FROM cnt))"""),
+    "file_entries": _with(*_FILE_GRAMS, _LENGTHS, _SIGNATURES) + f"""
+SELECT 'as ' || path AS program_id, path AS source_path, coalesce(c.n, -1) AS ngram_count, CASE WHEN c.n IS NULL THEN -1 ELSE len END AS normalized_len,
+       coalesce({_hex("simhash")}, '') AS simhash, coalesce(sig.minhash, '') AS minhash, coalesce(c.n, -1) AS n_sample,
+       CASE WHEN conv_id % 5 = 4 THEN 'not a valid elf: bad magic' WHEN c.n IS NULL THEN 'no ngrams extracted from ' || path ELSE '' END AS error
+FROM fil LEFT JOIN cnt c ON c.program_id = path LEFT JOIN len8 ON len8.program_id = path LEFT JOIN sh ON sh.program_id = path LEFT JOIN sig ON sig.program_id = path
+""",
+    "quick_comparisons": _with(*_FILE_GRAMS, _FILE_PAIRS, _report(128)) + " SELECT * FROM rep",
     "cli_query": _with(*_ID_GRAMS, _bands(8)) + """,
 src AS (SELECT * FROM fil WHERE path = 'd0/p0_0.so'),
 hit AS (SELECT y.program_id, count(*) / 128.0 AS e FROM mh x JOIN mh y ON x.i = y.i AND x.v = y.v WHERE x.program_id = (SELECT id FROM src) AND y.program_id IN
@@ -283,7 +298,7 @@ hit AS (SELECT y.program_id, count(*) / 128.0 AS e FROM mh x JOIN mh y ON x.i =
     + _lines("SELECT 0 AS o1, '' AS o2, 'fingerprint_db version=1 entries=' || count(*) AS line FROM db UNION ALL SELECT 1, source_path, '  ' || program_id || ' ngrams=' || ngram_count || ' simhash=' || simhash || ' path=' || source_path FROM db"),
     "cli_errors": """
 SELECT * FROM (VALUES ('compare', 1, 'error: not a valid elf: bad magic'), ('fingerprint', 1, 'error: not a valid elf: bad magic'),
-  ('report', 1, 'error: no opcode n-grams extracted from bytecode'), ('index', 1, 'error: no opcode n-grams extracted from bytecode'), ('good', 0, '')) v(command, code, message)
+  ('report', 1, 'error: no opcode n-grams extracted from bytecode'), ('index', 1, 'error: no ngrams extracted from few/short.so'), ('good', 0, '')) v(command, code, message)
 """,
     "lsh_configs": """
 SELECT CAST(b AS INTEGER) AS bands, CASE WHEN b > 0 AND 128 % b = 0 THEN CAST(128 // b AS INTEGER) ELSE 0 END AS rows_per_band,
@@ -300,6 +315,19 @@ las AS (SELECT program_id, arg_max(source_path, pos) AS source_path, arg_max(ngr
 SELECT program_id, source_path, ngram_count, normalized_len, simhash, pos AS place FROM pl WHERE mine AND program_id NOT IN (SELECT program_id FROM las)
 UNION ALL SELECT las.program_id, las.source_path, las.ngram_count, las.normalized_len, las.simhash, coalesce(o.pos, (SELECT coalesce(max(pos), -1) FROM pl WHERE mine) + 1 + las.first)
 FROM las LEFT JOIN pl o ON o.mine AND o.program_id = las.program_id
+""",
+    "stored_catalog": _with(*_TURN_GRAMS, _SIM, _COUNTS, _CATALOG) + """,
+pl AS (SELECT *, CAST(program_id AS BIGINT) * 1000 + turn AS pos, turn = 0 AND CAST(program_id AS BIGINT) % 3 <> 0 AS mine FROM ent),
+las AS (SELECT * FROM pl WHERE NOT mine QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY pos DESC) = 1)
+SELECT program_id, source_path, ngram_count, normalized_len, simhash FROM pl WHERE mine AND program_id NOT IN (SELECT program_id FROM las)
+UNION ALL SELECT program_id, source_path, ngram_count, normalized_len, simhash FROM las
+""",
+    "stored_index": _with(*_TURN_GRAMS, _minhash(128), _bands(8), _STORED) + " SELECT program_id, band, bucket_key FROM sx",
+    "stored_search": _with(*_TURN_GRAMS, _minhash(128), _bands(8), _STORED) + """,
+cd AS (SELECT q.program_id AS query_id, sx.program_id, sx.origin, min(sx.band) AS band FROM sx JOIN bu q USING (band, bucket_key)
+       WHERE CAST(split_part(q.program_id, '-', 1) AS BIGINT) % 50 = 0 GROUP BY ALL),
+sc AS (SELECT query_id, cd.program_id, band, (SELECT count(*) FROM mh x JOIN mh y ON x.i = y.i AND x.v = y.v WHERE x.program_id = query_id AND y.program_id = origin) / 128.0 AS score FROM cd)
+SELECT query_id, program_id, CAST(score AS DOUBLE) AS score, band FROM sc WHERE score >= 0.3
 """,
     "catalog_lookup": _with(*_TURN_GRAMS, _SIM, _COUNTS, _CATALOG) + f" {_LIST} ent WHERE program_id = '7' QUALIFY row_number() OVER (ORDER BY turn DESC) = 1",
     "compare_stored": _with(*_TURN_GRAMS, _minhash(128), _SIM, _COUNTS, """

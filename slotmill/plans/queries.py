@@ -200,7 +200,7 @@ def empty_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejections(documents(spark, sf_dir))
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turn_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog row a turn, under the id of its conversation: ids repeat."""
     c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("program_id"))
     plain = turns(spark, sf_dir).where(~F.contains("program_id", F.lit("~")))
@@ -213,19 +213,19 @@ def _listed(rows: DataFrame, *more: str) -> DataFrame:
 
 
 def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(catalog.upsert(_entries(spark, sf_dir), "turn"))
+    return _listed(catalog.upsert(turn_entries(spark, sf_dir), "turn"))
 
 
 def catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First turns of two conversations of three as the primary catalog; all other turns as the
     secondary, whose ids repeat. Places follow conversations and turns."""
-    e = _entries(spark, sf_dir).withColumn("place", F.col("program_id").cast("long") * 1000 + F.col("turn"))
+    e = turn_entries(spark, sf_dir).withColumn("place", F.col("program_id").cast("long") * 1000 + F.col("turn"))
     first = (F.col("turn") == 0) & (F.col("program_id").cast("long") % 3 != 0)
     return _listed(catalog.merge(e.where(first).drop("turn"), e.where(~first).drop("turn"), "place"), "place")
 
 
 def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(catalog.find(catalog.upsert(_entries(spark, sf_dir), "turn"), "7"))
+    return _listed(catalog.find(catalog.upsert(turn_entries(spark, sf_dir), "turn"), "7"))
 
 
 def compare_stored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import subprocess
 import sys
 
 import model
+import pyarrow as pa
 import pytest
 from conftest import ROOT, SMALL, duck, rows_of
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from slotmill.operators.components import components
 from slotmill.operators.fingerprint import features, fingerprints, ngram_total
 from slotmill.operators.hashing import feature_hash, minhash_long, permuted_hash, simhash_long
 from slotmill.operators.similarity import compared, estimate_pairs, exact_pairs, search, set_classes, signature_classes
-from slotmill.plans import registry
+from slotmill.plans import durable, registry
 from slotmill.plans.durable import Scratch, cut
 from slotmill.sources.elf import LoadError, text_section
 from slotmill.sources.files import load_paths, read_store, scan_directory, with_ids
@@ -121,6 +122,37 @@ def test_works_without_the_corpus_operators(tmp_path):
         assert said.returncode == 0 and int(said.stdout) == len(registry.QUERIES), said.stderr
 
 
+def test_an_import_that_fails_leaves_the_rest(tmp_path):
+    """A corpus module that is there but can't be imported takes no other query with it."""
+    tree = tmp_path / "tree"
+    shutil.copytree(ROOT, tree, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache"))
+    (tree / "slotmill/llm").mkdir()
+    (tree / "slotmill/llm/__init__.py").write_text("")
+    (tree / "slotmill/llm/queries.py").write_text("import no_such_library\n")
+    code = "import __spark_entry__ as e; from slotmill.plans import registry; assert set(e.queries()) == set(registry.QUERIES); print(len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tree, env=os.environ | {"PYTHONPATH": str(tree)}, capture_output=True, text=True)
+    assert said.returncode == 0 and int(said.stdout) == len(registry.ORACLE_SQL), said.stderr
+
+
+def test_files_need_a_mounted_folder(spark, monkeypatch):
+    """A shared folder that only Spark reaches isn't taken for a local one."""
+    monkeypatch.setattr(durable, "checkpoint_dir", lambda _: "hdfs://host/shared")
+    with pytest.raises(ValueError, match="hdfs:"):
+        durable.scratch_folder(spark, "files")
+    monkeypatch.setattr(durable, "checkpoint_dir", lambda _: "file:///mnt/shared")
+    assert durable.scratch_folder(spark, "files").startswith("/mnt/shared/slotmill-files-")
+
+
+def test_streams_are_unpacked_by_bytes():
+    from slotmill.operators import fingerprint
+
+    texts = [b"x" * 3_000_000, b"y" * 3_000_000, None, *[b"z"] * 200, b"w" * 9_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), pa.array(texts, pa.binary())], ["program_id", "text"])
+    got = [(part.column("program_id").to_pylist(), some) for part, some in fingerprint._texts(iter([batch]))]
+    assert [i for ids, _ in got for i in ids] == [str(i) for i in range(len(texts))] and [t for _, some in got for t in some] == [t or b"" for t in texts]
+    assert all(len(some) <= fingerprint.ROWS and (len(some) == 1 or sum(map(len, some)) <= fingerprint.BYTES) for _, some in got)
+
+
 def test_tables_of_a_scope_go_with_it(spark):
     made = []
     with pytest.raises(RuntimeError), Scratch():
@@ -295,6 +327,12 @@ def test_catalog_round_trip(spark, tree):
     back = catalog.load_json(spark, path)
     one = catalog.entry_of_file(spark, str(tree / "bin/prog_a.so"), "other").first()
     assert (one.program_id, one.ngram_count) == ("other", 29)
+    quick = cli.quick_compare(spark, str(tree / "bin/prog_a.so"), str(tree / "bin/sub/prog_c.so"))
+    assert quick.tier == "distinct" and quick.ngram_count_a == 29
+    (tree / "few").mkdir()
+    (tree / "few/short.so").write_bytes(model.elf(model.sample(1)[:16]))
+    with pytest.raises(Exception, match="no ngrams extracted from .*few/short.so"):
+        catalog.entry_of_file(spark, str(tree / "few/short.so"), "other").collect()
     assert lsh.index_directory(spark, str(tree / "bin"), 8).count() == 5 * 8
     key = lambda r: (r.program_id, r.source_path, r.ngram_count, r.normalized_len, r.simhash, r.minhash, sorted(r.ngram_sample))
     assert sorted(map(key, back.collect())) == sorted(map(key, rows.collect()))
@@ -303,7 +341,7 @@ def test_catalog_round_trip(spark, tree):
     with pytest.raises(Exception, match="lacks a field"):
         catalog.load_json(spark, str(tree / "broken.json")).collect()
     (tree / "bin/short.so").write_bytes(model.elf(model.sample(1)[:16]))
-    with pytest.raises(ValueError, match="no opcode n-grams"):
+    with pytest.raises(ValueError, match="no ngrams extracted from .*short.so"):
         catalog.scan(spark, str(tree / "bin"))
     assert catalog.scan(spark, str(tree / "bin"), strict=False).count() == 5
     assert catalog.empty(spark).isEmpty() and catalog.merge(catalog.empty(spark), rows).count() == 5
