@@ -26,3 +26,19 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if nxt.where("label <> was").isEmpty():
             return nxt.select("node", "label")
         labels = nxt.select("node", "label")
+
+
+def extended(labels: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """(node, label) of the graph that `labels` (of `components`, or of this) stands for, with new `edges`.
+
+    Only labels are read again, no old edge: new edges become edges between the labels of their
+    ends, whose components are few and small, and a label then stands for the least of its component.
+    """
+    of = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}"))
+    ends = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    lifted = cut(ends.select("a", "b", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y")), f"{name}-ends")
+    joined = components(lifted.select(F.col("x").alias("a"), F.col("y").alias("b")), name).select(F.col("node").alias("was"), F.col("label").alias("now"))
+    # New nodes, each under what stood for it so far: itself, as nothing knew it. A loop names no node, as in `components`.
+    new = lifted.where("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    every = labels.select("node", "label").union(new)
+    return cut(every.join(joined, every.label == joined.was, "left").select("node", F.coalesce("now", "label").alias("label")), f"{name}-labels")

@@ -1,4 +1,4 @@
-"""Catalogs and LSH indexes as tables in a folder that grow by snapshots.
+"""Catalogs, fingerprints and LSH indexes as tables in a folder that grow by snapshots.
 
 A snapshot is a manifest: which folders of Parquet files hold the data. Data are written first,
 under names no manifest has yet; then the manifest appears by one rename, which fails if
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import cut
 from . import catalog, lsh
+from .fingerprint import fingerprints, normalized
+from .kernels import HASHES, NGRAM
 from .similarity import estimate
 
 #: Buckets of ids, and parts of a band by the leading bits of its keys, that a new store has.
@@ -191,6 +193,52 @@ class StoredCatalog:
         return self.rows().count()
 
 
+_PRINTS = "program_id string, ngram_count long, normalized_len long, minhash array<long>, simhash long, ngrams array<long>"
+
+
+@dataclass(frozen=True)
+class StoredPrints:
+    """Fingerprints by content: one row for each different normalized (or raw) stream, under its SHA-256.
+
+    Equal streams are hashed once, and streams of earlier calls not again. A folder belongs to
+    one n-gram size, signature length and normalization.
+    """
+
+    store: Store
+
+    @classmethod
+    def create(cls, spark: SparkSession, root: str, n: int = NGRAM, k: int = HASHES, raw: bool = False, buckets: int = BUCKETS) -> StoredPrints:
+        return cls(Store(Folder(spark, root)).next({"n": n, "k": k, "raw": raw, "buckets": buckets, "parts": {}}))
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, snapshot: int | None = None) -> StoredPrints:
+        return cls(Store.open(spark, root, snapshot))
+
+    @property
+    def prints(self) -> Buckets:
+        m = self.store.manifest
+        return Buckets(self.store.folder, _PRINTS, m["buckets"], m["parts"])
+
+    def of(self, programs: DataFrame) -> tuple[DataFrame, StoredPrints]:
+        """`fingerprints(programs)` (program_id, text), bit for bit, and the snapshot that knows all of
+        their streams: the same one if it knew them before, and then nothing is hashed or written."""
+        m = self.store.manifest
+        plain = programs.select("program_id", "text") if m["raw"] else normalized(programs).select("program_id", F.col("normalized").alias("text"))
+        streams = cut(plain.select("program_id", F.coalesce("text", F.lit(b"")).alias("text")).withColumn("content", F.sha2("text", 256)), "streams")
+        contents = cut(streams.select(F.col("content").alias("program_id")).distinct(), "contents")
+        touched = self.prints.touched(contents)
+        known = self.prints.rows(touched)
+        new = contents.join(known.select("program_id"), "program_id", "left_anti")
+        after = self
+        if not new.isEmpty():
+            fresh = streams.join(new, F.col("content") == new["program_id"], "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+            made = cut(fingerprints(fresh.select(F.col("content").alias("program_id"), "text"), m["n"], m["k"], None, "keep"), "fresh")
+            parts = self.prints.touched(made)
+            after = StoredPrints(self.store.next(m | {"parts": self.prints.written(self.prints.rows(parts).unionByName(made), parts).parts}))
+        rows = after.prints.rows(touched).where("ngram_count > 0").withColumnRenamed("program_id", "content")
+        return streams.select("program_id", "content").join(rows, "content").select("program_id", "ngram_count", "normalized_len", "minhash", "simhash", "ngrams"), after
+
+
 _SIGNATURES = "program_id string, minhash array<long>"
 _ENTRIES = "program_id string, bucket_key long, band int, prefix int"
 

@@ -1,49 +1,81 @@
 """Programs from files: directory scans and single paths.
 
 Spark's `binaryFile` source hides names that begin with a dot or an underscore and drops empty
-files, so local trees are listed by the driver and read by the executors from a path they all
-see. Stores that only Spark reads go through `read_store`.
+files, so mounted trees are listed and read by the executors, from a path they all see: folders
+level by level, of files only the headers and the executable section. Stores that only
+Spark reads go through `read_store`.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .elf import LoadError, entry_offset, text_section
+from ..plans.durable import cut
+from .elf import FileBytes, LoadError, entry_offset, text_section
 
 SCHEMA = "path string, text binary, entry_offset long, load_error string"
-#: Paths a task reads.
-PATHS_A_TASK = 256
+#: Paths a task reads; names of a folder that are sent on at a time.
+PATHS_A_TASK, NAMES = 256, 4096
 #: Fixed value: the id of a program whose file name can't be read as text.
 UNKNOWN = "unknown"
 
 
-def list_files(directory: str) -> list[bytes]:
-    """Regular files below `directory`, by path, as the system spells them; unreadable folders are
-    passed over, links to folders aren't followed."""
-    found = (os.path.join(top, name) for top, _, names in os.walk(os.fsencode(directory)) for name in names)
-    return sorted(p for p in found if os.path.isfile(p))
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What folders hold: (raw, is_folder) of regular files, links to such, and folders."""
+    for batch in batches:
+        for folder in batch.column("raw").to_pylist():
+            found: list[tuple[bytes, bool]] = []
+            try:
+                with os.scandir(folder) as entries:
+                    for e in entries:
+                        if e.is_dir(follow_symlinks=False):
+                            found.append((e.path, True))
+                        elif os.path.isfile(e.path):
+                            found.append((e.path, False))
+            except OSError:
+                pass
+            for at in range(0, len(found), NAMES):
+                part = found[at : at + NAMES]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.binary()), pa.array([d for _, d in part], pa.bool_())], ["raw", "is_folder"])
+
+
+def listed_files(spark: SparkSession, directory: str) -> DataFrame:
+    """(raw): paths of the regular files below `directory`, as the system spells them.
+
+    Executors list it level by level, a table each: the driver holds no path but the first.
+    Unreadable folders are passed over, links to folders aren't followed.
+    """
+    files = spark.createDataFrame([], "raw binary")
+    folders = spark.createDataFrame([(bytearray(os.fsencode(directory)),)], "raw binary")
+    while not folders.isEmpty():
+        level = cut(folders.mapInArrow(_listed, "raw binary, is_folder boolean"), "listed")
+        files = files.union(level.where("not is_folder").select("raw"))
+        # Dealt out by name: a folder's folders stand together.
+        folders = level.where("is_folder").select("raw").repartition(spark.sparkContext.defaultParallelism, "raw")
+    return files
 
 
 def _program(path: str, read) -> tuple[str, bytes | None, int | None, str | None]:
     try:
-        data = read(path)
-        return path, text_section(data), entry_offset(data), None
+        with read(path) as data:
+            return path, text_section(data), entry_offset(data), None
     except OSError as e:
         return path, None, None, f"io error: {e}"
     except LoadError as e:
         return path, None, None, str(e)
 
 
-def _bytes(path: bytes) -> bytes:
+@contextmanager
+def _opened(path: bytes) -> Iterator[FileBytes]:
     with open(path, "rb") as f:
-        return f.read()
+        yield FileBytes(f.fileno())
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -54,13 +86,13 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw in batch.column("raw").to_pylist():
-            yield _rows([_program(raw.decode("utf-8", "replace"), lambda _, raw=raw: _bytes(raw))])
+            yield _rows([_program(raw.decode("utf-8", "replace"), lambda _, raw=raw: _opened(raw))])
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            yield _rows([_program(path, lambda _, data=data: data)])
+            yield _rows([_program(path, lambda _, data=data: nullcontext(data))])
 
 
 def load_paths(spark: SparkSession, paths: Sequence[str | bytes]) -> DataFrame:
@@ -95,7 +127,10 @@ def save_images(images: DataFrame, folder: str) -> int:
 
 
 def scan_directory(spark: SparkSession, directory: str) -> DataFrame:
-    return load_paths(spark, list_files(directory))
+    """As `load_paths`, of all files below a mounted folder."""
+    found = cut(listed_files(spark, directory), "files")
+    tasks = max(1, -(-found.count() // PATHS_A_TASK))
+    return found.repartition(tasks, "raw").mapInArrow(_read, SCHEMA)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import os
 import random
 import shutil
+import struct
 import subprocess
 import sys
 
@@ -18,13 +19,13 @@ from slotmill import cli
 from slotmill.functions.u64 import fnv_words, from_decimal, from_hex16, hex16, ordered, signed, to_decimal
 from slotmill.operators import catalog, lsh
 from slotmill.operators.cluster import cluster_members, clusters
-from slotmill.operators.components import components
+from slotmill.operators.components import components, extended
 from slotmill.operators.fingerprint import features, fingerprints, ngram_total
 from slotmill.operators.hashing import feature_hash, minhash_long, permuted_hash, simhash_long
 from slotmill.operators.similarity import compared, estimate_pairs, exact_pairs, search, set_classes, signature_classes
 from slotmill.plans import durable, registry
 from slotmill.plans.durable import Scratch, cut
-from slotmill.sources.elf import LoadError, text_section
+from slotmill.sources.elf import FileBytes, LoadError, text_section
 from slotmill.sources.files import load_paths, read_store, scan_directory, with_ids
 
 
@@ -285,6 +286,42 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert got == {n: model.components(nodes, [p for p in links if 5 not in p])[n] for n in nodes}
 
 
+def test_components_grow_by_new_edges(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(400, 460)]
+    rng.shuffle(edges)
+    frame = lambda some: spark.createDataFrame(some, "a long, b long")
+    labels, upto = components(frame(edges[:100]), "grow"), 100
+    for more in (60, 1, 159):
+        labels, upto = extended(labels, frame(edges[upto : upto + more]), "grow"), upto + more
+        some = [p for p in edges[:upto] if p[0] != p[1]]
+        want = model.components({n for p in some for n in p}, some)
+        assert {r.node: r.label for r in labels.collect()} == want
+    assert {r.node: r.label for r in extended(labels, frame(edges).where("false"), "grow").collect()} == want
+
+
+def test_only_headers_and_code_of_a_file_are_read(spark, tmp_path):
+    """A file whose code lies behind 6 GB of other data, most of which is a hole."""
+    code = model.sample(5)
+    far = 6_000_000_000
+    header = b"\x7fELF\x02\x01\x01" + bytes(9) + struct.pack("<HHIQQQIHHHHHH", 2, 247, 1, 0, 0, 64, 0, 64, 0, 0, 64, 2, 0)
+    sections = bytes(64) + struct.pack("<IIQQQQIIQQ", 0, 1, 6, 0, far, len(code), 0, 0, 0, 0)
+    path = tmp_path / "tree/deep/er/large.so"
+    path.parent.mkdir(parents=True)
+    with open(path, "wb") as f:
+        f.write(header + sections)
+        f.seek(far)
+        f.write(code)
+    with open(path, "rb") as f:
+        data = FileBytes(f.fileno())
+        assert text_section(data) == code and data.read < 300_000
+    (tmp_path / "tree/none").mkdir()
+    (tmp_path / "tree/to").symlink_to(tmp_path / "tree/deep", target_is_directory=True)
+    rows = scan_directory(spark, str(tmp_path / "tree")).collect()
+    assert [(r.path, bytes(r.text), r.load_error) for r in rows] == [(str(path), code, None)]
+    assert scan_directory(spark, str(tmp_path / "tree/none")).isEmpty() and scan_directory(spark, "/no/such/folder").isEmpty()
+
+
 def test_elf_sections():
     text = model.sample(1)
     for wide in (True, False):

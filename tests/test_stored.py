@@ -131,3 +131,22 @@ def test_json_in_splits_and_parts(spark, tmp_path):
     flat = tmp_path / "flat.json"
     flat.write_text(json.dumps(json.loads(joined)))
     assert listed(catalog.Catalog.load(spark, str(flat)).rows) == listed(rows)
+
+
+def test_equal_streams_are_hashed_once(spark, tmp_path, monkeypatch):
+    from slotmill.operators.fingerprint import fingerprints
+
+    texts = [bytes(range(i, i + 80)) for i in range(12)]
+    rows = [(f"p{i}", texts[i % 12]) for i in range(30)] + [("tiny", b"x"), ("null", None)]
+    programs = spark.createDataFrame(rows, "program_id string, text binary")
+    hashed = []
+    monkeypatch.setattr(stored, "fingerprints", lambda some, *rest: hashed.append(some.count()) or fingerprints(some, *rest))
+    store = stored.StoredPrints.create(spark, str(tmp_path / "prints"), k=16, buckets=4)
+    plain = lambda df: sorted((r.program_id, r.ngram_count, r.normalized_len, r.minhash, r.simhash, r.ngrams) for r in df.collect())
+    first, store = store.of(programs)
+    assert plain(first) == plain(fingerprints(programs, k=16)) and hashed[0] <= 13
+    second, again = stored.StoredPrints.open(spark, str(tmp_path / "prints")).of(programs.where("program_id <> 'p3'"))
+    assert len(hashed) == 1 and again.store.number == store.store.number and second.count() == 29
+    more = programs.union(spark.createDataFrame([("other", bytes(range(100, 180)))], "program_id string, text binary"))
+    third, _ = store.of(more)
+    assert hashed[1:] == [1] and plain(third) == plain(fingerprints(more, k=16))
