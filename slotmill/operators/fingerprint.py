@@ -141,6 +141,18 @@ def fingerprints(programs: DataFrame, n: int = NGRAM, k: int = HASHES, config: N
     return out.where("ngram_count > 0")
 
 
+def fingerprints_once(programs: DataFrame, n: int = NGRAM, k: int = HASHES, config: NormalizeConfig | None = DEFAULT) -> DataFrame:
+    """As `fingerprints`, with equal streams hashed once: streams meet by their SHA-256. For tables with
+    copies, as hashing takes far longer than moving a stream; `programs` is read twice."""
+    named = programs.select("program_id", F.coalesce("text", F.lit(b"")).alias("text")).withColumn("content", F.sha2("text", 256))
+    # As many tasks as there may be: adaptive execution would count bytes, which are few beside the work.
+    spark = programs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    streams = named.repartition(tasks, "content").groupBy("content").agg(F.first("text").alias("text")).select(F.col("content").alias("program_id"), "text")
+    rows = fingerprints(streams, n, k, config).withColumnRenamed("program_id", "content")
+    return named.select("program_id", "content").join(rows, "content").select("program_id", "ngram_count", "normalized_len", "minhash", "simhash", "ngrams")
+
+
 def rejections(programs: DataFrame, n: int = NGRAM, config: NormalizeConfig | None = DEFAULT) -> DataFrame:
     """(program_id, error) of the streams that `fingerprints` fails on with `empty="error"`."""
     return feature_sets(programs, n, config).where(F.size("ngrams") == 0).select("program_id", F.lit(NO_NGRAMS).alias("error"))

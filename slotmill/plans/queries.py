@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.u64 import hex16
 from ..operators import catalog, lsh
 from ..operators.cluster import cluster_members, cluster_table
-from ..operators.fingerprint import feature_sets, features, fingerprints, looked_up, ngram_total, normalized, rejections, slots
+from ..operators.fingerprint import feature_sets, features, fingerprints, fingerprints_once, looked_up, ngram_total, normalized, rejections, slots
 from ..operators.similarity import compare_stored as stored_against_live
 from ..operators.similarity import batch_against_all, compared, estimate_pairs, exact_pairs, one_against_all, search, set_classes, signature_classes, signature_text
 from ..sources.files import text_programs
@@ -62,7 +62,7 @@ def user_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _prints(programs: DataFrame, **options) -> DataFrame:
     """Fingerprints as a table: hashing is dear, and the queries read them more than once."""
-    return cut(fingerprints(programs, **options), "prints")
+    return cut(fingerprints_once(programs, **options), "prints")
 
 
 def slots_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,11 +117,11 @@ def jaccard_exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_estimate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimate_pairs(cut(signature_classes(fingerprints(turns(spark, sf_dir))), "classes"), 0.5, K)
+    return estimate_pairs(cut(signature_classes(fingerprints_once(turns(spark, sf_dir))), "classes"), 0.5, K)
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimate_pairs(cut(signature_classes(fingerprints(documents(spark, sf_dir))), "classes"), 0.5, K)
+    return estimate_pairs(cut(signature_classes(fingerprints_once(documents(spark, sf_dir))), "classes"), 0.5, K)
 
 
 def _next_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
