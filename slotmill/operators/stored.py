@@ -3,7 +3,8 @@
 A snapshot is a manifest: which folders of Parquet files hold the data. Data are written first,
 under names no manifest has yet; then the manifest appears by one rename, which fails if
 another writer was first. So readers see whole snapshots, a failed writer leaves only files that
-nobody reads, and old snapshots stay readable until `forget`.
+nobody reads, and old snapshots stay readable until `forget`. The store must rename atomically,
+as HDFS and mounted file systems do; two writers of one folder are told apart by its listing.
 
 Neither the driver nor a task sees all entries: the driver handles bucket numbers and folders.
 """
