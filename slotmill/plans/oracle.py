@@ -244,6 +244,11 @@ WHERE CAST(split_part(x.program_id, '-', 1) AS BIGINT) % 50 = 0 GROUP BY x.progr
 SELECT query_id, cd.program_id, CAST(count(*) / 128.0 AS DOUBLE) AS score, any_value(band) AS band FROM cd JOIN mh x ON x.program_id = query_id JOIN mh y ON y.program_id = cd.program_id AND x.i = y.i AND x.v = y.v
 GROUP BY query_id, cd.program_id HAVING count(*) / 128.0 >= 0.6
 """,
+    "lsh_documents": _with(*_DOC_GRAMS, _minhash(128), _bands(16), _QUERIES) + """
+SELECT query_id, cd.program_id, CAST(count(*) / 128.0 AS DOUBLE) AS score, any_value(band) AS band FROM cd JOIN mh x ON x.program_id = query_id JOIN mh y ON y.program_id = cd.program_id AND x.i = y.i AND x.v = y.v
+GROUP BY query_id, cd.program_id HAVING count(*) / 128.0 >= 0.3
+""",
+    "cluster_document_summary": _with(_DOCS, _SLOTS, _RAW, _GRAMS, _minhash(128)) + _REACH + _GROUPS + " SELECT * FROM clm",
     "cluster_summary": _with(_TURNS, _SLOTS, _RAW, _GRAMS, _minhash(128)) + _REACH + _GROUPS + " SELECT * FROM clm",
     "batch_compare": _with(*_TURN_GRAMS, _minhash(128), _SIM, _COUNTS, " pr AS (SELECT x.program_id AS a, y.program_id AS b, y.program_id AS b2 FROM prog x JOIN prog y ON x.program_id <> y.program_id WHERE CAST(split_part(x.program_id, '-', 1) AS BIGINT) % 50 = 0)", _report(128))
     + " SELECT * FROM rep WHERE jaccard_estimate >= 0.1",

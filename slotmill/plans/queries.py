@@ -177,6 +177,17 @@ def cluster_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_members(_prints(documents(spark, sf_dir), config=None).select("program_id", "minhash"), 0.5, K)
 
 
+def cluster_document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of documents by size, with the average over all pairs of their members."""
+    return cluster_table(_prints(documents(spark, sf_dir), config=None), 0.5, K)
+
+
+def lsh_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id is divisible by 50, searched among all documents at 0.3 or more."""
+    prints = _prints(documents(spark, sf_dir))
+    return lsh.search(prints, _queried(prints), lsh.LshConfig.of(K), 0.3)
+
+
 def batch_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query programs against all others, at 0.1 or more."""
     prints = _prints(turns(spark, sf_dir))

@@ -34,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q.exact_query,
         q.cluster_summary,
         q.cluster_documents,
+        q.cluster_document_summary,
+        q.lsh_documents,
         q.batch_compare,
         q.one_against_every,
         q.register_lookup,
