@@ -211,11 +211,22 @@ def _lines(parts: str) -> str:
     return f" SELECT row_number() OVER (ORDER BY o1, o2) - 1 AS line_no, line FROM ({parts})"
 
 
+def _prints_sql(*grams: str) -> str:
+    return _with(*grams, _minhash(128), _SIM, _COUNTS) + f"""
+SELECT c.program_id, c.n AS ngram_count, l.n AS normalized_len, m.minhash, {_hex("simhash")} AS simhash FROM cnt c
+JOIN (SELECT program_id, 8 * count(*) AS n FROM kept GROUP BY program_id) l ON l.program_id = c.program_id
+JOIN (SELECT program_id, string_agg(v, ',' ORDER BY i) AS minhash FROM mh GROUP BY program_id) m ON m.program_id = c.program_id
+JOIN sh ON sh.program_id = c.program_id
+"""
+
+
 ORACLE_SQL = {
     "slots_decode": _with(_DOCS, _SLOTS) + " SELECT program_id, CAST(i AS INTEGER) AS i, opcode, dst, src, CAST(opcode * 65536 + dst * 256 + src AS INTEGER) AS token FROM dec",
     "ngram_total_count": _with(_DOCS) + " SELECT program_id, CAST(greatest(0, length(t) // 16 - 2) AS BIGINT) AS n_grams FROM prog",
     "normalize_documents": _normal_sql(_DOCS, ""),
     "normalize_streams": _normal_sql(_USERS, ", coalesce(b.h, '') AS normalized"),
+    "normalize_documents_native": _normal_sql(_DOCS, ""),
+    "normalize_native": _normal_sql(_USERS, ", coalesce(b.h, '') AS normalized"),
     "ngrams_distinct": _with(_DOCS, _SLOTS, _RAW, _GRAMS) + f" SELECT program_id, {_hex('f')} AS feature FROM gram",
     "ngram_count": _with(_DOCS, _SLOTS, _RAW, _GRAMS) + " SELECT p.program_id, count(f) AS n_grams FROM prog p LEFT JOIN gram g ON g.program_id = p.program_id GROUP BY p.program_id",
     "normalized_ngram_count": _with(_USERS, _SLOTS, _NORMAL, _NTOK, _GRAMS) + " SELECT p.program_id, count(f) AS n_grams FROM prog p LEFT JOIN gram g ON g.program_id = p.program_id GROUP BY p.program_id",
@@ -224,13 +235,8 @@ ORACLE_SQL = {
     "jaccard_exact_pairs": _exact_sql(_with(_DOCS, _SLOTS, _NORMAL, _NTOK, _GRAMS, " it AS (SELECT program_id AS key, f AS item FROM gram)")),
     "jaccard_estimate_pairs": _estimate_sql(*_TURN_GRAMS),
     "document_pairs": _estimate_sql(*_DOC_GRAMS),
-    "fingerprint_documents": _with(*_DOC_GRAMS, _minhash(128), _SIM, _COUNTS)
-    + f"""
-SELECT c.program_id, c.n AS ngram_count, l.n AS normalized_len, m.minhash, {_hex("simhash")} AS simhash FROM cnt c
-JOIN (SELECT program_id, 8 * count(*) AS n FROM kept GROUP BY program_id) l ON l.program_id = c.program_id
-JOIN (SELECT program_id, string_agg(v, ',' ORDER BY i) AS minhash FROM mh GROUP BY program_id) m ON m.program_id = c.program_id
-JOIN sh ON sh.program_id = c.program_id
-""",
+    "fingerprint_documents": _prints_sql(*_DOC_GRAMS),
+    "fingerprint_native": _prints_sql(*_TURN_GRAMS),
     "cluster_documents": _with(_DOCS, _SLOTS, _RAW, _GRAMS, _minhash(128)) + _REACH + " SELECT program_id, label FROM lab",
     "compare_report": _with(*_TURN_GRAMS, _minhash(128), _SIM, _COUNTS, _NEXT, _report(128)) + " SELECT * FROM rep",
     "tier_counts": _with(*_TURN_GRAMS, _minhash(128), _SIM, _COUNTS, _NEXT, _report(128)) + " SELECT tier, count(*) AS n FROM rep GROUP BY tier",

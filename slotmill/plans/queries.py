@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.u64 import hex16
-from ..operators import catalog, lsh
+from ..operators import catalog, lsh, native
 from ..operators.cluster import cluster_members, cluster_table
 from ..operators.fingerprint import feature_sets, features, fingerprints, fingerprints_once, looked_up, ngram_total, normalized, rejections, slots
 from ..operators.similarity import compare_stored as stored_against_live
@@ -73,8 +73,8 @@ def ngram_total_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_total(documents(spark, sf_dir))
 
 
-def _normal_report(programs: DataFrame) -> DataFrame:
-    n = normalized(programs)
+def _normal_report(programs: DataFrame, way=normalized) -> DataFrame:
+    n = way(programs)
     remap = F.array_join(F.transform("register_remap", lambda r: F.concat_ws(">", r["old"], r["new"])), ",")
     return n.select("program_id", "original_len", F.octet_length("normalized").cast("long").alias("normalized_len"), "removed_instructions", "compression_ratio", remap.alias("remap"), F.hex("normalized").alias("normalized"))
 
@@ -87,6 +87,21 @@ def normalize_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normal_report(user_streams(spark, sf_dir))
 
 
+def normalize_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of users, normalized without Python."""
+    return _normal_report(user_streams(spark, sf_dir), native.normalized)
+
+
+def normalize_documents_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normal_report(documents(spark, sf_dir), native.normalized).drop("normalized")
+
+
+def fingerprint_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of turns, normalized, cut in n-grams and hashed without Python."""
+    p = native.fingerprints(turns(spark, sf_dir))
+    return p.select("program_id", "ngram_count", "normalized_len", signature_text(F.col("minhash")).alias("minhash"), hex16(F.col("simhash")).alias("simhash"))
+
+
 def ngrams_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(documents(spark, sf_dir), config=None).select("program_id", hex16(F.col("feature")).alias("feature"))
 

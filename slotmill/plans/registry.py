@@ -17,12 +17,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q.ngram_total_count,
         q.normalize_documents,
         q.normalize_streams,
+        q.normalize_native,
+        q.normalize_documents_native,
         q.ngrams_distinct,
         q.ngram_count,
         q.normalized_ngram_count,
         q.minhash_signature,
         q.simhash,
         q.fingerprint_documents,
+        q.fingerprint_native,
         q.jaccard_exact_pairs,
         q.jaccard_estimate_pairs,
         q.document_pairs,
