@@ -6,7 +6,9 @@ notice counts, too. Its features are the distinct word n-grams (one to three wor
 are in the vocabulary: the n-grams of the licence templates below. A multinomial logistic
 regression, fitted on the driver to varied templates and to a bounded sample of paragraphs of
 the corpus, gives weights for every family and for the class `unknown`; small weights are
-dropped, and a temperature fitted on held-out examples calibrates the probabilities. A
+dropped. Held-out examples, paragraphs of the corpus among them, calibrate it: they are weighted
+to the share of licences among the sampled paragraphs, the bias of `unknown` is the one at which
+its mean probability over them is its share, and the temperature the one of the least loss. A
 paragraph predicted as a family is confirmed if it contains most n-grams of one of that
 family's templates.
 
@@ -75,8 +77,8 @@ CLASSES = (*FAMILIES, "unknown")
 GRAMS = (1, 2, 3)
 #: Documents whose paragraphs serve as background, and paragraphs kept of them, at most.
 BACKGROUND_DOCS, BACKGROUND = 200, 600
-#: Log-odds by which `unknown` leads where there is no evidence.
-HEAD_START = 3.0
+#: Temperatures tried by the calibration.
+TEMPERATURES = tuple(2.0 ** (k / 4) for k in range(-8, 9))
 #: Variants of each template, rounds and step of the fit, weight decay, least weight kept, least share of a template.
 VARIANTS, EPOCHS, STEP, DECAY, LEAST_WEIGHT, CONFIRM = 14, 250, 0.1, 2e-3, 0.05, 0.7
 #: Paragraphs that stand in for the background where the corpus has none.
@@ -122,7 +124,9 @@ class Classifier:
         held = np.arange(len(rows)) % 4 == 0
         self.weights, self.bias = self._fit(x[~held], y[~held])
         self.weights[np.abs(self.weights) < LEAST_WEIGHT] = 0
-        self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0), key=lambda t: self._loss(x[held], y[held], t))
+        # Licences among the sampled paragraphs, with one of either kind added.
+        share = (sum(p not in plain for p in background) + 1) / (len(background) + 2)
+        self.temperature, self.bias[-1] = self._calibrated(x[held] @ self.weights, y[held], share)
         seen = {w: n for w, n in zip(*np.unique([w for p in plain for w in set(grams(p)) if " " not in w], return_counts=True), strict=True)}
         self.needed = self._needed(seen)
 
@@ -131,7 +135,7 @@ class Classifier:
 
         Each n-gram in favour of a family is reached through its rarest word. The commonest
         words are left out as long as all their n-grams together can't lift any family over
-        the head start that `unknown` has.
+        the lead that `unknown` has without evidence.
         """
         gain = np.maximum(self.weights[:, :-1] - self.weights[:, -1:], 0)
         through: dict[str, np.ndarray] = {}
@@ -153,8 +157,6 @@ class Classifier:
             d = (self._softmax(x @ w + b) - y) / len(x)
             w -= STEP * len(CLASSES) * (x.T @ d + DECAY * w / len(CLASSES))
             b -= STEP * d.sum(axis=0)
-        # Without any evidence a paragraph is unknown.
-        b[-1] = max(b[-1], b[:-1].max() + HEAD_START)
         return w, b
 
     @staticmethod
@@ -162,8 +164,21 @@ class Classifier:
         e = np.exp(s - s.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def _loss(self, x: np.ndarray, y: np.ndarray, t: float) -> float:
-        return float(-(y * np.log(self._softmax((x @ self.weights + self.bias) / t) + 1e-12)).sum())
+    def _calibrated(self, s: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+        """Temperature and bias of `unknown`, from held-out scores and classes, licences weighing `share` in all."""
+        unknown = y[:, -1] == 1
+        weight = np.where(unknown, (1 - share) / max(unknown.sum(), 1), share / max((~unknown).sum(), 1))
+        tried = []
+        for t in TEMPERATURES:
+            # Least first, as without any evidence a paragraph is unknown; the mean probability grows with the bias.
+            low = self.bias[:-1].max()
+            high = low + 64.0
+            for _ in range(50):
+                bias = (low + high) / 2
+                p = self._softmax((s + np.r_[self.bias[:-1], bias]) / t)
+                low, high = (bias, high) if weight @ (p[:, -1] - y[:, -1]) < 0 else (low, bias)
+            tried.append((float(-weight @ np.log((p * y).sum(axis=1) + 1e-12)), t, high))
+        return min(tried)[1:]
 
     def predict(self, text: str) -> tuple[str, float]:
         """Family (or unknown) and its probability, for one paragraph."""

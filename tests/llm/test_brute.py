@@ -303,6 +303,20 @@ def test_licences_equal_brute_force(spark):
     assert got == {i: model_licences(t, model) for i, t in enumerate(texts)}
 
 
+def test_unknown_is_calibrated():
+    """On held-out rows the mean probability of `unknown` is its share, whatever that is, and it leads without evidence."""
+    rng = np.random.default_rng(3)
+    model = licenses.Classifier([])
+    classes = np.r_[np.full(300, len(licenses.FAMILIES)), rng.integers(0, len(licenses.FAMILIES), 300)]
+    y = np.eye(len(licenses.CLASSES))[classes]
+    s = rng.normal(0, 1, y.shape) + 2 * y
+    for share in (0.5, 0.1, 0.01):
+        t, bias = model._calibrated(s, y, share)
+        p = model._softmax((s + np.r_[model.bias[:-1], bias]) / t)[:, -1]
+        assert abs(p[:300].mean() * (1 - share) + p[300:].mean() * share - (1 - share)) < 1e-6
+    assert t in licenses.TEMPERATURES and model.bias[-1] >= model.bias[:-1].max() and model.predict("")[0] == "unknown"
+
+
 def test_unseen_licence_wordings(spark):
     docs = spark.createDataFrame([(t, t) for t in UNSEEN], "doc_id string, text string")
     for model in (licenses.Classifier([]), licenses.train(table(spark, "documents"))):
