@@ -32,3 +32,45 @@ def test_streams_that_begin_alike_meet_and_tasks_follow_the_bytes(spark, monkeyp
     assert seen[0][1] >= seen[0][0] / 4_000 > 4
     plain = {r.program_id: r for r in fp.fingerprints(programs, config=None, empty="keep").collect()}
     assert got == plain and len(got) == 121
+
+
+def _driver_bound(monkeypatch):
+    """Makes whatever passes rows through the driver one by one, or gathers more than a few, fail."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def no(*_):
+        raise AssertionError("rows pass the driver")
+
+    real = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "toLocalIterator", no)
+    monkeypatch.setattr(DataFrame, "collect", lambda df: r if len(r := real(df)) <= 3 else no())
+
+
+def test_catalogs_as_json_and_their_summaries_pass_no_driver(spark, tmp_path, monkeypatch):
+    from slotmill import cli
+    from slotmill.operators import catalog
+    from slotmill.plans.durable import numbered
+
+    rows = [(f"p{i:03}", f"/x/{(i * 37) % 100:03}", i, 8 * i, i - 50, [i, -1], [i]) for i in range(100)]
+    entries = spark.createDataFrame(rows, catalog.SCHEMA)
+    said = cli.format_catalog(entries, 3).split("\n")
+    monkeypatch.setattr(catalog, "scan", lambda *a, **k: entries)
+    from slotmill.plans import files
+
+    with monkeypatch.context() as m:
+        _driver_bound(m)
+        path = files._saved_catalog(spark, str(tmp_path / "files"), 3)
+        back = catalog.Catalog.load(spark, path)
+        head, lines = cli.catalog_lines(back.rows, back.version)
+        placed = numbered(lines, "source_path")
+    got = {r.place: r.line for r in placed.collect()}
+    assert [head, *(got[i] for i in range(100))] == said
+    assert sorted(back.rows.collect()) == sorted(entries.collect())
+
+
+def test_entries_of_files_broadcast_no_signature(spark):
+    from slotmill.operators import catalog
+
+    programs = spark.createDataFrame([("a", "/a", bytearray(range(80)), None), ("b", "/b", None, "no")], "program_id string, path string, text binary, load_error string")
+    plan = catalog.file_entries(programs)._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
