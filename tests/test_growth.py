@@ -74,3 +74,28 @@ def test_entries_of_files_broadcast_no_signature(spark):
     programs = spark.createDataFrame([("a", "/a", bytearray(range(80)), None), ("b", "/b", None, "no")], "program_id string, path string, text binary, load_error string")
     plan = catalog.file_entries(programs)._jdf.queryExecution().sparkPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_signatures_alike_by_chance_are_no_candidates(spark, monkeypatch):
+    """Signatures that share a position here and there, as unrelated streams of a large table do."""
+    from slotmill.operators import similarity
+
+    rng = np.random.default_rng(7)
+    rows = rng.integers(-(2**63), 2**63 - 1, (60, 128))
+    common = rng.integers(-(2**63), 2**63 - 1, 128)
+    for r in rows:
+        some = rng.permutation(128)[:40]
+        r[some] = common[some]
+    rows[1, :70] = rows[0, :70]
+    rows[3, :64] = rows[2, :64]
+    rows[3, 64:] = rng.integers(-(2**63), 2**63 - 1, 64)
+    equal = {(f"p{i:02}", f"p{j:02}"): int((rows[i] == rows[j]).sum()) for i in range(60) for j in range(i + 1, 60)}
+    expected = {p: n / 128 for p, n in equal.items() if n >= 64}
+    assert ("p02", "p03") in expected and len(expected) < 4
+    listed = []
+    real = similarity.near_in
+    monkeypatch.setattr(similarity, "near_in", lambda *a: listed.append(real(*a)) or listed[0])
+    classes = spark.createDataFrame([(f"p{i:02}", r.tolist(), 1) for i, r in enumerate(rows)], "class_id string, minhash array<long>, size long")
+    got = {(r.a, r.b): r.jaccard_estimate for r in similarity.estimate_pairs(classes, 0.5, 128).collect()}
+    assert got == expected
+    assert listed[0].count() <= len(expected) + 5
