@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import model
 import numpy as np
+from pyspark.sql import functions as F
 
 from slotmill.operators import fingerprint as fp
 from slotmill.operators import kernels as k
@@ -99,3 +100,16 @@ def test_signatures_alike_by_chance_are_no_candidates(spark, monkeypatch):
     got = {(r.a, r.b): r.jaccard_estimate for r in similarity.estimate_pairs(classes, 0.5, 128).collect()}
     assert got == expected
     assert listed[0].count() <= len(expected) + 5
+
+
+def test_native_signatures_are_made_in_their_rows(spark):
+    from slotmill.operators import hashing, native
+
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1, 2, 40, 600)]
+    rows = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in enumerate(sets)] + [(4, [])], "i int, f array<long>")
+    got = {r.i: r.m for r in rows.select("i", hashing.minhash_array(F.col("f"), 6).alias("m")).collect()}
+    assert [[x % 2**64 for x in got[i]] for i in range(4)] == [k.minhash(s, 6).tolist() for s in sets] and got[4] is None
+    programs = spark.createDataFrame([("a", bytearray(range(80)))], "program_id string, text binary")
+    plan = native.fingerprints(programs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # the votes
