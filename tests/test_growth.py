@@ -102,6 +102,18 @@ def test_signatures_alike_by_chance_are_no_candidates(spark, monkeypatch):
     assert listed[0].count() <= len(expected) + 5
 
 
+def test_bits_of_a_set_are_made_once_not_for_each_item(spark):
+    from slotmill.operators.similarity import exact_index
+
+    classes = spark.createDataFrame([("a", [1, 2, 3], 1), ("b", [2, 3], 1)], "class_id string, items array<long>, size long")
+    index = exact_index(classes, 0.5)
+    lines = index._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    listed = [i for i, x in enumerate(lines) if "Generate explode" in x]
+    made = [i for i, x in enumerate(lines) if " aggregate(" in x]
+    assert listed and made and all(any(i < m for i in listed) for m in made)
+    assert {(r.id, r.key, r.n) for r in index.collect()} == {("a", 2, 3), ("b", 2, 2), ("b", 3, 2)}
+
+
 def test_native_signatures_are_made_in_their_rows(spark):
     from slotmill.operators import hashing, native
 
