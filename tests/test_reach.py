@@ -50,7 +50,7 @@ def test_all_that_may_be_found_is_within_reach(spark, monkeypatch, need, bands,
         assert len(got - expected - {"0-none", "1-short"}) <= 4
 
 
-@pytest.mark.parametrize("name", ["lsh_documents", "exact_query", "batch_compare"])
+@pytest.mark.parametrize("name", ["lsh_documents", "exact_query", "batch_compare", "one_against_every"])
 def test_searches_hash_few_streams(spark, monkeypatch, name):
     """No query hashes all streams under all seeds: their number is that of the search's own."""
     sizes = []
