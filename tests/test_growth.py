@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import model
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from slotmill.operators import fingerprint as fp
@@ -22,6 +23,29 @@ def test_shared_features_are_hashed_once(monkeypatch):
     assert len(hashed) == len(set(hashed)) == 7 * len(set().union(*(s.tolist() for s in sets)))
 
 
+@pytest.mark.skipif(not k._compress, reason="hashlib isn't linked to a library that gives its compression")
+def test_many_hashes_make_no_hash_object(monkeypatch):
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 300, 1, 170)]
+    sets += [np.concatenate([sets[1][:200], sets[2]])]
+    expected = [model.minhash(s.tolist(), 300) for s in sets]  # seeds of more than a byte
+    assert k._hashes(sets[1].tobytes(), 300).shape == (300, 300)
+    real, blocks = k._compress, []
+
+    def no(_):
+        raise AssertionError("a hash object a hash")
+
+    with monkeypatch.context() as m:
+        m.setattr(k, "_sha256", no)
+        m.setattr(k, "_compress", lambda *a: blocks.append(1) or real(*a))
+        assert k.minhashes(sets, 300).tolist() == expected
+        assert len(blocks) == 300 * 471
+        led = k.leaders(sets[1], 300)
+    assert [model.minhash([f], 300)[i] for i, f in enumerate(led.tolist())] == expected[1]
+    monkeypatch.setattr(k, "_compress", None)
+    assert k.minhashes(sets, 300).tolist() == expected
+
+
 def test_streams_that_begin_alike_meet_and_tasks_follow_the_bytes(spark, monkeypatch):
     rng = np.random.default_rng(6)
     made = [(f"{i}-{j}", bytearray(base + bytes([j]) * 24)) for i, base in enumerate(rng.bytes(400) for _ in range(40)) for j in (1, 2, 3)]
