@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import model
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,19 @@ def test_streams_that_begin_alike_meet_and_tasks_follow_the_bytes(spark, monkeyp
     assert got == plain and len(got) == 121
 
 
+def test_votes_hash_shared_features_once(monkeypatch):
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 90, n, dtype=np.uint64)) for n in (0, 70, 1, 2, 50, 0)]
+    hashed = []
+    real = k._sha256
+    monkeypatch.setattr(k, "_sha256", lambda m: hashed.append(bytes(m)) or real(m))
+    programs = pa.RecordBatch.from_pydict({"program_id": [str(i) for i in range(6)], "text": [b""] * 6})
+    monkeypatch.setattr(fp, "_features", lambda *_, rest=iter(sets): (next(rest), 0))
+    got = list(fp._sketched(iter([programs]), 3, 0, None))[0].column("simhash").to_pylist()
+    assert [x % 2**64 for x in got] == [model.simhash(s.tolist()) for s in sets] == [k.simhash(s) for s in sets]
+    assert sorted(hashed[: len(set(hashed))]) == sorted(set(hashed))
+
+
 def _driver_bound(monkeypatch):
     """Makes whatever passes rows through the driver one by one, or gathers more than a few, fail."""
     from pyspark.sql.classic.dataframe import DataFrame
