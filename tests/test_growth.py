@@ -163,3 +163,25 @@ def test_native_signatures_are_made_in_their_rows(spark):
     programs = spark.createDataFrame([("a", bytearray(range(80)))], "program_id string, text binary")
     plan = native.fingerprints(programs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1  # the votes
+
+
+@pytest.mark.parametrize("name", ["tier_counts", "stored_index", "stored_search"])
+def test_where_signatures_count_nothing_else_is_written(spark, monkeypatch, name):
+    from slotmill.plans import queries, registry
+
+    seen, real = [], queries.cut
+    monkeypatch.setattr(queries, "cut", lambda df, *a, **o: seen.append(df.columns) or real(df, *a, **o))
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [["program_id", "minhash"]]
+
+
+def test_tiers_from_signatures_are_those_of_reports(spark):
+    from slotmill.operators.similarity import compared, tiers
+
+    rng = np.random.default_rng(13)
+    base = rng.bytes(800)
+    programs = spark.createDataFrame([(str(n), bytearray(base[:n] + rng.bytes(800 - n))) for n in (0, 400, 600, 780, 792, 800)] + [("short", bytearray(b"abc"))], "program_id string, text binary")
+    prints = fp.fingerprints(programs, empty="keep").cache()
+    pairs = prints.select(F.col("program_id").alias("a")).crossJoin(prints.select(F.col("program_id").alias("b"))).union(spark.createDataFrame([("0", "none")], "a string, b string"))
+    got = sorted(tuple(r) for r in tiers(pairs, prints.select("program_id", "minhash")).collect())
+    assert got == sorted(tuple(r) for r in compared(pairs, prints).select("a", "b", "tier").collect()) and len({t for *_, t in got}) > 2
