@@ -150,3 +150,19 @@ def test_equal_streams_are_hashed_once(spark, tmp_path, monkeypatch):
     more = programs.union(spark.createDataFrame([("other", bytes(range(100, 180)))], "program_id string, text binary"))
     third, _ = store.of(more)
     assert hashed[1:] == [1] and plain(third) == plain(fingerprints(more, k=16))
+
+
+def test_catalog_texts_are_neither_sorted_nor_searched(spark, tmp_path, monkeypatch):
+    """Entries are sorted before they are printed, and each text is looked at once, without a search through it."""
+    rows = entries(spark, [f"p{i}" for i in range(40)])
+    path, plans = str(tmp_path / "parts"), []
+    write = type(rows).write
+    monkeypatch.setattr(type(rows), "write", property(lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write.fget(df)))
+    catalog.save_parts(rows, path, 5)
+    monkeypatch.undo()
+    lines = plans[0].split("\n")
+    assert [i for i, x in enumerate(lines) if "array_join" in x] < [i for i, x in enumerate(lines) if "Sort " in x]
+    back = catalog.load_json(spark, path)
+    assert back.where("ngram_count >= 0").count() == 40 and listed(back) == listed(rows)
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2 and "Filter" not in plan
