@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import model
 import numpy as np
 import pyarrow as pa
@@ -185,3 +187,21 @@ def test_tiers_from_signatures_are_those_of_reports(spark):
     pairs = prints.select(F.col("program_id").alias("a")).crossJoin(prints.select(F.col("program_id").alias("b"))).union(spark.createDataFrame([("0", "none")], "a string, b string"))
     got = sorted(tuple(r) for r in tiers(pairs, prints.select("program_id", "minhash")).collect())
     assert got == sorted(tuple(r) for r in compared(pairs, prints).select("a", "b", "tier").collect()) and len({t for *_, t in got}) > 2
+
+
+def test_saved_files_are_removed_by_tasks_not_by_the_driver(spark, monkeypatch):
+    from slotmill.plans import durable, files
+
+    left, drop = [], durable.Scratch.drop
+
+    def seen(self):
+        for _, path in self.paths:
+            for _, _, names in os.walk(path.removeprefix("file:")):
+                left.extend(n for n in names if n.endswith(".so"))
+        drop(self)
+
+    made = []
+    monkeypatch.setattr(durable.Scratch, "drop", seen)
+    monkeypatch.setattr(files, "save_images", lambda images, folder, real=files.save_images: made.append(real(images, folder)))
+    assert files.QUERIES["scan_programs"](spark, "/root/testdata/sf0.001").count() > 0
+    assert made[0] > 0 and not left
