@@ -205,3 +205,30 @@ def test_saved_files_are_removed_by_tasks_not_by_the_driver(spark, monkeypatch):
     monkeypatch.setattr(files, "save_images", lambda images, folder, real=files.save_images: made.append(real(images, folder)))
     assert files.QUERIES["scan_programs"](spark, "/root/testdata/sf0.001").count() > 0
     assert made[0] > 0 and not left
+
+
+@pytest.mark.parametrize("name", ["cluster_summary", "cluster_documents", "cluster_document_summary"])
+def test_clusters_are_made_of_signatures_alone(spark, monkeypatch, name):
+    from slotmill.plans import queries, registry
+
+    seen, real = [], queries.cut
+    monkeypatch.setattr(queries, "cut", lambda df, *a, **o: seen.append(df.columns) or real(df, *a, **o))
+    monkeypatch.setattr(queries, "cluster_table", lambda prints, *a: prints)
+    monkeypatch.setattr(queries, "cluster_members", lambda prints, *a: prints)
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [["program_id", "minhash"]]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.0])
+def test_equal_signatures_count_by_their_number(spark, threshold):
+    from slotmill.operators.cluster import cluster_table
+
+    signatures = [[1, 2, 3, 4]] * 3 + [[1, 2, 3, 9]] * 2 + [[7, 8, 5, 6], [0, 0, 0, 0], [0, 0, 0, 0]]
+    rows = [(f"p{i}", s) for i, s in enumerate(signatures)]
+    prints = spark.createDataFrame(rows, "program_id string, minhash array<long>")
+    got = {r.program_id: r for r in cluster_table(prints, threshold, 4).collect()}
+    groups = [range(5), [5], [6, 7]] if threshold else [range(8)]
+    for g in groups:
+        equal = [sum(x == y for x, y in zip(signatures[i], signatures[j], strict=True)) / 4 for i in g for j in g if i < j]
+        for i in g:
+            assert got[f"p{i}"].size == len(g) and abs(got[f"p{i}"].avg_similarity - (sum(equal) / len(equal) if equal else 1.0)) < 1e-12
